@@ -29,6 +29,8 @@ from reckon.llm import common as C
 U64 = np.uint64
 #: Bits of an anchor that are exchanged. Two anchors that agree in them by chance only cost a comparison.
 ANCHOR_BITS = 48
+#: Windows that a shard compares at once; one anchor's windows stay together.
+WINDOWS_AT_ONCE = 1 << 18
 #: (spans: bytes, span offsets, windows in each, anchor places, anchors, least documents, window length, seed) -> owner of each window
 Decide = Callable[..., np.ndarray]
 
@@ -259,9 +261,20 @@ def decide_owners(part: pa.Table, s: Symbols, decide: Decide) -> pa.Table:
     same = np.empty(len(order), np.int64)
     same[order] = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
     one = order[lead]
-    one_off = np.concatenate(([0], np.cumsum(lengths[one].astype(np.int64))))
-    owners = decide(text[C.ranges(offsets[one], lengths[one])], one_off, n[one], place[one], anchor[one], own[one], s)
-    at = np.concatenate(([0], np.cumsum(n[one])))
+    owners = np.empty(int(n[one].sum()), np.int64)
+    whole = np.concatenate(([0], np.cumsum(n[one])))
+    by = np.argsort(anchor[one], kind="stable")  # equal windows have equal anchors: groups of anchors stand alone
+    group = np.append(_firsts(anchor[one][by]), len(by))
+    work = np.concatenate(([0], np.cumsum(n[one][by])))[group]
+    i = 0
+    while i < len(group) - 1:
+        j = max(i + 1, int(np.searchsorted(work, work[i] + WINDOWS_AT_ONCE, side="right")) - 1)
+        part_of = by[group[i] : group[j]]
+        pick = one[part_of]
+        off = np.concatenate(([0], np.cumsum(lengths[pick].astype(np.int64))))
+        owners[C.ranges(whole[part_of], n[pick])] = decide(text[C.ranges(offsets[pick], lengths[pick])], off, n[pick], place[pick], anchor[pick], own[pick], s)
+        i = j
+    at = whole
     # a span whose windows nobody else has and that one document has alone says nothing
     foreign = np.add.reduceat((owners != np.repeat(own[one], n[one])).astype(np.int64), at[:-1]) > 0 if len(one) else np.zeros(0, bool)
     to, out, done = [], [], 0
