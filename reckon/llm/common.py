@@ -17,7 +17,7 @@ U64 = np.uint64
 #: The largest long stands for a null identifier: it comes after every other one.
 LAST_ID = np.iinfo(np.int64).max
 #: Text of so many bytes is worked on at once, so that the arrays of a step stay in cache.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

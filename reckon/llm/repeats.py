@@ -255,7 +255,14 @@ def decide_owners(part: pa.Table, s: Symbols, decide: Decide) -> pa.Table:
     lengths, n, place, anchor, own = (np.concatenate([b[k] for b in blobs]) for k in range(1, 6))
     offsets = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))
     n, place = n.astype(np.int64), place.astype(np.int64)
-    key = C.word_hashes(text, offsets[:-1], offsets[1:]) ^ C.mix(anchor + n.astype(U64))
+    key = C.mix(anchor + n.astype(U64))
+    done = 0
+    for b in blobs:  # one bucket's spans at a time: the running sums of a whole shard would be large
+        one_off = np.concatenate(([0], np.cumsum(b[1].astype(np.int64))))
+        for i, j in C.slices(one_off):
+            own_text = np.frombuffer(b[0], np.uint8)[one_off[i] : one_off[j]]
+            key[done + i : done + j] ^= C.word_hashes(own_text, one_off[i:j] - one_off[i], one_off[i + 1 : j + 1] - one_off[i])
+        done += len(b[1])
     order = np.lexsort((own, key))  # a span that many buckets sent is looked at once
     lead = _firsts(key[order])
     same = np.empty(len(order), np.int64)

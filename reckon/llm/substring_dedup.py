@@ -22,7 +22,7 @@ from reckon.llm import repeats as R
 
 U64 = np.uint64
 LENGTH, SEED = 13, 4
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 20
 
 
 def decide(text, offsets, windows, place, anchor, own, s: R.Symbols) -> np.ndarray:
