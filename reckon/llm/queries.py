@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from reckon.llm import substring_dedup, suffix_dedup
+from reckon.llm import decontaminate, mixing, near_dedup, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix_dedup.query,
+    "op3_benchmark_decontamination": decontaminate.query,
+    "op4_source_mixing": mixing.query,
     "op7_substring_dedup": substring_dedup.query,
+    "op8_minhash_near_dedup": near_dedup.query,
+    "op9_url_filters": url_filter.query,
 }
 #: DuckDB SQL for the same rows, where SQL can express them on whole tables; the others are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_url_filters": url_filter.ORACLE}
