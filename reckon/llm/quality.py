@@ -91,19 +91,40 @@ def distance(histogram: Column, reference: Column) -> Column:
     return F.coalesce(let(F.struct(total(histogram).alias("n"), total(reference).alias("m")), lambda x: F.when((x["n"] > 0) & (x["m"] > 0), of(x["n"], x["m"])).otherwise(0.0)), F.lit(0.0))
 
 
-def _prepared(df: DataFrame, text_column: str) -> DataFrame:
-    """``__text`` without nulls, ``__words`` and ``__word_chars``."""
-    out = df.withColumn("__text", F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")))
-    out = out.withColumn("__words", words_of(F.col("__text")))
-    return out.withColumn("__word_chars", F.length(F.array_join("__words", "")).cast("long"))
+def measured(df: DataFrame, keep: list[Column], measure: Column) -> DataFrame:
+    """``keep`` and the struct ``__m``. Generating it as the one row of an array keeps later filters above it: pushed below,
+    they would work everything out a second time."""
+    return df.select(*keep, F.explode_outer(F.array(measure)).alias("__m"))
+
+
+def histograms(text: Column) -> Column:
+    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words_of(t), lambda w: F.struct(class_histogram(t, word_chars(w)).alias("classes"), word_histogram(w).alias("common"))))
+
+
+def word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("long")
+
+
+def measures(text: Column, reference: Callable[[int], Column]) -> Column:
+    """All measures of one text as a struct; every intermediate is a lambda's argument, so nothing is worked out twice."""
+
+    def far(t: Column, w: Column, n: Column) -> Column:
+        return let(
+            F.struct(class_histogram(t, n).alias("classes"), word_histogram(w).alias("common")),
+            lambda h: F.struct(
+                F.size(w).cast("long").alias("n_words"), n.alias("word_chars"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), repeated_lines(t).cast("long").alias("n_dup_lines"), repeated_words(w).cast("long").alias("n_repeat_words"),
+                distance(h["classes"], reference(0)).alias("class_distance"), distance(h["common"], reference(1)).alias("word_distance"),
+            ),
+        )
+
+    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words_of(t), lambda w: let(word_chars(w), lambda n: far(t, w, n))))
 
 
 def references(df: DataFrame, text_column: str, lang_column: str) -> dict[str | None, tuple[list[float], list[float]]]:
     """Histogram sums of each language, and of all documents under None. At most ``len(LANGUAGES) + 1`` rows are fetched."""
     lang = F.col(f"`{lang_column}`").cast("string") if lang_column in df.columns else F.lit(None).cast("string")
-    rows = _prepared(df.select(F.col(f"`{text_column}`").alias("t"), F.when(lang.isin(*LANGUAGES), lang).alias("l")), "t")
-    rows = rows.select("l", class_histogram(F.col("__text"), F.col("__word_chars")).alias("c"), word_histogram(F.col("__words")).alias("w"))
-    sums = rows.groupBy("l").agg(F.array(*[F.sum(F.get("c", F.lit(i))).cast("double") for i in range(5)]).alias("c"), F.array(*[F.sum(F.get("w", F.lit(i))).cast("double") for i in range(len(COMMON) + 1)]).alias("w")).collect()
+    rows = measured(df, [F.when(lang.isin(*LANGUAGES), lang).alias("l")], histograms(F.col(f"`{text_column}`"))).select("l", "__m.classes", "__m.common")
+    sums = rows.groupBy("l").agg(F.array(*[F.sum(F.get("classes", F.lit(i))).cast("double") for i in range(5)]).alias("c"), F.array(*[F.sum(F.get("common", F.lit(i))).cast("double") for i in range(len(COMMON) + 1)]).alias("w")).collect()
     out = {r.l: (r.c, r.w) for r in sums if r.l is not None}
     if sums:
         out[None] = tuple([sum(x) for x in zip(*(r[k] for r in sums), strict=True)] for k in ("c", "w"))
@@ -126,21 +147,11 @@ def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", c
                 out = F.when(lang == name, numbers(known[name][k])).otherwise(out)
         return out
 
-    text, words = F.col("__text"), F.col("__words")
-    out = _prepared(df, text_column).select(
-        *[F.col(f"`{c}`") for c in names],
-        F.size(words).cast("long").alias("__n"),
-        F.col("__word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("__symbols"),
-        repeated_lines(text).cast("long").alias("__lines"),
-        repeated_words(words).cast("long").alias("__repeats"),
-        class_histogram(text, F.col("__word_chars")).alias("__classes"),
-        word_histogram(words).alias("__common"),
-    )
-    out = out.withColumns({"__far_classes": distance(F.col("__classes"), reference(0)), "__far_words": distance(F.col("__common"), reference(1))})
-    failed = (F.col("__n") < LEAST_WORDS) | (100 * F.col("__repeats") > 50 * F.col("__n"))
-    far = ((F.col("__n") >= GUARD_CLASSES) & (F.col("__far_classes") > FAR_CLASSES)) | ((F.col("__n") >= GUARD_WORDS) & (F.col("__far_words") > FAR_WORDS))
-    added = {"n_words": F.col("__n"), "word_chars": F.col("__word_chars"), "n_symbols": F.col("__symbols"), "n_dup_lines": F.col("__lines"), "n_repeat_words": F.col("__repeats"), "class_distance": F.col("__far_classes"), "word_distance": F.col("__far_words"), "base_failed": failed, "kept": ~failed & ~far}
+    out = measured(df, [F.col(f"`{c}`") for c in names], measures(F.col(f"`{text_column}`"), reference))
+    m = F.col("__m")
+    failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    far = ((m["n_words"] >= GUARD_CLASSES) & (m["class_distance"] > FAR_CLASSES)) | ((m["n_words"] >= GUARD_WORDS) & (m["word_distance"] > FAR_WORDS))
+    added = {c: m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance")} | {"base_failed": failed, "kept": ~failed & ~far}
     return out.select(*[F.col(f"`{c}`") for c in names if c not in added], *[c.alias(n) for n, c in added.items()])
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from reckon.llm import decontaminate, mixing, near_dedup, substring_dedup, suffix_dedup, url_filter
+from reckon.llm import decontaminate, mixing, near_dedup, quality, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix_dedup.query,
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_source_mixing": mixing.query,
+    "op5_quality_rules": quality.query,
     "op7_substring_dedup": substring_dedup.query,
     "op8_minhash_near_dedup": near_dedup.query,
     "op9_url_filters": url_filter.query,
