@@ -303,7 +303,7 @@ def removed_symbols(part: pa.Table, owners: pa.Table, s: Symbols, counts: np.nda
     """Step 5. Spans of symbols to remove: start and end (within all symbols of the bucket, row after row)."""
     ids = _ids(part)
     row_at = np.concatenate(([0], np.cumsum(counts)))
-    starts = []
+    change = np.zeros(row_at[-1] + 1, np.int32)
     for blob in owners["__blob"].to_pylist() if owners.num_rows else []:
         n, owner, runs, row, first = C.unpack(blob)
         n, runs = n.astype(np.int64), runs.astype(np.int64)
@@ -311,12 +311,9 @@ def removed_symbols(part: pa.Table, owners: pa.Table, s: Symbols, counts: np.nda
         windows = n[each]
         who = owner[C.ranges((np.cumsum(n) - n)[each], windows)]
         mine = np.repeat(ids[row], windows)
-        begin = C.ranges(row_at[row] + first.astype(np.int64), windows)
-        starts.append(begin[who < mine])
-    change = np.zeros(row_at[-1] + 1, np.int32)
-    for begin in starts:
-        change += np.bincount(begin, minlength=len(change)).astype(np.int32)
-        change -= np.bincount(begin + s.length, minlength=len(change)).astype(np.int32)[: len(change)]
+        begin = C.ranges(row_at[row] + first.astype(np.int64), windows)[who < mine]
+        change[begin] += 1  # a window lies in one run, so no place comes twice
+        change[begin + s.length] -= 1
     gone = np.zeros(row_at[-1] + 2, np.int8)
     gone[1:-1] = np.cumsum(change[:-1]) > 0
     edge = np.flatnonzero(np.diff(gone))
