@@ -34,7 +34,7 @@ FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the footer.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 LEVEL = 3
-INDEX = "page_id long, bundle string, frame long, frame_offset long, frame_start long, frame_bytes long, record_offset long, record_bytes long"
+INDEX = "page_id long, bundle string, frame long, frame_start long, frame_bytes long, record_offset long, record_bytes long"
 
 
 def digest(payload: bytes) -> str:
@@ -90,7 +90,7 @@ class Bundle:
     """Writes one bundle; ``index`` gets (page_id, frame, offset in the frame, bytes)."""
 
     def __init__(self, place: fs.FileSystem, path: str):
-        self.stream, self.path, self.packed = place.open_output_stream(path), path, 0
+        self.stream, self.path, self.packed = place.open_output_stream(path, compression=None), path, 0
         self.frames: list[tuple[int, int]] = []
         self.pending: list[bytes] = []
         self.size = 0
@@ -140,8 +140,8 @@ def write_bundles(df: DataFrame, folder: str, id_column: str = "page_id", url_co
         def finished(b: Bundle) -> pa.RecordBatch:
             b.close()
             name = b.path.rsplit("/", 1)[1]
-            rows = [(p, name, f, o, s, n, o, m) for p, f, o, s, n, m in b.index]
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
+            rows = [(p, name, f, s, n, o, m) for p, f, o, s, n, m in b.index]
+            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5]
             cols = list(zip(*rows)) if rows else [[] for _ in kinds]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
 
