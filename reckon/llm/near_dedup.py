@@ -10,8 +10,10 @@ Only links that matter are looked at, so a group of near copies never becomes al
 
 1. documents with equal sets fall into classes (one aggregation); from here on only class representatives take part;
 2. in each band bucket every member is held against the bucket's least member, and confirmed links give components;
-3. buckets that still hold several components compare members across components, on registers, in blocks of
-   ``BLOCK`` members; candidates are confirmed likewise. This closes the gaps that step 2 can leave, so no link is lost.
+3. buckets that still hold several components look across them, on registers, and name families of members that could
+   be linked (a forest, not pairs); families with several components then compare their full sets exactly, as a product
+   of matrices, in blocks of ``BLOCK`` members, and again give a forest. This closes the gaps that step 2 can leave, so
+   no link is lost, and what is emitted grows with the members, not with their pairs.
 
 Components come from alternating large-star and small-star rounds over checkpointed edges. Nothing but counters reaches
 the driver.
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-BLOCK = 1024
+BLOCK = 512
 BUCKET_BYTES = 4 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -166,16 +169,16 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(df: DataFrame, pairs: DataFrame, id_column: str, text_column: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _full_sets(df: DataFrame, wanted: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
+    """(d, s): the full sets of the documents whose ids are the rows of ``wanted``."""
     buckets = C.bucket_count(df, BUCKET_BYTES)
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
     docs = df.select(F.col(f"`{id_column}`").cast("long").alias("d"), F.col(f"`{text_column}`").alias("t")).filter("d is not null").withColumn("k", bucket("d"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct().withColumn("k", bucket("d"))
+    wanted = wanted.toDF("d").withColumn("k", bucket("d"))
 
     def sets(part: pa.Table, wanted: pa.Table) -> pa.Table:
         if part.num_rows and wanted.num_rows:
-            part = part.filter(pa.compute.is_in(part["d"], wanted["d"]))
+            part = part.filter(pc.is_in(part["d"], wanted["d"].combine_chunks()))
         else:
             part = part.slice(0, 0)
         data, offsets = C.buffer_of(part["t"])
@@ -185,7 +188,12 @@ def _confirmed(df: DataFrame, pairs: DataFrame, id_column: str, text_column: str
             out += [hashes[off[r] : off[r + 1]].tobytes() for r in range(j - i)]
         return pa.table({"d": pa.array(ids, pa.int64()), "s": pa.array(out, pa.binary())})
 
-    full = docs.groupBy("k").cogroup(wanted.groupBy("k")).applyInArrow(sets, "d long, s binary")
+    return docs.groupBy("k").cogroup(wanted.groupBy("k")).applyInArrow(sets, "d long, s binary")
+
+
+def _confirmed(df: DataFrame, pairs: DataFrame, id_column: str, text_column: str, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    full = _full_sets(df, pairs.select(F.explode(F.array("a", "b"))).distinct(), id_column, text_column, shingle)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,6 +209,78 @@ def _confirmed(df: DataFrame, pairs: DataFrame, id_column: str, text_column: str
     return joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
+def _forest(members: DataFrame, likeness) -> DataFrame:
+    """Links (a, b) across components within groups: columns group, size (members), rep, root, n and registers.
+
+    A group is cut into blocks of about ``BLOCK`` members; each two blocks meet in one task, which emits a link only if it
+    joins what it has not joined yet. ``likeness(i, j, n, data) -> bool matrix`` says which members are alike."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cut = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("size")
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "blocks")
+
+    def across(part: pa.Table) -> pa.Table:
+        root, rep, n, block = (np.asarray(part[c].to_numpy()) for c in ("root", "rep", "n", "block"))
+        p, q = part["p"][0].as_py(), part["q"][0].as_py()
+        out_a, out_b = [], []
+        if (root != root[0]).any():
+            i, j = np.flatnonzero(block == p), np.flatnonzero(block == q)
+            data = part["registers"]
+            alike = likeness(i, j, n, data)
+            label = root.copy()
+            for row, x in enumerate(i.tolist()):
+                near = j[alike[row]]
+                for other in np.unique(label[near]).tolist():
+                    if other != label[x]:
+                        y = near[label[near] == other][0]
+                        out_a.append(min(int(rep[x]), int(rep[y]))), out_b.append(max(int(rep[x]), int(rep[y])))
+                        label[label == other] = label[x]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return cut.groupBy("group", "p", "q").applyInArrow(across, "a long, b long")
+
+
+def _by_registers(percent: int):
+    def alike(i, j, n, data):
+        lines = _line(data)
+        floor = least_estimate(percent)
+        out = np.zeros((len(i), len(j)), bool)
+        for row, x in enumerate(i.tolist()):
+            equal = (lines[j] == lines[x]).mean(axis=1)
+            maybe = np.flatnonzero((equal >= floor) & (np.minimum(n[x], n[j]) * 100 >= percent * np.maximum(n[x], n[j])))
+            out[row, maybe[estimate(equal[maybe], np.full(len(maybe), n[x]), n[j[maybe]]) >= floor]] = True
+        return out
+
+    return alike
+
+
+def _by_sets(percent: int, columns: int = 4096):
+    def alike(i, j, n, data):
+        sets = [np.frombuffer(x.as_py(), U64) for x in data]
+        size = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        token, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        keep = times[number] > 1  # what one set alone has is in no intersection
+        shared = np.cumsum(times > 1) - 1
+        owner, number = owner[keep], shared[number[keep]]
+        order = np.argsort(number, kind="stable")
+        owner, number = owner[order], number[order]
+        both = np.zeros((len(i), len(j)), np.int64)
+        place_i, place_j = np.full(len(sets), -1), np.full(len(sets), -1)
+        place_i[i], place_j[j] = np.arange(len(i)), np.arange(len(j))
+        for low in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+            a, b = np.searchsorted(number, (low, low + columns))
+            left, right = np.zeros((len(i), columns), np.float32), np.zeros((len(j), columns), np.float32)
+            own, at = owner[a:b], number[a:b] - low
+            mine = place_i[own] >= 0
+            left[place_i[own[mine]], at[mine]] = 1
+            mine = place_j[own] >= 0
+            right[place_j[own[mine]], at[mine]] = 1
+            both += (left @ right.T).astype(np.int64)
+        return 100 * both >= percent * (size[i][:, None] + size[j][None, :] - both)
+
+    return alike
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Least reachable id of every id that has an edge: columns ``id`` and ``root``.
 
@@ -244,34 +324,19 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     # several components in one bucket: look across them
     placed = members.join(stars, "band").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     placed = C.written(placed.select("band", "rep", "root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x < y").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    inside = placed.join(mixed, "band").join(info, "rep")
-    # one bucket for each set of members would do; blocks pair up so that no task holds more than two of them
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-
-    def across(part: pa.Table) -> pa.Table:
-        root, rep, n, block = (np.asarray(part[c].to_numpy()) for c in ("root", "rep", "n", "block"))
-        p, q = part["p"][0].as_py(), part["q"][0].as_py()
-        lines = _line(part["registers"])
-        out_a, out_b = [], []
-        for i in range(len(rep)):
-            if block[i] != p:
-                continue
-            j = np.flatnonzero((root != root[i]) & (block == q) & (rep > rep[i] if p == q else True))
-            j = j[np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])]
-            if len(j):
-                j = j[(lines[j] == lines[i]).mean(axis=1) >= least_estimate(percent)]
-            if len(j):
-                j = j[estimate((lines[j] == lines[i]).mean(axis=1), np.full(len(j), n[i]), n[j]) >= least_estimate(percent)]
-                out_a += [min(rep[i], x) for x in rep[j].tolist()]
-                out_b += [max(rep[i], x) for x in rep[j].tolist()]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    more = C.written(inside.groupBy("band", "p", "q").applyInArrow(across, "a long, b long").distinct())
-    if not more.isEmpty():
-        found = C.written(_confirmed(df, more, id_column, text_column, shingle, percent))
-        roots = components(links.union(found))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x < y").select(F.col("band").alias("group"), "size")
+    inside = placed.withColumnRenamed("band", "group").join(mixed, "group").join(info, "rep")
+    likely = C.written(_forest(inside.select("group", "size", "rep", "root", "n", "registers"), _by_registers(percent)).distinct())
+    if not likely.isEmpty():
+        grown = components(links.union(likely)).withColumnRenamed("id", "rep").withColumnRenamed("root", "group")
+        own = grown.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        several = own.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x < y").select("group", "size")
+        family = C.written(own.join(several, "group").join(info.select("rep", "n"), "rep"))
+        full = _full_sets(df, family.select("rep").distinct(), id_column, text_column, shingle)
+        family = family.join(full.withColumnRenamed("d", "rep"), "rep").select("group", "size", "rep", "root", "n", F.col("s").alias("registers"))
+        found = C.written(_forest(family, _by_sets(percent)).distinct())
+        if not found.isEmpty():
+            roots = components(links.union(found))
 
     named = classes.select("f1", "f2", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("own"))
     out = docs.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from reckon.llm import decontaminate, mixing, near_dedup, quality, substring_dedup, suffix_dedup, url_filter
+from reckon.llm import chat_format, decontaminate, mixing, near_dedup, quality, substring_dedup, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_suffix_array_dedup": suffix_dedup.query,
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_source_mixing": mixing.query,
     "op5_quality_rules": quality.query,
+    "op6_warc_bundles": warc.query,
     "op7_substring_dedup": substring_dedup.query,
     "op8_minhash_near_dedup": near_dedup.query,
     "op9_url_filters": url_filter.query,
+    "op10_chat_formatting": chat_format.query,
 }
 #: DuckDB SQL for the same rows, where SQL can express them on whole tables; the others are tested against brute force.
 ORACLE: dict[str, str] = {"op9_url_filters": url_filter.ORACLE}
