@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays. Repeated rows of one id are one document:
-    one of them stays. Only the ids that go are joined."""
+    """Of each group of near copies the document with the smallest id stays. Rows with equal ids stay or go
+    together. Only the ids that go are joined."""
     docs = docs.select(COLUMNS)
     gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
