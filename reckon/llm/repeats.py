@@ -30,7 +30,7 @@ U64 = np.uint64
 #: Bits of an anchor that are exchanged. Two anchors that agree in them by chance only cost a comparison.
 ANCHOR_BITS = 48
 #: Windows that a shard compares at once; one anchor's windows stay together.
-WINDOWS_AT_ONCE = 1 << 18
+WINDOWS_AT_ONCE = 1 << 17
 #: (spans: bytes, span offsets, windows in each, anchor places, anchors, least documents, window length, seed) -> owner of each window
 Decide = Callable[..., np.ndarray]
 

@@ -22,7 +22,7 @@ from reckon.llm import repeats as R
 
 U64 = np.uint64
 LENGTH, SEED = 50, 20
-BUCKET_BYTES = 3 << 20
+BUCKET_BYTES = 3 << 19
 
 
 def suffix_columns(text: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
