@@ -253,5 +253,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(docs, C.table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        F.col("longest.n_words").alias("longest_match"), F.col("longest.first_word").alias("longest_at"), F.col("longest.item_id").alias("longest_item"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reckon.llm import chat_format, decontaminate, mixing, near_dedup, quality, substring_dedup, suffix_dedup, toxicity, url_filter, warc
+from reckon.llm import chat_format, decontaminate, mixing, near_dedup, oracles, quality, substring_dedup, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_chat_formatting": chat_format.query,
 }
 #: DuckDB SQL for the same rows, where SQL can express them on whole tables; the others are tested against brute force.
-ORACLE: dict[str, str] = {"op9_url_filters": url_filter.ORACLE}
+ORACLE = oracles.ORACLE
