@@ -157,4 +157,4 @@ def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", c
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every document of ``documents``."""
-    return judge(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    return judge(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang", "class_distance", "word_distance")
