@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from reckon.plans import registry
+from reckon.plans import more, registry  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
