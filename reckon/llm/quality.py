@@ -1,13 +1,16 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-One pass over all documents sums, for each language, a histogram of character classes and one of common words. A second
-pass compares each document's histograms with its language's by the Jensen-Shannon distance (0 to 1). A document goes if a
-base rule fails, or if it is long enough to be judged and lies too far from its language. The references are a few numbers
-for each language of ``LANGUAGES`` and for the rest together, so the second pass needs no join and nothing is shuffled.
-
-Defined results: null texts count as empty; documents under a guard's length are not judged by that distance; a null or
-other language is compared with all documents together; empty tables work; repeated rows each get their row. Columns are
-picked by name.
+One pass over all documents sums, for each value of lang, a histogram of character classes and one of common words. A
+second pass compares each document's histograms with its language's by the Jensen-Shannon distance (0 to 1). A document goes
+if a base rule fails, or if it is long enough to be judged and lies too far from its language. The references are a few
+numbers for each language: up to ``LITERALS`` of them go into the plan, so the second pass needs no join and nothing is
+shuffled; more of them are joined.
+
+Defined results: null texts count as empty; documents under a guard's length are not judged by that distance. A language
+with fewer than ``LEAST_DOCUMENTS`` documents or ``LEAST_REFERENCE`` words has no reference; its documents have distances
+of 0 and go by the base rules alone, for another language's reference would reject clean text. A lang that is null or
+names no language (``NO_LANGUAGE``) enters no reference; such a document is held against the reference that is nearest by
+words. Empty tables work; repeated rows each get their row. Columns are picked by name.
 """
 
 from __future__ import annotations
@@ -19,8 +22,14 @@ from pyspark.sql import functions as F
 
 from reckon.llm import common as C
 
+#: The languages that the SQL of op5 knows; it pools all others, so its rows are the same only where lang has no other value.
 LANGUAGES = ("de", "en", "es", "fr")
-#: Frequent function words of the four languages.
+#: Besides null: blank, and the ISO 639 codes for undetermined, several, uncoded and no language.
+NO_LANGUAGE = ("", "mis", "mul", "und", "zxx")
+#: What a language needs to get a reference, and how many references are put into the plan as literals.
+LEAST_DOCUMENTS, LEAST_REFERENCE = 10, 5000
+LITERALS = 256
+#: Frequent function words of German, English, Spanish and French; other languages' words count as others.
 COMMON = (
     "a al as at au auf be by con das de del dem den der des die du ein el en est et for für im in is ist it la las le les "
     "los mit nicht of on para par pas pour que qui se sich su sur that the to un una und une von was with y zu"
@@ -105,49 +114,76 @@ def word_chars(words: Column) -> Column:
     return F.length(F.array_join(words, "")).cast("long")
 
 
-def measures(text: Column, reference: Callable[[int], Column]) -> Column:
-    """All measures of one text as a struct; every intermediate is a lambda's argument, so nothing is worked out twice."""
+def measures(text: Column, distances: Callable[[Column], Column]) -> Column:
+    """All measures of one text as a struct; every intermediate is a lambda's argument, so nothing is worked out twice.
+    ``distances``: from the histograms to a struct like that of :func:`against`."""
 
-    def far(t: Column, w: Column, n: Column) -> Column:
+    def all_of(t: Column, w: Column, n: Column) -> Column:
         return let(
-            F.struct(class_histogram(t, n).alias("classes"), word_histogram(w).alias("common")),
-            lambda h: F.struct(
+            distances(F.struct(class_histogram(t, n).alias("classes"), word_histogram(w).alias("common"))),
+            lambda d: F.struct(
                 F.size(w).cast("long").alias("n_words"), n.alias("word_chars"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), repeated_lines(t).cast("long").alias("n_dup_lines"), repeated_words(w).cast("long").alias("n_repeat_words"),
-                distance(h["classes"], reference(0)).alias("class_distance"), distance(h["common"], reference(1)).alias("word_distance"),
+                d["classes"].alias("class_distance"), d["words"].alias("word_distance"),
             ),
         )
 
-    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words_of(t), lambda w: let(word_chars(w), lambda n: far(t, w, n))))
+    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words_of(t), lambda w: let(word_chars(w), lambda n: all_of(t, w, n))))
 
 
-def references(df: DataFrame, text_column: str, lang_column: str) -> dict[str | None, tuple[list[float], list[float]]]:
-    """Histogram sums of each language, and of all documents under None. At most ``len(LANGUAGES) + 1`` rows are fetched."""
+def language(df: DataFrame, lang_column: str) -> Column:
+    """The value of lang; null where it names no language."""
     lang = F.col(f"`{lang_column}`").cast("string") if lang_column in df.columns else F.lit(None).cast("string")
-    rows = measured(df, [F.when(lang.isin(*LANGUAGES), lang).alias("l")], histograms(F.col(f"`{text_column}`"))).select("l", "__m.classes", "__m.common")
-    sums = rows.groupBy("l").agg(F.array(*[F.sum(F.get("classes", F.lit(i))).cast("double") for i in range(5)]).alias("c"), F.array(*[F.sum(F.get("common", F.lit(i))).cast("double") for i in range(len(COMMON) + 1)]).alias("w")).collect()
-    out = {r.l: (r.c, r.w) for r in sums if r.l is not None}
-    if sums:
-        out[None] = tuple([sum(x) for x in zip(*(r[k] for r in sums), strict=True)] for k in ("c", "w"))
-    return out
+    return F.when(~F.lower(F.trim(lang)).isin(*NO_LANGUAGE), lang)
+
+
+def references(df: DataFrame, text_column: str, lang_column: str) -> DataFrame:
+    """(l, r): the histogram sums r.c and r.w of each language with enough text."""
+    rows = measured(df, [language(df, lang_column).alias("l")], histograms(F.col(f"`{text_column}`"))).filter("l is not null").select("l", "__m.classes", "__m.common")
+    sums = rows.groupBy("l").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("classes", F.lit(i))).cast("double") for i in range(5)]).alias("c"), F.array(*[F.sum(F.get("common", F.lit(i))).cast("double") for i in range(len(COMMON) + 1)]).alias("w"))
+    covered = (F.col("n") >= LEAST_DOCUMENTS) & (F.aggregate("w", F.lit(0.0), lambda a, b: a + b) >= LEAST_REFERENCE)
+    return sums.filter(covered).select("l", F.struct("c", "w").alias("r"))
+
+
+def against(histogram: Column, reference: Column) -> Column:
+    """Both distances of a text from one reference; 0 where that is null."""
+    return F.struct(distance(histogram["common"], reference["w"]).alias("words"), distance(histogram["classes"], reference["c"]).alias("classes"))
+
+
+def by_literals(df: DataFrame, known: list, keep: list[Column], text: Column, lang: Column) -> DataFrame:
+    """Measures of all rows, with the references as literals of the plan."""
+    numbers = lambda x: f"array({','.join(f'{v!r}D' for v in x)})"
+    refs = F.expr(f"array({','.join(f'struct({numbers(x.r.c)} AS c, {numbers(x.r.w)} AS w)' for x in known)})")
+    own = F.element_at(F.map_from_arrays(F.array(*[F.lit(x.l) for x in known]), refs), lang)
+
+    def distances(histogram: Column) -> Column:
+        if not known:
+            return F.struct(F.lit(0.0).alias("words"), F.lit(0.0).alias("classes"))
+        nearest = lambda h: F.array_min(F.transform(refs, lambda r: against(h, r)))
+        return let(histogram, lambda h: F.when(lang.isNull(), nearest(h)).otherwise(let(own, lambda r: against(h, r))))
+
+    return measured(df, keep, measures(text, distances))
+
+
+def by_joins(df: DataFrame, known: DataFrame, keep: list[Column], text: Column, lang: Column) -> DataFrame:
+    """The same for any number of references: a document's own one is joined, the nearest one is a minimum over all."""
+    known = C.written(known)
+    named = df.filter(lang.isNotNull()).withColumn("__l", lang).join(known.select(F.col("l").alias("__l"), F.col("r").alias("__r")), "__l", "left")
+    key = F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+    nameless = df.filter(lang.isNull()).withColumn("__k", key)
+    texts = measured(nameless, [F.col("__k")], histograms(text)).groupBy("__k").agg(F.first("__m").alias("h"))
+    near = texts.crossJoin(known).groupBy("__k").agg(F.min(against(F.col("h"), F.col("r"))).alias("__near"))
+    out = measured(named, keep, measures(text, lambda h: let(h, lambda x: against(x, F.col("__r")))))
+    return out.union(measured(nameless.join(near, "__k", "left"), keep, measures(text, lambda h: F.col("__near"))))
 
 
 def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", corpus: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` with the measures, the two distances, base_failed and kept. References come from ``corpus``
     (default: ``df`` itself)."""
     known = references(df if corpus is None else corpus, text_column, lang_column)
+    rows = known.limit(LITERALS + 1).collect()
     names = df.columns
-    lang = F.col(f"`{lang_column}`") if lang_column in names else F.lit(None).cast("string")
-    empty = ([0.0] * 5, [0.0] * (len(COMMON) + 1))
-
-    def reference(k: int) -> Column:
-        numbers = lambda x: F.array(*map(F.lit, x))
-        out = numbers(known.get(None, empty)[k])
-        for name in LANGUAGES:
-            if name in known:
-                out = F.when(lang == name, numbers(known[name][k])).otherwise(out)
-        return out
-
-    out = measured(df, [F.col(f"`{c}`") for c in names], measures(F.col(f"`{text_column}`"), reference))
+    given = [F.col(f"`{c}`") for c in names], F.col(f"`{text_column}`"), language(df, lang_column)
+    out = by_literals(df, rows, *given) if len(rows) <= LITERALS else by_joins(df, known, *given)
     m = F.col("__m")
     failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     far = ((m["n_words"] >= GUARD_CLASSES) & (m["class_distance"] > FAR_CLASSES)) | ((m["n_words"] >= GUARD_WORDS) & (m["word_distance"] > FAR_WORDS))

@@ -77,3 +77,43 @@ def test_verdicts(spark):
 def test_plan_has_no_python_and_no_exchange(spark):
     plan = Q.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
+
+
+def relabelled(spark):
+    """Spanish under an unlisted value, a third of each language without any, three German documents under a rare one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    rare = [r.doc_id for r in docs if r.lang == "de" and r.doc_id % 3][:3]
+    value = lambda r: "nl" if r.doc_id in rare else (None, "", "und")[r.doc_id // 3 % 3] if r.doc_id % 3 == 0 else {"es": "it-IT"}.get(r.lang, r.lang)
+    return [(r.doc_id, r.text, value(r)) for r in docs]
+
+
+def test_null_unlisted_and_rare_lang(spark, monkeypatch):
+    rows = relabelled(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    quality = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    got = {r.doc_id: r for r in Q.judge(df).collect()}
+    histogram = {d: words_histogram(t) for d, t, _ in rows}
+    total = {}
+    for d, _, lang in rows:
+        if lang in ("de", "en", "fr", "it-IT"):
+            total[lang] = [x + y for x, y in zip(total.get(lang, [0] * (len(Q.COMMON) + 1)), histogram[d])]
+    for d, _, lang in rows:
+        want = js(histogram[d], total[lang]) if lang in total else 0 if lang == "nl" else min(js(histogram[d], x) for x in total.values())
+        assert abs(got[d].word_distance - want) < 1e-9
+    judged = [(lang, quality[d], got[d].kept) for d, _, lang in rows if d in quality and got[d].n_words >= 150 and not got[d].base_failed]
+    for values in ({None, "", "und"}, {"it-IT"}):
+        clean = [kept for lang, q, kept in judged if lang in values and q == 1]
+        assert len(clean) > 10 and sum(clean) > 0.95 * len(clean)
+        assert not any(kept for lang, q, kept in judged if lang in values and q == 0)
+    assert all(r.kept != r.base_failed for r in got.values() if r.lang == "nl")
+
+    monkeypatch.setattr(Q, "LITERALS", 1)
+    joined = {r.doc_id: r for r in Q.judge(df).collect()}
+    exact = lambda r: {k: v for k, v in r.asDict().items() if not k.endswith("distance")}
+    assert {d: exact(r) for d, r in joined.items()} == {d: exact(r) for d, r in got.items()}
+    assert all(abs(joined[d].word_distance - r.word_distance) + abs(joined[d].class_distance - r.class_distance) < 1e-9 for d, r in got.items())
+
+
+def test_no_language_at_all(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert all(r.kept != r.base_failed for r in Q.judge(docs).collect())
