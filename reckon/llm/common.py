@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,40 +21,64 @@ LAST_ID = np.iinfo(np.int64).max
 SLICE_BYTES = 1 << 20
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where it is unset only a local master gets one below /tmp; on a cluster a
+    machine's own folder would lose data, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        return "file:///tmp/checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), below /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder (never a local checkpoint)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
-    return df.checkpoint(eager=True)
+#: Rows of a narrow table that one task writes, where the number of rows is known beforehand.
+ROWS_A_TASK = 1_000_000
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: a compact, columnar cut of the lineage."""
-    path = shared_folder(df.sparkSession)
+def _write(df: DataFrame, path: str, rows: int | None) -> DataFrame:
+    if rows is not None:  # tasks follow the rows, not the shuffle's partitions
+        df = df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of a table (for a scan, that of its files); where it has none, the strings' length."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 60:
-        return size
-    lengths = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: a compact, columnar cut of the lineage. ``rows``: an upper
+    bound of the rows of a narrow table."""
+    return _write(df, shared_folder(df.sparkSession), rows)
+
+
+class Scratch:
+    """Tables written on the way, one folder each; :meth:`drop` removes them once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.n = spark, shared_folder(spark), 0
+
+    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        self.n += 1
+        return _write(df, f"{self.base}/{self.n}", rows)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_bytes(df: DataFrame, *columns: str) -> int:
+    """Bytes of the text columns: one narrow aggregate, so that it holds behind any join or filter."""
+    lengths = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in columns]
     return int(df.agg(F.sum(sum(lengths, F.lit(8).cast("long")))).first()[0] or 0)
 
 
-def bucket_count(df: DataFrame, bucket_bytes: int) -> int:
-    """Buckets of about ``bucket_bytes``, but enough of them to keep every shuffle partition busy."""
+def bucket_count(df: DataFrame, text_column: str, bucket_bytes: int) -> int:
+    """Buckets of about ``bucket_bytes`` of text, but enough of them to keep every shuffle partition busy."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(2 * partitions, -(-plan_bytes(df) // bucket_bytes)), 1 << 20)
+    return max(2 * partitions, -(-text_bytes(df, text_column) // bucket_bytes))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,26 +10,32 @@ Only links that matter are looked at, so a group of near copies never becomes al
 
 1. documents with equal sets fall into classes (one aggregation); from here on only class representatives take part;
 2. in each band bucket every member is held against the bucket's least member, and confirmed links give components;
-3. buckets that still hold several components look across them, on registers, and name families of members that could
-   be linked (a forest, not pairs); families with several components then compare their full sets exactly, as a product
-   of matrices, in blocks of ``BLOCK`` members, and again give a forest. This closes the gaps that step 2 can leave, so
-   no link is lost, and what is emitted grows with the members, not with their pairs.
+3. buckets that still hold several components look across them, on registers, and name families of components that could
+   be linked. Members of a bucket's largest component are not compared with each other: the others (the minor members) are
+   cut into blocks, and only the blocks of the largest component that meet one of these are copied. A family then
+   compares full sets exactly, in the same way. This closes the gaps that step 2 can leave, so no link is lost; what is
+   emitted are links between components, a forest in each task.
 
-Components come from alternating large-star and small-star rounds over checkpointed edges. Nothing but counters reaches
-the driver.
+A bucket or family of m members outside its largest component costs m * (all members) / ``BLOCK`` rows of exchange: linear
+as long as m is under a block, quadratic only for many texts that are alike and yet not linked.
+
+Components come from hooking every node to its least neighbour, jumping to the root and contracting the edges, over tables
+in the shared folder. The minimum is combined before the exchange, and joins on a hub are splittable, as both sides are
+stored tables. Nothing but counters reaches the driver. Tables written on the way are removed at the end.
 
 Defined results: null and wordless texts have an empty set, link with nothing and are kept; a null id links with nothing
-and is kept, with a null component; rows with equal ids are one node. Columns are picked by name.
+and is kept, with a null component; rows with equal ids are one node; very long texts are hashed whole, one at a time; ties
+go to the smallest id; an empty table gives no rows. Columns are picked by name, extra ones are passed over.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckon.llm import common as C
@@ -39,8 +45,8 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-BLOCK = 512
-BUCKET_BYTES = 4 << 20
+#: Members of one block, and the shingles that a block may have in all (a longer document makes a block of its own).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 #: One odd multiplier and one offset for each bucket, from a rule.
@@ -62,11 +68,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     out = np.zeros(out_off[-1], U64)
     full = np.repeat(whole, size)
     out[full] = every[C.ranges(rows[:-1][whole], size[whole])]
-    for r in np.flatnonzero((count > 0) & ~whole):
-        h = U64(len(words[rows[r] : rows[r + 1]]))
-        for w in words[rows[r] : rows[r + 1]]:
-            h = C.mix(np.array([h * C.BASE + w], U64))[0]
-        out[out_off[r]] = h
+    short = np.flatnonzero((count > 0) & ~whole)
+    h = count[short].astype(U64)
+    for j in range(k - 1):  # one word of all short rows at a time
+        more = count[short] > j
+        h[more] = C.mix(h[more] * C.BASE + words[rows[short[more]] + j])
+    out[out_off[short]] = h
     return out, out_off
 
 
@@ -124,7 +131,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-SIGNATURES = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, registers binary"
+SIGNATURES = "doc_id long, n_shingles long, f1 long, f2 long, registers binary"
 
 
 def signatures(df: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
@@ -133,21 +140,18 @@ def signatures(df: DataFrame, id_column: str, text_column: str, shingle: int) ->
             data, offsets = C.buffer_of(batch["t"])
             for i, j in C.slices(offsets, 1 << 19):
                 hashes, off = distinct(*shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle))
-                size = np.diff(off)
                 total = np.concatenate((np.zeros((1, 2), U64), np.cumsum(np.stack((C.mix(hashes + U64(1)), C.mix(hashes ^ U64(0xA5A5A5A5A5A5A5A5))), 1), axis=0, dtype=U64)))
                 print_ = total[off[1:]] - total[off[:-1]]
-                lines = registers(hashes, off)
-                keys = np.zeros((j - i, BANDS), U64)
-                for b in range(BANDS):
-                    word = np.zeros(j - i, U64)
-                    for r in range(ROWS):
-                        word = (word << U64(16)) | lines[:, b * ROWS + r].astype(U64)
-                    keys[:, b] = C.mix(C.mix(word) + U64(b + 1))
-                bands = pa.ListArray.from_arrays(pa.array(np.where(np.append(size, 0) > 0, 0, 0).cumsum() + np.concatenate(([0], np.cumsum((size > 0) * BANDS))), pa.int32()), _signed(keys[size > 0].ravel()))
-                raw = [x.tobytes() for x in lines]
-                yield pa.RecordBatch.from_arrays([batch["d"][i:j], pa.array(size), _signed(print_[:, 0].copy()), _signed(print_[:, 1].copy()), bands, pa.array(raw, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "bands", "registers"])
+                raw = [x.tobytes() for x in registers(hashes, off)]
+                yield pa.RecordBatch.from_arrays([batch["d"][i:j], pa.array(np.diff(off)), _signed(print_[:, 0].copy()), _signed(print_[:, 1].copy()), pa.array(raw, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "registers"])
+
+    return df.select(F.col(f"`{id_column}`").cast("long").alias("d"), F.col(f"`{text_column}`").cast("string").alias("t")).mapInArrow(run, SIGNATURES)
+
 
-    return df.select(F.col(f"`{id_column}`").cast("long").alias("d"), F.col(f"`{text_column}`").alias("t")).mapInArrow(run, SIGNATURES)
+def bands(lines: str = "registers") -> Column:
+    """A key for each band: the band's number and its registers, hashed."""
+    width = 2 * ROWS
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col(lines), b * width + 1, F.lit(width))))
 
 
 def _line(x) -> np.ndarray:
@@ -170,30 +174,31 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(df: DataFrame, wanted: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """(d, s): the full sets of the documents whose ids are the rows of ``wanted``."""
-    buckets = C.bucket_count(df, BUCKET_BYTES)
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
-    docs = df.select(F.col(f"`{id_column}`").cast("long").alias("d"), F.col(f"`{text_column}`").alias("t")).filter("d is not null").withColumn("k", bucket("d"))
-    wanted = wanted.toDF("d").withColumn("k", bucket("d"))
-
-    def sets(part: pa.Table, wanted: pa.Table) -> pa.Table:
-        if part.num_rows and wanted.num_rows:
-            part = part.filter(pc.is_in(part["d"], wanted["d"].combine_chunks()))
-        else:
-            part = part.slice(0, 0)
-        data, offsets = C.buffer_of(part["t"])
-        ids, out = part["d"].to_pylist(), []
-        for i, j in C.slices(offsets):
-            hashes, off = distinct(*shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle))
-            out += [hashes[off[r] : off[r + 1]].tobytes() for r in range(j - i)]
-        return pa.table({"d": pa.array(ids, pa.int64()), "s": pa.array(out, pa.binary())})
-
-    return docs.groupBy("k").cogroup(wanted.groupBy("k")).applyInArrow(sets, "d long, s binary")
-
-
-def _confirmed(df: DataFrame, pairs: DataFrame, id_column: str, text_column: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    full = _full_sets(df, pairs.select(F.explode(F.array("a", "b"))).distinct(), id_column, text_column, shingle)
+    """(d, s): the full sets of the documents whose ids are the rows of ``wanted``. Of a document that the table repeats a
+    task sends one set."""
+    docs = df.select(F.col(f"`{id_column}`").cast("long").alias("d"), F.col(f"`{text_column}`").cast("string").alias("t")).filter("d is not null")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()
+        for batch in batches:
+            data, offsets = C.buffer_of(batch["t"])
+            ids = batch["d"].to_pylist()
+            for i, j in C.slices(offsets):
+                hashes, off = distinct(*shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle))
+                rows = []
+                for r in range(j - i):
+                    one = hashes[off[r] : off[r + 1]].tobytes()
+                    key = (ids[i + r], hashlib.blake2b(one, digest_size=12).digest())
+                    if key not in seen:
+                        seen.add(key)
+                        rows.append((ids[i + r], one))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], names=["d", "s"])
+
+    return docs.join(wanted.toDF("d"), "d", "left_semi").mapInArrow(sets, "d long, s binary")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets (d, s) reach the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,30 +214,48 @@ def _confirmed(df: DataFrame, pairs: DataFrame, id_column: str, text_column: str
     return joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def _forest(members: DataFrame, likeness) -> DataFrame:
-    """Links (a, b) across components within groups: columns group, size (members), rep, root, n and registers.
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Of (group, rep, root, n) the groups with several roots: group, major (the root of most members), and the members and
+    shingles of both parts. Roots are counted before the members of a group meet."""
+    by_root = placed.groupBy("group", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    most = F.max(F.struct("c", "root", "n"))
+    by = by_root.groupBy("group").agg(most.alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
+    return by.select("group", F.col("top.root").alias("major"), F.col("top.c").alias("major_c"), F.col("top.n").alias("major_n"), (F.col("c") - F.col("top.c")).alias("minor_c"), (F.col("n") - F.col("top.n")).alias("minor_n"))
 
-    A group is cut into blocks of about ``BLOCK`` members; each two blocks meet in one task, which emits a link only if it
-    joins what it has not joined yet. ``likeness(i, j, n, data) -> bool matrix`` says which members are alike."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("size")
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "blocks")
+
+def _forest(members: DataFrame, likeness) -> DataFrame:
+    """Links (a, b) between the roots within groups. Columns of ``members``: those of :func:`_mixed`, rep, root, n, content.
+
+    Minor members and those of the largest component are cut into blocks; each two minor blocks, and each minor with each
+    other block, meet in one task, which emits a link only if it joins what it has not joined yet.
+    ``likeness(x, others, n, content) -> flags`` says which of the others member x is like."""
+    spark = members.sparkSession
+    cuts = lambda part: F.greatest(F.ceil(F.col(f"{part}_c") / BLOCK), F.ceil(F.col(f"{part}_n") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    minor = F.col("root") != F.col("major")
+    cut = members.withColumns({"minors": cuts("minor"), "majors": cuts("major")})
+    cut = cut.withColumn("block", F.when(minor, F.pmod(F.xxhash64("rep"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("rep"), F.col("majors"))).cast("int"))
+    last = F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    # work goes by pairs, not by bytes: a stated number of tasks, which adaptive execution doesn't merge
+    cut = cut.select("group", "p", "q", "block", "rep", "root", "n", "content").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group", "p", "q")
 
     def across(part: pa.Table) -> pa.Table:
-        root, rep, n, block = (np.asarray(part[c].to_numpy()) for c in ("root", "rep", "n", "block"))
+        root, n, block = (np.asarray(part[c].to_numpy()) for c in ("root", "n", "block"))
         p, q = part["p"][0].as_py(), part["q"][0].as_py()
         out_a, out_b = [], []
         if (root != root[0]).any():
             i, j = np.flatnonzero(block == p), np.flatnonzero(block == q)
-            data = part["registers"]
-            alike = likeness(i, j, n, data)
+            like = likeness(part["content"], n)
             label = root.copy()
-            for row, x in enumerate(i.tolist()):
-                near = j[alike[row]]
+            for x in i.tolist():
+                others = j[label[j] != label[x]]
+                if not len(others):
+                    continue
+                near = others[like(x, others)]
                 for other in np.unique(label[near]).tolist():
                     if other != label[x]:
                         y = near[label[near] == other][0]
-                        out_a.append(min(int(rep[x]), int(rep[y]))), out_b.append(max(int(rep[x]), int(rep[y])))
+                        out_a.append(min(int(root[x]), int(root[y]))), out_b.append(max(int(root[x]), int(root[y])))
                         label[label == other] = label[x]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
@@ -240,105 +263,125 @@ def _forest(members: DataFrame, likeness) -> DataFrame:
 
 
 def _by_registers(percent: int):
-    def alike(i, j, n, data):
-        lines = _line(data)
-        floor = least_estimate(percent)
-        out = np.zeros((len(i), len(j)), bool)
-        for row, x in enumerate(i.tolist()):
-            equal = (lines[j] == lines[x]).mean(axis=1)
-            maybe = np.flatnonzero((equal >= floor) & (np.minimum(n[x], n[j]) * 100 >= percent * np.maximum(n[x], n[j])))
-            out[row, maybe[estimate(equal[maybe], np.full(len(maybe), n[x]), n[j[maybe]]) >= floor]] = True
-        return out
+    def of(content, n):
+        lines, floor = _line(content), least_estimate(percent)
+
+        def like(x: int, others: np.ndarray) -> np.ndarray:
+            out = np.minimum(n[x], n[others]) * 100 >= percent * np.maximum(n[x], n[others])
+            maybe = np.flatnonzero(out)
+            equal = (lines[others[maybe]] == lines[x]).mean(axis=1)
+            out[maybe] = equal >= floor
+            maybe, equal = maybe[equal >= floor], equal[equal >= floor]
+            out[maybe] = estimate(equal, np.full(len(maybe), n[x]), n[others[maybe]]) >= floor
+            return out
 
-    return alike
+        return like
 
+    return of
 
-def _by_sets(percent: int, columns: int = 4096):
-    def alike(i, j, n, data):
-        sets = [np.frombuffer(x.as_py(), U64) for x in data]
+
+def _by_sets(percent: int):
+    def of(content, n):
+        """Sets as numbers of the shingles that two of them have at least, by member and by shingle."""
+        sets = [np.frombuffer(x.as_py(), U64) for x in content]
         size = np.array([len(x) for x in sets], np.int64)
         owner = np.repeat(np.arange(len(sets)), size)
-        token, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         keep = times[number] > 1  # what one set alone has is in no intersection
-        shared = np.cumsum(times > 1) - 1
-        owner, number = owner[keep], shared[number[keep]]
+        owner, number = owner[keep], (np.cumsum(times > 1) - 1)[number[keep]]
+        off = np.searchsorted(owner, np.arange(len(sets) + 1))
         order = np.argsort(number, kind="stable")
-        owner, number = owner[order], number[order]
-        both = np.zeros((len(i), len(j)), np.int64)
-        place_i, place_j = np.full(len(sets), -1), np.full(len(sets), -1)
-        place_i[i], place_j[j] = np.arange(len(i)), np.arange(len(j))
-        for low in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
-            a, b = np.searchsorted(number, (low, low + columns))
-            left, right = np.zeros((len(i), columns), np.float32), np.zeros((len(j), columns), np.float32)
-            own, at = owner[a:b], number[a:b] - low
-            mine = place_i[own] >= 0
-            left[place_i[own[mine]], at[mine]] = 1
-            mine = place_j[own] >= 0
-            right[place_j[own[mine]], at[mine]] = 1
-            both += (left @ right.T).astype(np.int64)
-        return 100 * both >= percent * (size[i][:, None] + size[j][None, :] - both)
-
-    return alike
+        holders = owner[order]
+        start = np.searchsorted(number[order], np.arange(int((times > 1).sum()) + 1))
 
+        def like(x: int, others: np.ndarray) -> np.ndarray:
+            mine = number[off[x] : off[x + 1]]
+            both = np.bincount(holders[C.ranges(start[mine], start[mine + 1] - start[mine])], minlength=len(sets))[others]
+            return 100 * both >= percent * (size[x] + size[others] - both)
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Least reachable id of every id that has an edge: columns ``id`` and ``root``.
+        return like
+
+    return of
 
-    Large-star links each node's greater neighbours to its least one, small-star its smaller ones; a round changes nothing
-    once every component is a star. Hubs are aggregated before the exchange, and joins on them can be split."""
-    now = C.checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    mark = None
+
+def _least_reachable(edges: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """(id, root) of every id that can reach a smaller one, as a stored table. ``edges``: (a, b) with a < b.
+
+    Each node hooks to its least neighbour, jumps until that is a root, and edges are contracted to the roots; what is left
+    joins different roots. A round leaves the local minima, at most half of the nodes that still have edges."""
+    edges = scratch.write(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b"))
+    labels = None
     while True:
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == new:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
-        mark = new
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.union(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = C.checkpointed(small)
+        n = edges.count()
+        up = scratch.write(edges.groupBy("b").agg(F.min("a").alias("m")), n)
+        while True:
+            further = up.select(F.col("b").alias("m"), F.col("m").alias("further"))
+            jump = scratch.write(up.select("b", "m").join(further, "m", "left").select("b", F.coalesce("further", "m").alias("m"), F.col("further").isNotNull().alias("moved")), n)
+            up = jump.select("b", "m")
+            if jump.filter("moved").isEmpty():
+                break
+        roots = up.select(F.col("b").alias("id"), F.col("m").alias("root"))
+        if labels is not None:
+            again = labels.join(roots.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+            roots = again.unionByName(roots)
+        labels = scratch.write(roots, None if labels is None else 2 * n)
+        left = edges.join(up.toDF("a", "ma"), "a", "left").join(up, "b").select(F.coalesce("ma", "a").alias("x"), F.col("m").alias("y"))
+        edges = scratch.write(left.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n)
+        if edges.isEmpty():
+            return labels
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Least reachable id of every id that has an edge: columns ``id`` and ``root``."""
+    scratch = C.Scratch(edges.sparkSession)
+    edges = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b")
+    labels = C.written(_least_reachable(edges, scratch))
+    scratch.drop()
+    return labels.union(labels.select("root", "root").distinct())
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``df``: doc_id, n_shingles, component_id, kept."""
+    scratch = C.Scratch(df.sparkSession)
     docs = C.written(signatures(df, id_column, text_column, shingle))
-    classes = C.written(
-        docs.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
-    )
+    known = docs.filter("n_shingles > 0 and doc_id is not null")
+    classes = C.written(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")))
     info = classes.select("rep", "n", "registers")
-    members = classes.select("rep", F.explode("bands").alias("band"))
-    stars = members.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("band", "a")
-    pairs = members.join(stars, "band").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-
-    def with_info(pairs: DataFrame) -> DataFrame:
-        left = info.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-        right = info.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb")
-
-    links = C.written(_confirmed(df, C.written(_likely(with_info(pairs), percent)), id_column, text_column, shingle, percent))
-    roots = components(links)
-
-    # several components in one bucket: look across them
-    placed = members.join(stars, "band").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = C.written(placed.select("band", "rep", "root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x < y").select(F.col("band").alias("group"), "size")
-    inside = placed.withColumnRenamed("band", "group").join(mixed, "group").join(info, "rep")
-    likely = C.written(_forest(inside.select("group", "size", "rep", "root", "n", "registers"), _by_registers(percent)).distinct())
+    sets_of = lambda wanted: scratch.write(_full_sets(df, wanted, id_column, text_column, shingle))
+
+    # stars: the least member of each bucket that has several
+    members = classes.select("rep", F.explode(bands()).alias("band"))
+    stars = scratch.write(members.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("band", "a"))
+    buckets = scratch.write(members.join(stars, "band").select("band", "rep", "a"))
+    by_member = buckets.filter("rep <> a").groupBy("rep").agg(F.collect_set("a").alias("stars"))  # one for each band at most
+    pairs = by_member.join(info, "rep").select(F.explode("stars").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    pairs = pairs.join(info.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a")
+    pairs = scratch.write(_likely(pairs.select("a", "b", "na", "nb", "ra", "rb"), percent))
+    links = scratch.write(_confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b"))).distinct()), percent))
+    roots = _least_reachable(links, scratch)
+    own_root = lambda x: x.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+    # buckets with several components: look across them, first on registers, then on full sets
+    placed = scratch.write(own_root(buckets.select(F.col("band").alias("group"), "rep")).withColumn("n", F.lit(0).cast("long")))
+    inside = scratch.write(placed.drop("n").join(scratch.write(_mixed(placed)), "group"))
+    likely = scratch.write(_forest(inside.join(info.withColumnRenamed("registers", "content"), "rep"), _by_registers(percent)).distinct())
+    final = roots
     if not likely.isEmpty():
-        grown = components(links.union(likely)).withColumnRenamed("id", "rep").withColumnRenamed("root", "group")
-        own = grown.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        several = own.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x < y").select("group", "size")
-        family = C.written(own.join(several, "group").join(info.select("rep", "n"), "rep"))
-        full = _full_sets(df, family.select("rep").distinct(), id_column, text_column, shingle)
-        family = family.join(full.withColumnRenamed("d", "rep"), "rep").select("group", "size", "rep", "root", "n", F.col("s").alias("registers"))
-        found = C.written(_forest(family, _by_sets(percent)).distinct())
+        families = _least_reachable(likely, scratch)
+        families = families.union(families.select("root", "root").distinct()).toDF("root", "group")
+        relatives = inside.select("rep", "root").distinct().join(families, "root").join(info.select("rep", "n"), "rep")
+        relatives = scratch.write(relatives.select("group", "rep", "root", "n"))
+        sides = scratch.write(_mixed(relatives))
+        full = sets_of(relatives.select("rep").distinct()).toDF("rep", "content")
+        found = scratch.write(_forest(relatives.join(sides, "group").join(full, "rep"), _by_sets(percent)).distinct())
         if not found.isEmpty():
-            roots = components(links.union(found))
+            merged = _least_reachable(found, scratch).toDF("root", "top")
+            joined = roots.join(merged, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+            final = joined.union(merged)
 
-    named = classes.select("f1", "f2", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("own"))
+    named = classes.select("f1", "f2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
+    named = C.written(named.select("f1", "f2", F.coalesce("root", "rep").alias("own")))
+    scratch.drop()
     out = docs.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
     by_id = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("own")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", by_id.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))

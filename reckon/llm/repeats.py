@@ -322,7 +322,7 @@ def removed_symbols(part: pa.Table, owners: pa.Table, s: Symbols, counts: np.nda
 
 def remove_repeats(df: DataFrame, s: Symbols, decide: Decide, finish: Callable, schema: str, id_column: str, text_column: str, carry: list[str], bucket_bytes: int) -> DataFrame:
     """The five steps. ``finish(part, removed starts, removed ends, symbol counts) -> table`` makes the result's rows."""
-    shards = C.bucket_count(df, bucket_bytes)
+    shards = C.bucket_count(df, text_column, bucket_bytes)
     docs = df.select(
         F.pmod(F.xxhash64(F.col(f"`{id_column}`"), F.octet_length(F.col(f"`{text_column}`"))), F.lit(shards)).cast("int").alias("__bucket"),
         F.col(f"`{id_column}`").cast("long").alias("__id"),
