@@ -37,21 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_base(spark)}/{uuid.uuid4().hex}"
 
 
-#: Rows of a narrow table that one task writes, where the number of rows is known beforehand.
-ROWS_A_TASK = 1_000_000
+#: Rows that one task writes of a table of a few numbers, of one with a kilobyte in each row, and of one with whole texts.
+NARROW, WIDE, WHOLE = 250_000, 25_000, 2_000
 
 
-def _write(df: DataFrame, path: str, rows: int | None) -> DataFrame:
-    if rows is not None:  # tasks follow the rows, not the shuffle's partitions
-        df = df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def sized(df: DataFrame, rows: int | None, each: int = NARROW) -> DataFrame:
+    """``df`` in tasks of about ``each`` rows, if that is fewer than it has: tasks follow the rows, not the setting of the
+    shuffle. ``rows`` is their number as far as it is known beforehand; all rows are kept whatever it says."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // each)))
+
+
+def _write(df: DataFrame, path: str, rows: int | None, each: int) -> DataFrame:
+    sized(df, rows, each).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again: a compact, columnar cut of the lineage. ``rows``: an upper
-    bound of the rows of a narrow table."""
-    return _write(df, shared_folder(df.sparkSession), rows)
+def written(df: DataFrame, rows: int | None = None, each: int = NARROW) -> DataFrame:
+    """Write a table to the shared folder and read it again: a compact, columnar cut of the lineage."""
+    return _write(df, shared_folder(df.sparkSession), rows, each)
 
 
 class Scratch:
@@ -60,9 +63,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, shared_folder(spark), 0
 
-    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+    def write(self, df: DataFrame, rows: int | None = None, each: int = NARROW) -> DataFrame:
         self.n += 1
-        return _write(df, f"{self.base}/{self.n}", rows)
+        return _write(df, f"{self.base}/{self.n}", rows, each)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)

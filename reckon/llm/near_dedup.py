@@ -230,78 +230,128 @@ def _forest(members: DataFrame, likeness) -> DataFrame:
     other block, meet in one task, which emits a link only if it joins what it has not joined yet.
     ``likeness(x, others, n, content) -> flags`` says which of the others member x is like."""
     spark = members.sparkSession
-    cuts = lambda part: F.greatest(F.ceil(F.col(f"{part}_c") / BLOCK), F.ceil(F.col(f"{part}_n") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    minor = F.col("root") != F.col("major")
-    cut = members.withColumns({"minors": cuts("minor"), "majors": cuts("major")})
-    cut = cut.withColumn("block", F.when(minor, F.pmod(F.xxhash64("rep"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("rep"), F.col("majors"))).cast("int"))
+    cuts = lambda c, n: F.greatest(F.ceil(c / BLOCK), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    minor, alone = F.col("root") != F.col("major"), cuts(F.col("minor_c") + F.col("major_c"), F.col("minor_n") + F.col("major_n")) == 1
+    cut = members.withColumns({"minors": cuts(F.col("minor_c"), F.col("minor_n")), "majors": F.when(alone, 0).otherwise(cuts(F.col("major_c"), F.col("major_n")))})
+    of_major = F.when(alone, 0).otherwise(F.col("minors") + F.pmod(F.xxhash64("rep"), F.greatest("majors", F.lit(1))))  # a small group is one block
+    cut = cut.withColumn("block", F.when(minor, F.pmod(F.xxhash64("rep"), F.col("minors"))).otherwise(of_major).cast("int"))
     last = F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     # work goes by pairs, not by bytes: a stated number of tasks, which adaptive execution doesn't merge
     cut = cut.select("group", "p", "q", "block", "rep", "root", "n", "content").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group", "p", "q")
 
-    def across(part: pa.Table) -> pa.Table:
-        root, n, block = (np.asarray(part[c].to_numpy()) for c in ("root", "n", "block"))
-        p, q = part["p"][0].as_py(), part["q"][0].as_py()
-        out_a, out_b = [], []
-        if (root != root[0]).any():
-            i, j = np.flatnonzero(block == p), np.flatnonzero(block == q)
-            like = likeness(part["content"], n)
-            label = root.copy()
-            for x in i.tolist():
-                others = j[label[j] != label[x]]
-                if not len(others):
-                    continue
-                near = others[like(x, others)]
-                for other in np.unique(label[near]).tolist():
-                    if other != label[x]:
-                        y = near[label[near] == other][0]
-                        out_a.append(min(int(root[x]), int(root[y]))), out_b.append(max(int(root[x]), int(root[y])))
-                        label[label == other] = label[x]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return cut.groupBy("group", "p", "q").applyInArrow(across, "a long, b long")
-
-
-def _by_registers(percent: int):
-    def of(content, n):
-        lines, floor = _line(content), least_estimate(percent)
-
-        def like(x: int, others: np.ndarray) -> np.ndarray:
-            out = np.minimum(n[x], n[others]) * 100 >= percent * np.maximum(n[x], n[others])
-            maybe = np.flatnonzero(out)
-            equal = (lines[others[maybe]] == lines[x]).mean(axis=1)
-            out[maybe] = equal >= floor
-            maybe, equal = maybe[equal >= floor], equal[equal >= floor]
-            out[maybe] = estimate(equal, np.full(len(maybe), n[x]), n[others[maybe]]) >= floor
-            return out
-
-        return like
-
-    return of
+    def linked(whole: pa.Table, edge: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        """Links between the roots of the cells that begin at ``edge``."""
+        root, block, p, q = (whole[c].to_numpy() for c in ("root", "block", "p", "q"))
+        mixed = np.minimum.reduceat(root, edge) != np.maximum.reduceat(root, edge) if len(edge) else edge
 
+        def cells():
+            for k, e in zip(edge[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                i = k + np.flatnonzero(block[k:e] == p[k])
+                yield i, (i if p[k] == q[k] else k + np.flatnonzero(block[k:e] == q[k]))
 
-def _by_sets(percent: int):
-    def of(content, n):
-        """Sets as numbers of the shingles that two of them have at least, by member and by shingle."""
-        sets = [np.frombuffer(x.as_py(), U64) for x in content]
-        size = np.array([len(x) for x in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets)), size)
-        _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        keep = times[number] > 1  # what one set alone has is in no intersection
-        owner, number = owner[keep], (np.cumsum(times > 1) - 1)[number[keep]]
-        off = np.searchsorted(owner, np.arange(len(sets) + 1))
-        order = np.argsort(number, kind="stable")
-        holders = owner[order]
-        start = np.searchsorted(number[order], np.arange(int((times > 1).sum()) + 1))
+        label: dict[int, int] = {}
 
-        def like(x: int, others: np.ndarray) -> np.ndarray:
-            mine = number[off[x] : off[x + 1]]
-            both = np.bincount(holders[C.ranges(start[mine], start[mine + 1] - start[mine])], minlength=len(sets))[others]
-            return 100 * both >= percent * (size[x] + size[others] - both)
+        def find(r: int) -> int:
+            while (up := label.get(r, r)) != r:
+                label[r] = r = label.get(up, up)
+            return r
 
-        return like
+        a, b = [], []
+        for x, y in likeness(whole, root, cells()) if mixed.any() else ():
+            for r, t in np.unique(np.stack((np.minimum(root[x], root[y]), np.maximum(root[x], root[y])), 1), axis=0).tolist():
+                u, v = find(r), find(t)
+                if u != v:
+                    label[max(u, v)] = min(u, v)
+                    a.append(r), b.append(t)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return of
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come one after another; only a cell that a batch cuts is carried over."""
+        rest = None
+        for batch in _then_none(batches):
+            if batch is not None:
+                part = pa.Table.from_batches([batch])
+                rest = pa.concat_tables([rest, part]) if rest is not None else part
+            if rest is None or not rest.num_rows:
+                continue
+            keys = np.stack([rest[c].to_numpy() for c in ("group", "p", "q")])
+            edge = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(0))))
+            ends = np.append(edge[1:], rest.num_rows)
+            if batch is not None:
+                edge, ends = edge[:-1], ends[:-1]
+            if len(edge):
+                done = int(ends[-1])
+                yield linked(rest.slice(0, done).combine_chunks(), edge, ends)
+                rest = rest.slice(done)
+
+    return cut.sortWithinPartitions("group", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def _then_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _by_registers(percent: int, at_once: int = 1 << 16):
+    """Pairs of members of different roots whose sizes and registers can reach the threshold, about ``at_once`` at once."""
+    floor = least_estimate(percent)
+
+    def likeness(whole: pa.Table, root, cells):
+        n, lines = whole["n"].to_numpy(), _line(whole["content"])
+        waiting: list[tuple] = []
+
+        def judged():
+            x, y = (np.concatenate(z) for z in zip(*waiting, strict=True))
+            equal = (lines[x] == lines[y]).mean(axis=1)
+            x, y, equal = x[equal >= floor], y[equal >= floor], equal[equal >= floor]
+            keep = estimate(equal, n[x], n[y]) >= floor
+            return x[keep], y[keep]
+
+        size = 0
+        for i, j in cells:
+            rows = max(1, at_once // max(1, len(j)))
+            for k in range(0, len(i), rows):
+                x, y = np.repeat(i[k : k + rows], len(j)), np.tile(j, len(i[k : k + rows]))
+                keep = (root[x] != root[y]) & (np.minimum(n[x], n[y]) * 100 >= percent * np.maximum(n[x], n[y]))
+                if i is j:
+                    keep &= x < y
+                waiting.append((x[keep], y[keep]))
+                size += len(waiting[-1][0])
+                if size >= at_once:
+                    yield judged()
+                    size = waiting.clear() or 0
+        if size:
+            yield judged()
+
+    return likeness
+
+
+def _by_sets(percent: int):
+    """Pairs of members of different roots whose full sets reach the threshold, by an index of the shingles they share."""
+
+    def likeness(whole: pa.Table, root, cells):
+        content = whole["content"].combine_chunks()
+        for i, j in cells:
+            members = i if i is j else np.concatenate((i, j))
+            sets = [np.frombuffer(content[k].as_py(), U64) for k in members.tolist()]
+            size = np.array([len(x) for x in sets], np.int64)
+            owner = np.repeat(np.arange(len(sets)), size)
+            _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            keep = times[number] > 1  # what one set alone has is in no intersection
+            owner, number = owner[keep], (np.cumsum(times > 1) - 1)[number[keep]]
+            off = np.searchsorted(owner, np.arange(len(sets) + 1))
+            order = np.argsort(number, kind="stable")
+            holders = owner[order]
+            start = np.searchsorted(number[order], np.arange(int((times > 1).sum()) + 1))
+            for x in range(len(i)):
+                y = np.flatnonzero(root[members] != root[members[x]])
+                mine = number[off[x] : off[x + 1]]
+                both = np.bincount(holders[C.ranges(start[mine], start[mine + 1] - start[mine])], minlength=len(sets))[y]
+                y = y[100 * both >= percent * (size[x] + size[y] - both)]
+                yield np.full(len(y), members[x]), members[y]
+
+    return likeness
 
 
 def _least_reachable(edges: DataFrame, scratch: C.Scratch) -> DataFrame:
@@ -345,42 +395,48 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     scratch = C.Scratch(df.sparkSession)
     docs = C.written(signatures(df, id_column, text_column, shingle))
     known = docs.filter("n_shingles > 0 and doc_id is not null")
-    classes = C.written(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")))
-    info = classes.select("rep", "n", "registers")
-    sets_of = lambda wanted: scratch.write(_full_sets(df, wanted, id_column, text_column, shingle))
+    classes = C.written(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), docs.count(), C.WIDE)
+    info, n_classes = classes.select("rep", "n", "registers"), classes.count()
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = scratch.write(wanted.distinct(), wanted.count())
+        rows = wanted.count()
+        return scratch.write(C.sized(_full_sets(df, wanted, id_column, text_column, shingle), rows, C.WHOLE))
 
     # stars: the least member of each bucket that has several
     members = classes.select("rep", F.explode(bands()).alias("band"))
-    stars = scratch.write(members.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("band", "a"))
-    buckets = scratch.write(members.join(stars, "band").select("band", "rep", "a"))
+    stars = scratch.write(members.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("band", "a"), n_classes * BANDS)
+    buckets = scratch.write(members.join(stars, "band").select("band", "rep", "a"), n_classes * BANDS)
+    n = buckets.count()
     by_member = buckets.filter("rep <> a").groupBy("rep").agg(F.collect_set("a").alias("stars"))  # one for each band at most
     pairs = by_member.join(info, "rep").select(F.explode("stars").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-    pairs = pairs.join(info.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a")
+    pairs = C.sized(pairs.join(info.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a"), n, C.WIDE)
     pairs = scratch.write(_likely(pairs.select("a", "b", "na", "nb", "ra", "rb"), percent))
-    links = scratch.write(_confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b"))).distinct()), percent))
+    links = scratch.write(C.sized(_confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")))), percent), pairs.count(), C.WHOLE))
     roots = _least_reachable(links, scratch)
     own_root = lambda x: x.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
     # buckets with several components: look across them, first on registers, then on full sets
-    placed = scratch.write(own_root(buckets.select(F.col("band").alias("group"), "rep")).withColumn("n", F.lit(0).cast("long")))
-    inside = scratch.write(placed.drop("n").join(scratch.write(_mixed(placed)), "group"))
-    likely = scratch.write(_forest(inside.join(info.withColumnRenamed("registers", "content"), "rep"), _by_registers(percent)).distinct())
+    placed = scratch.write(own_root(buckets.select(F.col("band").alias("group"), "rep")).withColumn("n", F.lit(0).cast("long")), n)
+    inside = scratch.write(placed.drop("n").join(scratch.write(_mixed(placed), n), "group"), n)
+    likely = scratch.write(_forest(inside.join(info.withColumnRenamed("registers", "content"), "rep"), _by_registers(percent)).distinct(), n)
     final = roots
     if not likely.isEmpty():
         families = _least_reachable(likely, scratch)
         families = families.union(families.select("root", "root").distinct()).toDF("root", "group")
         relatives = inside.select("rep", "root").distinct().join(families, "root").join(info.select("rep", "n"), "rep")
-        relatives = scratch.write(relatives.select("group", "rep", "root", "n"))
-        sides = scratch.write(_mixed(relatives))
-        full = sets_of(relatives.select("rep").distinct()).toDF("rep", "content")
-        found = scratch.write(_forest(relatives.join(sides, "group").join(full, "rep"), _by_sets(percent)).distinct())
+        relatives = scratch.write(relatives.select("group", "rep", "root", "n"), inside.count())
+        n = relatives.count()
+        sides = scratch.write(_mixed(relatives), n)
+        full = sets_of(relatives.select("rep")).toDF("rep", "content")
+        found = scratch.write(_forest(relatives.join(sides, "group").join(full, "rep"), _by_sets(percent)).distinct(), n)
         if not found.isEmpty():
             merged = _least_reachable(found, scratch).toDF("root", "top")
             joined = roots.join(merged, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
             final = joined.union(merged)
 
     named = classes.select("f1", "f2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    named = C.written(named.select("f1", "f2", F.coalesce("root", "rep").alias("own")))
+    named = C.written(named.select("f1", "f2", F.coalesce("root", "rep").alias("own")), n_classes)
     scratch.drop()
     out = docs.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
     by_id = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("own")).otherwise(F.col("doc_id"))
