@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,15 +15,59 @@ def spans(df: DataFrame, keys: list[str], order: list, quantity: str) -> DataFra
     return df.withColumn("end", F.sum(quantity).over(w)).withColumn("begin", F.col("end") - F.col(quantity))
 
 
-def fifo(demand: DataFrame, supply: DataFrame, keys: list[str], demand_order: list, supply_order: list, demand_quantity: str, supply_quantity: str, step: int | None = None) -> DataFrame:
+def fifo(demand: DataFrame, supply: DataFrame, keys: list[str], demand_order: list, supply_order: list, demand_quantity: str, supply_quantity: str) -> DataFrame:
     """(keys, demand_id, supply_id, allocated): first come, first served. Both sides are laid end to end; where two stretches
-    overlap, the overlap is allocated. Stretches meet through steps of the running total rather than all with all."""
-    d = spans(demand, keys, demand_order, demand_quantity).filter(F.col(demand_quantity) > 0)
-    s = spans(supply, keys, supply_order, supply_quantity).filter(F.col(supply_quantity) > 0)
-    step = step or 64
-    cells = lambda df: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col("begin") / step), F.ceil(F.col("end") / step) - 1)))
-    d = cells(d).select(*keys, "cell", "demand_id", F.col("begin").alias("db"), F.col("end").alias("de"))
-    s = cells(s).select(*keys, "cell", "supply_id", F.col("begin").alias("sb"), F.col("end").alias("se"))
-    begin, end = F.greatest("db", "sb"), F.least("de", "se")
-    both = d.join(s, [*keys, "cell"]).filter((begin < end) & (F.col("cell") == F.floor(begin / step)))  # once, in its first cell
-    return both.select(*keys, "demand_id", "supply_id", (end - begin).alias("allocated"))
+    overlap, the overlap is allocated.
+
+    Every overlap begins where one of its stretches does. So the begins of both sides are put in one order, each takes the
+    last stretch of the other side that is open there, and no row is spread over steps or met with all rows of its key."""
+    d = spans(demand.filter(F.col(demand_quantity) > 0), keys, demand_order, demand_quantity).select(*keys, "demand_id", F.lit(None).cast(supply.schema["supply_id"].dataType).alias("supply_id"), "begin", "end", F.lit(1).alias("side"))
+    s = spans(supply.filter(F.col(supply_quantity) > 0), keys, supply_order, supply_quantity).select(*keys, F.lit(None).cast(demand.schema["demand_id"].dataType).alias("demand_id"), "supply_id", "begin", "end", F.lit(0).alias("side"))
+    # at one place supply comes first: a demand meets the supply that begins with it, and not the other way round
+    before = W.partitionBy(*keys).orderBy("begin", "side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    other = lambda side: F.last(F.when(F.col("side") == side, F.struct("demand_id", "supply_id", "end")), ignorenulls=True).over(before)
+    met = d.unionByName(s).withColumns({"d": other(1), "s": other(0)}).withColumn("o", F.when(F.col("side") == 1, F.col("s")).otherwise(F.col("d")))
+    got = met.filter("o is not null").withColumn("allocated", F.least("end", "o.end") - F.col("begin")).filter("allocated > 0")
+    return got.select(*keys, F.coalesce("demand_id", "o.demand_id").alias("demand_id"), F.coalesce("supply_id", "o.supply_id").alias("supply_id"), "allocated")
+
+
+def left_over(df: DataFrame, pairs: DataFrame, id_column: str, quantity: str, name: str) -> DataFrame:
+    """``df`` with ``name``: its quantity without what the pairs took."""
+    took = pairs.groupBy(id_column).agg(F.sum("allocated").alias("__took"))
+    return df.join(took, id_column, "left").withColumn(name, F.col(quantity) - F.coalesce("__took", F.lit(0))).drop("__took")
+
+
+def in_phases(demand: DataFrame, supply: DataFrame, phases: list[tuple[str, list[str], Column | None]], demand_order: list, supply_order: list, quantity: str, tag: str = "tag", reserve: tuple[str, ...] = ()) -> DataFrame:
+    """(demand_id, supply_id, allocated, phase): phases are global, each sees what all rows left over in the ones before.
+
+    A phase is a name, the columns that must agree, and a condition on the supply. In the phases named in ``reserve`` a
+    supply whose tag an unfilled demand of the same first key still asks for is passed over."""
+    found: list[DataFrame] = []
+    for name, keys, condition in phases:
+        d, s = demand.withColumn("__left", F.col(quantity)), supply.withColumn("__left", F.col(quantity))
+        if found:
+            done = reduce(DataFrame.unionByName, found)
+            d, s = left_over(d.drop("__left"), done, "demand_id", quantity, "__left"), left_over(s.drop("__left"), done, "supply_id", quantity, "__left")
+        d, s = d.filter("__left > 0"), s.filter("__left > 0")
+        if condition is not None:
+            s = s.filter(condition)
+        if name in reserve:
+            wanted = d.filter(F.col(tag).isNotNull()).select(keys[0], tag).distinct()
+            s = s.join(wanted, [keys[0], tag], "left_anti")
+        for k in keys:
+            d, s = d.filter(F.col(k).isNotNull()), s.filter(F.col(k).isNotNull())
+        got = fifo(d, s, keys, demand_order, supply_order, "__left", "__left")
+        found.append(got.select("demand_id", "supply_id", "allocated", F.lit(name).alias("phase")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def whole_or_nothing(demand: DataFrame, pool: DataFrame, keys: list[str], order: list[str], quantity: str, available: str) -> DataFrame:
+    """Demand with ``taken``: a row takes all it needs from its key's pool or nothing, and one that doesn't fit doesn't block
+    a later, smaller one. What is left hangs on every row before, so a key's needs are folded in order within one row: a key
+    has as many numbers there as it has demand rows."""
+    rows = demand.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(quantity).alias("__need"), F.col("demand_id").alias("__id")))).alias("__rows"))
+    start = F.struct(F.col(available).cast("long").alias("left"), F.array().cast("array<long>").alias("taken"))
+    fits = lambda a, x: (x["__need"] > 0) & (x["__need"] <= a["left"])
+    step = lambda a, x: F.struct((a["left"] - F.when(fits(a, x), x["__need"]).otherwise(0)).cast("long").alias("left"), F.concat(a["taken"], F.array(F.when(fits(a, x), x["__need"]).otherwise(0).cast("long"))).alias("taken"))
+    folded = rows.join(pool.select(*keys, available), keys, "left").withColumn(available, F.coalesce(available, F.lit(0))).withColumn("__t", F.aggregate("__rows", start, step)["taken"])
+    return folded.select(*keys, F.explode(F.arrays_zip("__rows", "__t")).alias("z")).select(*keys, F.col("z.__rows.__id").alias("demand_id"), F.col("z.__rows.__need").alias("need"), F.col("z.__t").alias("taken"))

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def connected(pairs: DataFrame, left: str, right: str, checkpoint=None) -> DataFrame:
+def ready(spark: SparkSession) -> None:
+    """Set the checkpoint folder to that of ``spark.checkpoint.dir``. Only a local master may do without one."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(folder or "file:///tmp/checkpoints")
+
+
+def connected(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """(id, cluster): ids linked through shared values get the least id among them. Labels spread in rounds of two
     aggregations; each round's labels are checkpointed in the shared folder, so the plan doesn't grow."""
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+    ready(pairs.sparkSession)
     links = pairs.select(F.col(left).alias("id"), F.col(right).alias("value")).distinct()
     labels = links.select("id").distinct().withColumn("cluster", F.col("id")).checkpoint()
     while True:

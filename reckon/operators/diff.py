@@ -14,8 +14,19 @@ def counted_difference(left: DataFrame, right: DataFrame, columns: list[str]) ->
 
 
 def multiset_diff(left: DataFrame, right: DataFrame, code: str, fields: list[str]) -> DataFrame:
-    """What is left after equal rows cancel out, by code: ``changed`` where one row remains on each side, else ``removed``
-    and ``added`` with their counts."""
-    rest = counted_difference(left, right, [code, *fields]).withColumn("gone", F.greatest(F.col("n_left") - F.col("n_right"), F.lit(0))).withColumn("new", F.greatest(F.col("n_right") - F.col("n_left"), F.lit(0)))
-    by = rest.groupBy(code).agg(F.sum("gone").alias("n_removed"), F.sum("new").alias("n_added"))
-    return by.withColumn("kind", F.when((F.col("n_removed") == 1) & (F.col("n_added") == 1), "changed").when(F.col("n_added") == 0, "removed").when(F.col("n_removed") == 0, "added").otherwise("mixed"))
+    """What is left after equal rows cancel out: each distinct row with ``n_removed``, ``n_added`` and ``kind``.
+
+    A code that has one row left on either side is ``changed``. Of the others, rows that agree in all but the code, one on
+    either side, are ``renamed``. Everything else is ``removed`` or ``added``. A null code can only be renamed."""
+    rest = counted_difference(left, right, [code, *fields])
+    rest = rest.select(code, *fields, F.greatest(F.col("n_left") - F.col("n_right"), F.lit(0)).alias("n_removed"), F.greatest(F.col("n_right") - F.col("n_left"), F.lit(0)).alias("n_added"))
+    once = lambda df: df.agg(F.sum("n_removed").alias("r"), F.sum("n_added").alias("a")).filter("r = 1 and a = 1").drop("r", "a")
+    changed = once(rest.filter(F.col(code).isNotNull()).groupBy(code)).withColumn("changed", F.lit(True))
+    marked = rest.join(changed, code, "left")
+    same = [f"`{f}`" for f in fields]
+    renamed = once(marked.filter("changed is null").groupBy(*fields)).withColumn("renamed", F.lit(True)).toDF(*[f"__{f}" for f in fields], "renamed")
+    on = F.col("changed").isNull()
+    for f, own in zip(fields, same, strict=True):
+        on = on & F.col(own).eqNullSafe(F.col(f"__{f}"))
+    kind = F.when(F.col("changed"), "changed").when(F.col("renamed"), "renamed").when(F.col("n_added") == 0, "removed").otherwise("added")
+    return marked.join(renamed, on, "left").select(code, *fields, "n_removed", "n_added", kind.alias("kind"))

@@ -29,3 +29,10 @@ def passes(demand: DataFrame, supply: DataFrame, plan: list[tuple[str, list[tupl
         pairs = ranked_pass(free_d.filter(reduce(Column.__and__, keys_d)), free_s.filter(reduce(Column.__and__, keys_s)), on, demand_order, supply_order)
         found.append(pairs.withColumn("pass", F.lit(name)))
     return reduce(DataFrame.union, found)
+
+
+def outcome(demand: DataFrame, supply: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every row of both sides once: matched pairs with their pass, ``unmatched`` demand and ``supply only`` rows."""
+    left = demand.select("demand_id").join(pairs, "demand_id", "left").select("demand_id", "supply_id", F.coalesce("pass", F.lit("unmatched")).alias("pass"))
+    right = supply.select("supply_id").join(pairs.select("supply_id"), "supply_id", "left_anti").select(F.lit(None).cast(demand.schema["demand_id"].dataType).alias("demand_id"), "supply_id", F.lit("supply only").alias("pass"))
+    return left.union(right)

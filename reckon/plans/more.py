@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reckon.functions import keys
 from reckon.plans.registry import _lines, query
 from reckon.sources.tables import table
 
@@ -93,7 +94,7 @@ SELECT o_orderkey, (year(now_) - year(o_orderdate)) * 12 + month(now_) - month(o
 def month_lateness(spark, d) -> DataFrame:
     """Open rows of months before the last one, in whole months."""
     o = table(spark, d, "orders")
-    now = F.lit(o.agg(F.max("o_orderdate")).first()[0])
+    now = o.agg(F.max("o_orderdate")).scalar()
     months = (F.year(now) - F.year("o_orderdate")) * 12 + F.month(now) - F.month("o_orderdate")
     return o.filter((F.col("o_orderstatus") == "O") & (F.date_trunc("month", "o_orderdate") < F.date_trunc("month", now))).select("o_orderkey", months.cast("long").alias("months_late"))
 
@@ -109,13 +110,16 @@ def collapse_rows(spark, d) -> DataFrame:
     return k.filter("n > 1 or place is null")
 
 
-@query("""
-SELECT p_partkey, regexp_replace(regexp_replace(p_retailprice::DECIMAL(18,4)::VARCHAR, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS number FROM part
-""".replace("\\\\", "\\"))
+_NUMBER = "CASE p_partkey % 5 WHEN 0 THEN concat(p_size, '.', p_partkey, '00000') WHEN 1 THEN concat('-0', p_size, ',0') WHEN 2 THEN '-0,000' WHEN 3 THEN concat(p_size, ' 000.123456789012345', p_size) ELSE concat(p_size, ' pc') END"
+
+
+@query(f"""
+WITH x AS (SELECT p_partkey, {_NUMBER} AS t FROM part), y AS (SELECT *, replace(replace(t, ' ', ''), ',', '.') AS n FROM x)
+SELECT p_partkey, CASE WHEN NOT regexp_matches(n, '^-?[0-9.]+$') THEN t WHEN n::DECIMAL(38, 20) = 0 THEN '0' ELSE regexp_replace(regexp_replace(n::DECIMAL(38, 20)::VARCHAR, '0+$', ''), '[.]$', '') END AS number FROM y
+""")
 def canonical_numbers(spark, d) -> DataFrame:
-    """Numbers as text without an exponent or trailing zeros."""
-    text = F.col("p_retailprice").cast("decimal(18,4)").cast("string")
-    return table(spark, d, "part").select("p_partkey", F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "").alias("number"))
+    """Numbers as text with all their digits, without an exponent or trailing zeros."""
+    return table(spark, d, "part").select("p_partkey", keys.number(F.expr(_NUMBER)).alias("number"))
 
 
 @query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")

@@ -106,14 +106,20 @@ def coverage_kpi(spark, d) -> DataFrame:
     return presence_matrix(spark, d).groupBy(reduce(lambda a, b: a + b, flags).alias("n_sources")).agg(F.count("*").alias("n_keys"))
 
 
-@query("""
-WITH c AS (SELECT l_partkey, l_quantity, l_returnflag, sum((l_linestatus = 'O')::INT) nl, sum((l_linestatus = 'F')::INT) nr FROM lineitem GROUP BY ALL),
-     k AS (SELECT l_partkey, sum(greatest(nl - nr, 0))::BIGINT AS n_removed, sum(greatest(nr - nl, 0))::BIGINT AS n_added FROM c WHERE nl <> nr GROUP BY 1)
-SELECT *, CASE WHEN n_removed = 1 AND n_added = 1 THEN 'changed' WHEN n_added = 0 THEN 'removed' WHEN n_removed = 0 THEN 'added' ELSE 'mixed' END AS kind FROM k
+_DIFF = "CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_orderkey END"
+
+
+@query(f"""
+WITH c AS (SELECT {_DIFF} AS code, l_suppkey, l_quantity, l_returnflag, l_linenumber, sum((l_linestatus = 'O')::INT) nl, sum((l_linestatus = 'F')::INT) nr FROM lineitem GROUP BY ALL),
+ r AS (SELECT * EXCLUDE (nl, nr), greatest(nl - nr, 0)::BIGINT AS n_removed, greatest(nr - nl, 0)::BIGINT AS n_added FROM c WHERE nl <> nr),
+ ch AS (SELECT code FROM r WHERE code IS NOT NULL GROUP BY code HAVING sum(n_removed) = 1 AND sum(n_added) = 1), m AS (SELECT *, coalesce(code IN (SELECT code FROM ch), FALSE) AS changed FROM r),
+ rn AS (SELECT l_suppkey, l_quantity, l_returnflag, l_linenumber, TRUE AS renamed FROM m WHERE NOT changed GROUP BY 1, 2, 3, 4 HAVING sum(n_removed) = 1 AND sum(n_added) = 1)
+SELECT m.* EXCLUDE (changed), CASE WHEN changed THEN 'changed' WHEN renamed THEN 'renamed' WHEN n_added = 0 THEN 'removed' ELSE 'added' END AS kind FROM m LEFT JOIN rn USING (l_suppkey, l_quantity, l_returnflag, l_linenumber)
 """)
 def multiset_diff(spark, d) -> DataFrame:
-    x = table(spark, d, "lineitem")
-    return diff.multiset_diff(x.filter("l_linestatus = 'O'"), x.filter("l_linestatus = 'F'"), "l_partkey", ["l_quantity", "l_returnflag"])
+    """Two tables as multisets: changed, renamed, removed and added rows."""
+    x = table(spark, d, "lineitem").withColumn("code", F.expr(_DIFF))
+    return diff.multiset_diff(x.filter("l_linestatus = 'O'"), x.filter("l_linestatus = 'F'"), "code", ["l_suppkey", "l_quantity", "l_returnflag", "l_linenumber"])
 
 
 def _sides(spark, d):
@@ -189,16 +195,16 @@ def adjacent_pairs(spark, d) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 2 = 0 THEN string_split(p_type, ' ') ELSE [] END AS tags, p_brand = 'Brand#11' AS banned FROM part)
+WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 2 = 0 THEN string_split(p_type, ' ') ELSE [] END AS tags, p_brand = 'Brand#11' AS no_unit, p_size % 7 = 0 AS no_code FROM part)
 SELECT p_partkey, u.tag AS unit_tag, u.qty AS unit_qty FROM (SELECT p_partkey, unnest(CASE
-  WHEN NOT banned AND len(tags) > 1 THEN [{'tag': tags[i], 'qty': CASE WHEN i <= p_size THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END} for i in range(1, len(tags) + 1)]
-  WHEN NOT banned AND len(tags) = 0 AND p_size > 1 THEN [{'tag': NULL::VARCHAR, 'qty': 1.0::DOUBLE} for i in range(1, p_size + 1)]
+  WHEN NOT no_unit AND len(tags) > 1 THEN [{'tag': tags[i], 'qty': CASE WHEN i <= p_size THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END} for i in range(1, len(tags) + 1)]
+  WHEN NOT no_unit AND NOT no_code AND len(tags) = 0 AND p_size > 1 THEN [{'tag': NULL::VARCHAR, 'qty': 1.0::DOUBLE} for i in range(1, p_size + 1)]
   ELSE [{'tag': tags[1], 'qty': p_size::DOUBLE}] END) AS u FROM p)
 """)
 def explode_units(spark, d) -> DataFrame:
     """Demand rows as units, by tag or by quantity."""
     p = table(spark, d, "part").withColumn("tags", F.when(F.col("p_partkey") % 2 == 0, F.split("p_type", " ")).otherwise(F.array().cast("array<string>")))
-    return expand.demand_units(p, "p_size", "tags", F.col("p_brand") == "Brand#11").select("p_partkey", "unit_tag", "unit_qty")
+    return expand.demand_units(p, "p_size", "tags", F.col("p_brand") == "Brand#11", F.col("p_size") % 7 == 0).select("p_partkey", "unit_tag", "unit_qty")
 
 
 @query("""
@@ -218,15 +224,19 @@ def classify_rows(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", kind.alias("row_type"))
 
 
-@query(r"""
+_REVISION = "CASE p_partkey % 6 WHEN 0 THEN 'V' WHEN 1 THEN ' s ' WHEN 2 THEN concat(p_size, '') WHEN 3 THEN 'B2' WHEN 4 THEN '' ELSE NULL END"
+
+
+@query(rf"""
 SELECT p_partkey, nullif(upper(regexp_replace(p_name, '\s+', '', 'g')), '') AS code, nullif(trim(regexp_replace(p_type, '\s+', ' ', 'g')), '') AS text,
-  nullif(regexp_replace(lower(trim(p_brand || '..')), '\.+$', ''), '') AS unit, try_cast(replace(replace(p_size::VARCHAR || ',5', ' ', ''), ',', '.') AS DECIMAL(38,6)) AS quantity,
-  coalesce(try_cast(regexp_extract(p_brand, '(\d+)', 1) AS INT), -3) AS revision
+  nullif(regexp_replace(trim(p_brand || '..'), '\.+$', ''), '') AS unit, try_cast(replace(replace(p_size::VARCHAR || CASE WHEN p_partkey % 5 = 0 THEN ' x' ELSE ',5' END, ' ', ''), ',', '.') AS DECIMAL(38,6)) AS quantity,
+  CASE WHEN upper(trim({_REVISION})) = 'V' THEN -2 WHEN upper(trim({_REVISION})) = 'S' THEN -1 WHEN regexp_matches(trim({_REVISION}), '^[0-9]+$') THEN trim({_REVISION})::INT ELSE -3 END AS revision
 FROM part
 """)
 def normalise_keys(spark, d) -> DataFrame:
     """Scalar normalisers of codes, texts, units, quantities and revisions."""
-    return table(spark, d, "part").select("p_partkey", keys.code(F.col("p_name")).alias("code"), keys.text(F.col("p_type")).alias("text"), keys.unit(F.concat("p_brand", F.lit(".."))).alias("unit"), keys.quantity(F.concat(F.col("p_size").cast("string"), F.lit(",5"))).alias("quantity"), keys.revision_rank(F.col("p_brand"))["rev"].alias("revision"))
+    amount = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 5 == 0, " x").otherwise(",5"))
+    return table(spark, d, "part").select("p_partkey", keys.code(F.col("p_name")).alias("code"), keys.text(F.col("p_type")).alias("text"), keys.unit(F.concat("p_brand", F.lit(".."))).alias("unit"), keys.quantity(amount).alias("quantity"), keys.revision_rank(F.expr(_REVISION))["rev"].alias("revision"))
 
 
 @query("""
@@ -243,25 +253,29 @@ def convert_units(spark, d) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, min(CASE WHEN event_id % 100 = o_orderkey % 100 THEN 1 WHEN abs(day(o_orderdate) - day(ts)) <= 2 THEN 2 END) AS reason
+SELECT o_orderkey, min(CASE WHEN event_id % 100 = o_orderkey % 100 THEN 1 WHEN abs(date_diff('day', (DATE '2024-01-01' + (o_orderkey % 365)::INT), ts::DATE)) <= 2 THEN 2 END) AS reason
 FROM orders JOIN events ON o_custkey = user_id GROUP BY 1 HAVING reason IS NOT NULL
 """)
 def match_events(spark, d) -> DataFrame:
-    """The strongest reason that links a send with any of its events: number first, then a day within two."""
-    x = table(spark, d, "orders").join(table(spark, d, "events"), F.col("o_custkey") == F.col("user_id"))
-    reason = F.when(F.col("event_id") % 100 == F.col("o_orderkey") % 100, 1).when(F.abs(F.day("o_orderdate") - F.day("ts")) <= 2, 2)
-    return x.groupBy("o_orderkey").agg(F.min(reason).alias("reason")).filter("reason is not null")
+    """The strongest reason that links a send with any of its events: number first, then a date within two days. Each reason
+    is an equality: dates are spread over the five days around them, so no key meets all its events."""
+    sends = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 365).cast("int")).alias("sent"))
+    events = table(spark, d, "events").select(F.col("user_id").alias("o_custkey"), (F.col("event_id") % 100).alias("number"), F.to_date("ts").alias("day"))
+    by_number = sends.withColumn("number", F.col("o_orderkey") % 100).join(events.select("o_custkey", "number").distinct(), ["o_custkey", "number"]).select("o_orderkey", F.lit(1).alias("reason"))
+    near = sends.withColumn("day", F.explode(F.sequence(F.date_sub("sent", 2), F.date_add("sent", 2))))
+    by_day = near.join(events.select("o_custkey", "day").distinct(), ["o_custkey", "day"]).select("o_orderkey", F.lit(2).alias("reason"))
+    return by_number.unionAll(by_day).groupBy("o_orderkey").agg(F.min("reason").alias("reason"))
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, o_totalprice p FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00'), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END p FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00')
+WITH o AS (SELECT o_orderkey, o_totalprice p FROM orders WHERE o_orderkey % 4 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END p FROM orders WHERE o_orderkey % 4 <> 1)
 SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'new' WHEN n.o_orderkey IS NULL THEN 'missing' WHEN o.p IS DISTINCT FROM n.p THEN 'changed' ELSE 'same' END AS state FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey
 """)
 def snapshot_upsert(spark, d) -> DataFrame:
     """Two snapshots compared: what is new, changed, missing or the same."""
     o = table(spark, d, "orders")
-    old = o.filter("o_orderdate < timestamp'1997-01-01 00:00:00'").select("o_orderkey", F.col("o_totalprice").alias("p"))
-    new = o.filter("o_orderdate >= timestamp'1995-01-01 00:00:00'").select(F.col("o_orderkey").alias("n"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("np"))
+    old = o.filter("o_orderkey % 4 <> 0").select("o_orderkey", F.col("o_totalprice").alias("p"))
+    new = o.filter("o_orderkey % 4 <> 1").select(F.col("o_orderkey").alias("n"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("np"))
     state = F.when(F.col("o_orderkey").isNull(), "new").when(F.col("n").isNull(), "missing").when(~F.col("p").eqNullSafe(F.col("np")), "changed").otherwise("same")
     return old.join(new, F.col("o_orderkey") == F.col("n"), "full").select(F.coalesce("o_orderkey", "n").alias("o_orderkey"), state.alias("state"))
 

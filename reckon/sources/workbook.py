@@ -1,7 +1,8 @@
 """Workbook scan: xlsx files as rows, without a library. Sheets are read on the executors, one file a row of ``binaryFile``.
 
-Columns are known by position. Text that is struck through inside a cell is split off into a second column. Blank cells are
-null; rows without any cell are skipped; reading stops after ``stop_after`` empty rows in a row.
+Columns are known by position. Text that is struck through, inside a cell or by the cell's own style, is split off into a
+second column. Blank cells are null; rows without any cell are skipped. All rows are read, unless ``stop_after`` empty rows
+in a row are asked to end a sheet; content behind them is then an error, never dropped in silence.
 """
 
 from __future__ import annotations
@@ -38,10 +39,20 @@ def _rich(node) -> tuple[str, str]:
     return "".join(live), "".join(struck)
 
 
-def sheet_rows(content: bytes, sheet: str | None = None, stop_after: int = 50) -> Iterator[tuple[int, dict[int, tuple[str | None, str | None]]]]:
+def _struck_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles whose font is struck through."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    styles = X.fromstring(z.read("xl/styles.xml"))
+    marks = [f.find("m:strike", NS) for f in styles.findall("m:fonts/m:font", NS)]
+    struck = {i for i, m in enumerate(marks) if m is not None and m.get("val", "1") not in ("0", "false")}
+    return {i for i, x in enumerate(styles.findall("m:cellXfs/m:xf", NS)) if int(x.get("fontId") or 0) in struck}
+
+
+def sheet_rows(content: bytes, sheet: str | None = None, stop_after: int | None = None) -> Iterator[tuple[int, dict[int, tuple[str | None, str | None]]]]:
     """(row number, {column: (live, struck)}) of one sheet, by default the first."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
+        names, gone = z.namelist(), _struck_styles(z)
         shared = [_rich(x) for x in X.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", NS)] if "xl/sharedStrings.xml" in names else []
         book = X.fromstring(z.read("xl/workbook.xml"))
         targets = {x.get("Id"): x.get("Target") for x in X.fromstring(z.read("xl/_rels/workbook.xml.rels")).findall("p:Relationship", NS)}
@@ -56,8 +67,6 @@ def sheet_rows(content: bytes, sheet: str | None = None, stop_after: int = 50) -
                 continue
             number, cells = int(row.get("r") or last + 1), {}
             empty, last = empty + number - last - 1, number
-            if empty >= stop_after:
-                return
             for at, c in enumerate(row.findall("m:c", NS)):
                 where = CELL.fullmatch(c.get("r") or "")
                 kind, value = c.get("t"), c.findtext("m:v", None, NS)
@@ -68,17 +77,19 @@ def sheet_rows(content: bytes, sheet: str | None = None, stop_after: int = 50) -
                 else:
                     pair = (value or "", "")
                 pair = tuple(x.strip() or None for x in pair)
+                if int(c.get("s") or 0) in gone:
+                    pair = (None, " ".join(x for x in pair if x) or None)
                 if any(pair):
                     cells[column_number(where[1]) if where else at] = pair
             row.clear()
+            if cells and stop_after is not None and empty >= stop_after:
+                raise ValueError(f"row {number} lies behind {empty} empty rows; stop_after is {stop_after}")
             empty = 0 if cells else empty + 1
-            if empty >= stop_after:
-                return
             if cells:
                 yield number, cells
 
 
-def workbooks(spark: SparkSession, path: str, columns: dict[int, str], sheet: str | None = None, stop_after: int = 50, struck: tuple[str, ...] = ()) -> DataFrame:
+def workbooks(spark: SparkSession, path: str, columns: dict[int, str], sheet: str | None = None, stop_after: int | None = None, struck: tuple[str, ...] = ()) -> DataFrame:
     """All workbooks below ``path``: source_file, source_row, the named columns, and ``<name>_struck`` where asked for."""
     names = [columns[i] for i in sorted(columns)]
     schema = ", ".join(["source_file string", "source_row long", *[f"`{n}` string" for n in names], *[f"`{n}_struck` string" for n in struck]])

@@ -26,9 +26,10 @@ def upsert(current: DataFrame | None, batch: DataFrame, key: str, stamp: list[st
     return x.select(F.coalesce("k", key).alias(key), *[F.coalesce(c, f"old_{c}").alias(c) for c in stamp], present.alias("present"), review.alias("review"))
 
 
-def run_upserts(stream: DataFrame, path: str, key: str, stamp: list[str], checkpoint: str, done: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
+def run_upserts(stream: DataFrame, path: str, key: str, stamp: list[str], checkpoint: str, done: Callable[[int, DataFrame], None] | None = None, reliable: bool = False) -> StreamingQuery:
     """Keep a state table up to date from a stream of scans: each micro-batch is one scan, written as a new version
-    ``path/v=<batch>`` that builds on the last one before it. A batch that is tried again overwrites its own version."""
+    ``path/v=<batch>`` that builds on the last one before it. A batch that is tried again overwrites its own version.
+    ``reliable``: each batch is a whole scan, so what it lacks is missing."""
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -40,7 +41,7 @@ def run_upserts(stream: DataFrame, path: str, key: str, stamp: list[str], checkp
             except Exception as e:  # only a version that isn't there is passed over
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
-        new = upsert(last, batch, key, stamp, reliable=False)
+        new = upsert(last, batch, key, stamp, reliable)
         new.write.mode("overwrite").parquet(f"{path}/v={number}")
         if done:
             done(number, new)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from reckon.plans import more, registry  # noqa: F401
+from reckon.plans import grammars, more, outcomes, registry, rules  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
@@ -32,3 +32,29 @@ def test_query(spark, con, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert rows(map(tuple, df.select(columns).collect())) == rows(tuple(r[i] for i in at) for r in q.fetchall())
+
+
+#: Queries whose results must show every branch on the driver's tables: column and values.
+BRANCHES = {
+    "document_rules": ("rule", set(range(1000, 1020))),
+    "multiset_diff": ("kind", {"changed", "renamed", "removed", "added"}),
+    "allocate_in_phases": ("phase", {"tag", "untagged", "any"}),
+    "position_status": ("status", {"excluded", "untagged", ""}),
+    "match_outcome": ("pass", {"tag and code", "unmatched", "supply only"}),
+    "overlay_versions": ("status", {"current", "ambiguous", "superseded", "ignored"}),
+    "snapshot_upsert": ("state", {"new", "missing", "changed", "same"}),
+    "scan_upsert": ("review", {"acknowledged", "pending", "ignored"}),
+    "history_lines": ("stage", {"code_a", "code_c", "code_b", "sr_upload", "tdo_passed", "tdo_sent", "incoming_sent", "incoming_passed", "dup", "correction", "agreed", "us_build", "other"}),
+    "match_events": ("reason", {1, 2}),
+    "unit_gate": ("status", {"fatal: conflicting targets", "fatal: several units and no target", "kept", "identity", "fatal: conflicting coefficients", "fatal: no coefficient", "converted"}),
+}
+BRANCHES |= {"row_statuses": ("delivery", {"data problem", "open", "demand only", "supply only", "vendor only", "delivery only", "short", "over", "complete"})}
+
+
+@pytest.mark.parametrize("name", BRANCHES)
+def test_every_branch_occurs(name):
+    c = duckdb.connect()
+    for p in glob.glob("/root/testdata/sf0.01/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    column, values = BRANCHES[name]
+    assert {r[0] for r in c.execute(f"SELECT DISTINCT {column} FROM ({registry.ORACLE[name]})").fetchall()} == values
