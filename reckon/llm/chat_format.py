@@ -1,17 +1,22 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
-Prefix sums of turn tokens cut a conversation into spans of whole turns: a span holds the turns that begin within one stride
-of ``budget - history`` tokens, so only its last turn can run over. Each window starts with the conversation's system turn,
-repeats the last turns of the span before (``history`` tokens at most) and then holds its own turns. The loss mask covers
-each assistant text of the window's own turns; what is repeated is context and masked out, so every target counts once.
+Prefix sums of turn tokens cut a conversation into spans of whole turns. The turns that begin within one stride of
+``budget - history - system turn`` tokens make a span; the last of them, if it runs over the stride's end, stays only if the
+span's tokens hold to a stride with it, else it is a span by itself. Each window starts with the conversation's system turn,
+repeats the last turns of the span before (``history`` tokens at most) and then holds its own span. So a window is over the
+budget only where one turn alone is longer than a stride, or the system turn leaves no room (then each turn is a span). The
+loss mask covers each assistant text of the window's own turns; what is repeated is context and masked out, so every target
+counts once.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside texts and roles a backslash doubles and ``<|`` becomes ``<\\|``, so no
 text can hold a control string; a line break in a role is written ``<|n|>``. :func:`read_back` undoes all of it.
 
-Prefix sums go by ranges of turns, so a conversation with a third of all rows is cut up by many tasks.
+Prefix sums go by ranges of turn numbers, so a conversation with a third of all rows is cut up by many tasks (not if all its
+turns have one number, or none: those have no order but their texts', and are sorted in one task, which can spill).
 
 Defined results: null texts and roles are empty; a null conversation id is one conversation; turns with equal numbers are
-ordered by role and text, null numbers first; repeated rows are repeated turns; empty tables work.
+ordered by role and text, null numbers first; repeated rows are repeated turns; a very long turn is a window of its own, and
+whole; empty tables work. Columns are picked by name, extra ones are passed over.
 """
 
 from __future__ import annotations
@@ -21,7 +26,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reckon.llm import common as C
-from reckon.llm.mixing import running_total
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>", "<|n|>"
 BUDGET, HISTORY = 1024, 128
@@ -45,11 +49,10 @@ def tokens(text: Column) -> Column:
 
 
 def format_windows(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row for each window: conv_id, window, text, n_context (leading turns that are repeated) and loss (spans of
+    """One row for each window: conv_id, window (tokens before its own turns), text, n_context (leading turns that are repeated) and loss (spans of
     characters, begin included, end not)."""
     if not 0 <= history < budget:
         raise ValueError("history must be less than the budget")
-    stride = budget - history
     c = lambda x: F.col(f"`{x}`")
     turns = df.select(
         c(conversation).alias("conv_id"), F.coalesce(c(conversation).cast("string"), F.lit("")).alias("key"), c(turn).cast("long").alias("turn"),
@@ -58,15 +61,25 @@ def format_windows(df: DataFrame, conversation: str = "conv_id", turn: str = "tu
     turns = turns.withColumn("head", F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(BREAK)), F.lit("\n"))).withColumn("body", escape(F.col("text")))
     turns = turns.withColumn("n", tokens(F.col("text"))).withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE).cast("long"), F.lit(-(1 << 62)).cast("long")))
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    summed = running_total(turns, ["key"], "range", order, "n", "upto").withColumn("place", F.row_number().over(W.partitionBy("key", "range").orderBy(*order)))
-    summed = summed.withColumn("at", F.struct("range", "place")).withColumn("window", F.floor((F.col("upto") - F.col("n")) / stride).cast("long"))
+    place = F.struct("turn", "role", "text")
+    head_turn = F.when(F.col("role") == "system", F.struct("n", F.concat("head", "body", F.lit(f"{END}\n")).alias("text")))
+    sums = turns.groupBy("key", "range").agg(F.sum("n").alias("sum"), F.min_by(head_turn, place).alias("system"))
+    ranges = W.partitionBy("key").orderBy("range")  # one row for each range of turns
+    before = sums.select("key", "range", F.coalesce(F.sum("sum").over(ranges.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.first("system").over(ranges.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("system"))
+    system = before.filter("before = 0 and system is not null").select("key", F.col("system.text").alias("system"))
+    stride = F.greatest(F.lit(budget - history) - F.coalesce("system.n", F.lit(0)), F.lit(1))
+    own = W.partitionBy("key", "range").orderBy(*order)
+    summed = turns.join(before.select("key", "range", "before", stride.alias("stride")), ["key", "range"])
+    summed = summed.withColumns({"upto": F.col("before") + F.sum("n").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)), "place": F.row_number().over(own)}).drop("before")
+    summed = summed.withColumns({"at": F.struct("range", "place"), "from": F.col("upto") - F.col("n")}).withColumn("cell", F.floor(F.col("from") / F.col("stride")))
+    start = F.min("from").over(W.partitionBy("key", "cell"))
+    over = (F.col("upto") > (F.col("cell") + 1) * F.col("stride")) & (F.col("upto") - F.col("start") > F.col("stride"))
+    summed = summed.withColumn("start", start).withColumn("window", F.when(over, F.col("from")).otherwise(F.col("start"))).drop("cell", "start", "stride")
     ends = summed.withColumn("end", F.max("upto").over(W.partitionBy("key", "window")))
-    # the turns that the next span repeats; it begins where this one ends
-    again = ends.filter(F.col("end") - F.col("upto") + F.col("n") <= history).withColumn("next", F.floor(F.col("end") / stride).cast("long"))
-    again = again.filter("next > window").withColumn("window", F.col("next")).drop("next").withColumn("own", F.lit(False))  # the last span has no next
+    # the turns that the next span repeats; it begins where this one ends. The system turn leads every window anyway.
+    again = ends.filter((F.col("end") - F.col("from") <= history) & ~((F.col("from") == 0) & (F.col("role") == "system")))
+    again = again.withColumn("window", F.col("end")).withColumn("own", F.lit(False))
     both = ends.withColumn("own", F.lit(True)).unionByName(again)
-    first = summed.filter("upto = n").groupBy("key").agg(F.min_by(F.struct("role", "head", "body"), "at").alias("s")).filter("s.role = 'system'")
-    system = first.select("key", F.concat("s.head", "s.body", F.lit(f"{END}\n")).alias("system"))
     piece = F.concat("head", "body", F.lit(f"{END}\n"))
     upto_here = W.partitionBy("key", "window").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = both.withColumn("piece", piece).withColumn("stop", F.sum(F.length("piece")).over(upto_here))
@@ -79,11 +92,10 @@ def format_windows(df: DataFrame, conversation: str = "conv_id", turn: str = "tu
             F.sort_array(F.collect_list(F.when(F.col("own") & (F.col("role") == "assistant"), F.struct((body_end - F.length("body")).alias("begin"), body_end.alias("end"))))).alias("loss"),
             F.sum((~F.col("own")).cast("long")).alias("repeated"),
             F.count("*").alias("n"),
-            F.min(F.col("upto") - F.col("n")).alias("from"),
         )
         .filter("n > repeated")  # what ends a conversation is repeated nowhere
     )
-    windows = windows.join(system, "key", "left").withColumn("lead", F.when((F.col("from") > 0), F.col("system")))
+    windows = windows.join(system, "key", "left").withColumn("lead", F.when(F.col("window") > 0, F.col("system")))
     shift = F.coalesce(F.length("lead"), F.lit(0))
     return windows.select(
         "conv_id",
@@ -118,7 +130,7 @@ def digests(read: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: every row of ``conversations``, and conversation -1."""
+    """op10: every row of ``conversations``, and conversation -1 (to which rows stored under that number would belong)."""
     rows = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")
-    return digests(read_back(format_windows(rows.union(extra))))
+    values = ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in EXTRA)
+    return digests(read_back(format_windows(rows.union(spark.sql(f"SELECT * FROM VALUES {values} AS t(conv_id, turn, role, text)")))))

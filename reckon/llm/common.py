@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pickle
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,9 @@ def shared_base(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset only a local master gets one below /tmp; on a cluster a
     machine's own folder would lose data, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base and "://" not in base:  # a path lies on the cluster's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = re.sub("^file:/(?!/)", "file:///", path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
     if base:
         return base.rstrip("/")
     if re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
@@ -88,6 +90,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores in front until no column of ``taken`` has it, whatever its case."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in low:
+            name = f"_{name}"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, *added: str) -> list[str]:
+    """The columns of ``df`` that no column in ``added`` replaces."""
+    low = {c.lower() for c in added}
+    return [c for c in df.columns if c.lower() not in low]
+
+
 def fresh(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the named columns; one that is missing is null. Extra columns never clash with inner names."""
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in wanted])
@@ -96,12 +116,44 @@ def fresh(df: DataFrame, *wanted: str) -> DataFrame:
 # ---- blobs -----------------------------------------------------------------------------------------------------------
 
 
-def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
-
-
-def unpack(blob: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+DTYPES = ["|u1", "<u2", "<u4", "<u8", "<i8"]
+#: Shorter messages are not compressed.
+PLAIN_BYTES = 256
+
+
+def pack(*parts: bytes | np.ndarray) -> bytes:
+    """Byte strings and arrays as one message. A part costs two bytes or so besides its content, so that messages with one
+    element in them are no dearer than a row."""
+    head, body = bytearray([len(parts)]), []
+    for x in parts:
+        raw, code = (x, 255) if isinstance(x, bytes) else (x.tobytes(), DTYPES.index(x.dtype.str))
+        n = len(raw)
+        head.append(code)
+        while n >= 128:
+            head.append(n & 127 | 128)
+            n >>= 7
+        head.append(n)
+        body.append(raw)
+    data = bytes(head) + b"".join(body)
+    return b"\0" + data if len(data) < PLAIN_BYTES else b"\1" + zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpack(blob: bytes) -> list[bytes | np.ndarray]:
+    data = blob[1:] if blob[0] == 0 else zstandard.ZstdDecompressor().decompress(blob[1:])
+    at, heads, out = 1, [], []
+    for _ in range(data[0]):
+        code, n, shift, at = data[at], 0, 0, at + 1
+        while True:
+            n |= (data[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if data[at - 1] < 128:
+                break
+        heads.append((code, n))
+    for code, n in heads:
+        raw = data[at : at + n]
+        out.append(raw if code == 255 else np.frombuffer(raw, DTYPES[code]))
+        at += n
+    return out
 
 
 # ---- texts as one byte buffer ----------------------------------------------------------------------------------------

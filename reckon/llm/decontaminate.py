@@ -9,7 +9,9 @@ A document lies in one shard, so nothing is shuffled. The benchmark reaches the
 ``block_bytes`` of text, one pass for each block, whatever its size.
 
 Defined results: null texts have no words; items without words match nothing; repeated item ids count once, a null id is
-called ``null``; repeated documents each get their row; empty tables work. Columns are picked by name.
+called ``null``; repeated documents each get their row; a very long text is a shard of its own, searched whole; of equally
+long matches the first in the text and the least item wins; empty tables work. Columns are picked by name; the result's
+names replace columns of these names, and :func:`decontaminate` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -175,15 +177,15 @@ ADDED = [
 ]
 
 
-def _pass(text_column: str, first: bool, broadcast):
-    """One block of the benchmark over batches of documents."""
+def _pass(text_column: str, first: bool, broadcast, added: list[str]):
+    """One block of the benchmark over batches of documents. ``added``: the names of the columns of ADDED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Benchmark = broadcast.value
         for batch in batches:
             data, offsets = C.buffer_of(batch[text_column])
             n_words, hits, items, best = [], [], [], []
-            before = None if first else [batch[f.name].to_pylist() for f in ADDED]
+            before = None if first else [batch[c].to_pylist() for c in added]
             for i, j in C.slices(offsets):
                 hashes, off = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 place, window = find(hashes, off, b)
@@ -215,36 +217,42 @@ def _pass(text_column: str, first: bool, broadcast):
                         items[r] = sorted({*known, *items[r]})
                         best[r] = max([x for x in (top, best[r]) if x], key=lambda x: (x["n_words"], -x["first_word"]))
             n_hit = [int.from_bytes(h).bit_count() for h in hits]
-            columns = [batch[c] for c in batch.schema.names if first or c not in {f.name for f in ADDED}]
+            base = [c for c in batch.schema.names if c not in added]
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.struct([("n_words", pa.int64()), ("first_word", pa.int64()), ("item_id", pa.string())]))
-            names = [c for c in batch.schema.names if first or c not in {f.name for f in ADDED}] + [f.name for f in ADDED]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(v, k) for v, k in zip((n_words, n_hit, hits, items, best), kinds, strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in base], *[pa.array(v, k) for v, k in zip((n_words, n_hit, hits, items, best), kinds, strict=True)]], names=[*base, *added])
 
     return run
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``df`` with n_words, n_hit, items (ids, sorted as strings) and longest (struct: n_words, first_word, item_id)."""
+def _found(df: DataFrame, benchmark: DataFrame, text_column: str, item_column: str, item_text_column: str, window: int, block_bytes: int) -> tuple[DataFrame, list[str]]:
+    """The rows of ``df`` with the columns of ADDED, and the names that these have."""
     spark = df.sparkSession
     items = benchmark.select(F.coalesce(F.col(f"`{item_column}`").cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(f"`{item_text_column}`"), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    base = [f for f in df.schema.fields]
-    schema = T.StructType(base + ADDED)
+    added = C.unused(df.columns, *[f.name for f in ADDED])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, f.dataType) for n, f in zip(added, ADDED, strict=True)]])
     out = df
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()  # about block_bytes
         shared = spark.sparkContext.broadcast(Benchmark([(r.i, r.t) for r in rows], window))
-        out = out.mapInArrow(_pass(text_column, k == 0, shared), schema)
+        out = out.mapInArrow(_pass(text_column, k == 0, shared, added), schema)
         if k + 1 < blocks:
             out = C.written(out)
-    return out.select(*[F.col(f"`{f.name}`") for f in base], F.col("__words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.col("__items").alias("items"), F.col("__longest").alias("longest"))
+    return out, added
+
+
+def find_contamination(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``df`` with n_words, n_hit, items (ids, sorted as strings) and longest (struct: n_words, first_word, item_id)."""
+    out, (words, n_hit, _, items, best) = _found(df, benchmark, text_column, item_column, item_text_column, window, block_bytes)
+    named = {"n_words": words, "n_hit": n_hit, "items": items, "longest": best}
+    return out.select(*[F.col(f"`{c}`") for c in C.others(df, *named)], *[F.col(c).alias(n) for n, c in named.items()])
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, text_column: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents without any benchmark window."""
-    found = find_contamination(df.select(*[F.col(f"`{c}`") for c in df.columns]), benchmark, text_column, window=window)
-    return found.filter("n_hit = 0").select(*[F.col(f"`{c}`") for c in df.columns])
+def decontaminate(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any benchmark window, with all their columns."""
+    out, (_, n_hit, *_) = _found(df, benchmark, text_column, item_column, item_text_column, window, block_bytes)
+    return out.filter(F.col(n_hit) == 0).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

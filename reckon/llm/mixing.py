@@ -55,6 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, keep: tuple[str, ...] = (), seed: int = 7) -> DataFrame:
     """The manifest: id, size, source, source_size, target, epochs and taken, and the columns named in ``keep``."""
     text = F.col(f"`{text_column}`")
+    keep = tuple(c for c in keep if c.lower() not in ("doc_id", "size", "source", "source_size", "target", "epochs", "taken"))
     light = C.written(
         df.select(
             F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{source_column}`").alias("source"), F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),

@@ -131,7 +131,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-SIGNATURES = "doc_id long, n_shingles long, f1 long, f2 long, registers binary"
+SIGNATURES = "doc_id long, n_shingles long, f1 long, f2 long, registers binary, text_hash long"
 
 
 def signatures(df: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
@@ -143,9 +143,9 @@ def signatures(df: DataFrame, id_column: str, text_column: str, shingle: int) ->
                 total = np.concatenate((np.zeros((1, 2), U64), np.cumsum(np.stack((C.mix(hashes + U64(1)), C.mix(hashes ^ U64(0xA5A5A5A5A5A5A5A5))), 1), axis=0, dtype=U64)))
                 print_ = total[off[1:]] - total[off[:-1]]
                 raw = [x.tobytes() for x in registers(hashes, off)]
-                yield pa.RecordBatch.from_arrays([batch["d"][i:j], pa.array(np.diff(off)), _signed(print_[:, 0].copy()), _signed(print_[:, 1].copy()), pa.array(raw, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "registers"])
+                yield pa.RecordBatch.from_arrays([batch["d"][i:j], pa.array(np.diff(off)), _signed(print_[:, 0].copy()), _signed(print_[:, 1].copy()), pa.array(raw, pa.binary()), batch["h"][i:j]], names=["doc_id", "n_shingles", "f1", "f2", "registers", "text_hash"])
 
-    return df.select(F.col(f"`{id_column}`").cast("long").alias("d"), F.col(f"`{text_column}`").cast("string").alias("t")).mapInArrow(run, SIGNATURES)
+    return df.select(F.col(f"`{id_column}`").cast("long").alias("d"), F.col(f"`{text_column}`").cast("string").alias("t"), F.xxhash64(F.col(f"`{text_column}`")).alias("h")).mapInArrow(run, SIGNATURES)
 
 
 def bands(lines: str = "registers") -> Column:
@@ -391,7 +391,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of ``df``: doc_id, n_shingles, component_id, kept."""
+    """One row for each row of ``df``: doc_id, n_shingles, component_id, kept, and text_hash (xxhash64 of the text), which
+    tells rows apart that share an id."""
     scratch = C.Scratch(df.sparkSession)
     docs = C.written(signatures(df, id_column, text_column, shingle))
     known = docs.filter("n_shingles > 0 and doc_id is not null")
@@ -438,11 +439,12 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     named = classes.select("f1", "f2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     named = C.written(named.select("f1", "f2", F.coalesce("root", "rep").alias("own")), n_classes)
     scratch.drop()
-    out = docs.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
+    out = docs.select("doc_id", "n_shingles", "f1", "f2", "text_hash").join(named, ["f1", "f2"], "left")
     by_id = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("own")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", by_id.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", by_id.alias("component_id"), "text_hash").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every document of ``documents``."""
-    return near_duplicates(C.table(spark, sf_dir, "documents"))
+    return near_duplicates(C.table(spark, sf_dir, "documents")).drop("text_hash")

@@ -94,7 +94,6 @@ SELECT doc_id, n::BIGINT AS n_words, c::BIGINT AS word_chars, symbols::BIGINT AS
 FROM out
 """
 
-_STRIDE = chat_format.BUDGET - chat_format.HISTORY
 #: op10: turns and targets straight from the table; the formatted length from the windows' turns.
 CHAT = rf"""
 WITH raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -102,12 +101,14 @@ WITH raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, ''
  t AS (SELECT *, (ceil(length(text) / 4.0) + 4)::BIGINT AS n, row_number() OVER w AS place, sum(ceil(length(text) / 4.0) + 4) OVER w AS upto,
    12 + length(replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), '<|n|>')) + 1 + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) + 11 AS size
    FROM raw WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
- spans AS (SELECT *, floor((upto - n) / {_STRIDE}) AS win FROM t),
+ system AS (SELECT conv_id, size, n FROM t WHERE place = 1 AND role = 'system'),
+ cells AS (SELECT t.*, greatest({chat_format.BUDGET - chat_format.HISTORY} - coalesce(s.n, 0), 1) AS stride FROM t LEFT JOIN system s USING (conv_id)),
+ starts AS (SELECT *, floor((upto - n) / stride) AS cell, min(upto - n) OVER (PARTITION BY conv_id, floor((upto - n) / stride)) AS start FROM cells),
+ spans AS (SELECT *, CASE WHEN upto > (cell + 1) * stride AND upto - start > stride THEN upto - n ELSE start END AS win FROM starts),
  ends AS (SELECT *, max(upto) OVER (PARTITION BY conv_id, win) AS e, max(upto) OVER (PARTITION BY conv_id) AS total FROM spans),
- rows_ AS (SELECT conv_id, win, size, upto - n AS start FROM ends
-   UNION ALL SELECT conv_id, floor(e / {_STRIDE}), size, upto - n FROM ends WHERE e - upto + n <= {chat_format.HISTORY} AND floor(e / {_STRIDE}) > win AND e < total),
- windows AS (SELECT conv_id, win, sum(size) AS chars, min(start) > 0 AS later FROM rows_ GROUP BY ALL),
- system AS (SELECT conv_id, size FROM t WHERE place = 1 AND role = 'system'),
+ rows_ AS (SELECT conv_id, win, size FROM ends
+   UNION ALL SELECT conv_id, e, size FROM ends WHERE e - upto + n <= {chat_format.HISTORY} AND e < total AND NOT (place = 1 AND role = 'system')),
+ windows AS (SELECT conv_id, win, sum(size) AS chars, win > 0 AS later FROM rows_ GROUP BY ALL),
  length_ AS (SELECT w.conv_id, sum(chars + CASE WHEN later THEN coalesce(s.size, 0) ELSE 0 END) AS chars FROM windows w LEFT JOIN system s ON s.conv_id = w.conv_id GROUP BY ALL),
  all_ AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS turns, coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss FROM t GROUP BY conv_id)
 SELECT conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM all_ JOIN length_ USING (conv_id)

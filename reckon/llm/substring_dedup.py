@@ -6,7 +6,8 @@ agree. The class to the left and the class to the right of a window's seed name
 sort and no pair of documents is formed. Neighbouring windows of an earlier document join to maximal repeats.
 
 Defined results: a null text has no words; a null id comes after all others and rows with equal ids don't remove each
-other; repeated rows give repeated rows; texts shorter than a window, and empty tables, lose nothing.
+other; repeated rows give repeated rows; texts shorter than a window, and empty tables, lose nothing; very long texts are
+read whole, in a bucket of their own. Columns are picked by name; one in ``keep`` with the name of a result is left out.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ def substring_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Returns the id, n_words, n_removed, ``repeats`` (maximal removed runs: first word and length), ``kept`` (the other
     words, one space between) and the columns named in ``keep``."""
+    keep = tuple(c for c in keep if c.lower() not in ("doc_id", "n_words", "n_removed", "repeats", "kept"))
     span = T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("repeats", T.ArrayType(span)), T.StructField("kept", T.StringType()), *[df.schema[c] for c in keep]]
 

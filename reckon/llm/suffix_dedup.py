@@ -6,7 +6,8 @@ previous and the next place with a smaller document bound the longest previous f
 that starts in an earlier document. Where it reaches ``length`` the bytes are a later copy.
 
 Defined results: a null text is empty; a null id comes after all others and rows with equal ids don't remove each other;
-repeated rows give repeated rows; texts shorter than a window, and empty tables, lose nothing. Columns are picked by name.
+repeated rows give repeated rows; texts shorter than a window, and empty tables, lose nothing; very long texts are read
+whole, in a bucket of their own. Columns are picked by name; one in ``keep`` with the name of a result is left out.
 """
 
 from __future__ import annotations
@@ -108,6 +109,7 @@ def suffix_array_dedup(df: DataFrame, id_column: str = "doc_id", text_column: st
     ``whole_characters`` a character that loses a byte goes whole, so that ``kept`` is valid UTF-8."""
     if length < 8:
         raise ValueError("length must be 8 at least")
+    keep = tuple(c for c in keep if c.lower() not in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept"))
     fields = [T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType()), *[df.schema[c] for c in keep]]
 
     def finish(part: pa.Table, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> pa.Table:

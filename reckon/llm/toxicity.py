@@ -10,8 +10,14 @@ a longer or shorter one already explains are left out. Phrases of two words that
 become exceptions. Rows held out by the contract (crc32 of the id, modulo 5, is 0) take no part. Scoring is one pass over
 all documents without any exchange; the model is a few kilobytes, bounded by ``LEXICON`` and ``EXCEPTIONS``.
 
-Defined results: null and empty texts have no hits and get the score of a clean text; repeated rows get equal scores; with
-no labels of one kind nothing is learnt and all scores are 0; empty tables work. Columns are picked by name.
+The model is bounded by parameters, not by the data: at most ``LEXICON`` entries (those with the most gain, the sum of the
+log odds over the toxic sample) and ``EXCEPTIONS`` phrases (the most frequent ones), entries of ``SHORTEST`` to ``LONGEST``
+letters or a whole word. At sf0.1 it learns far fewer than either bound.
+
+Defined results: null and empty texts have no hits and get the score of a clean text; very long texts are read whole, in
+one pass; repeated rows get equal scores; several labels of an id count as the largest, several texts of an id are rows of their own;
+with no labels of one kind nothing is learnt and all scores are the same, under 1e-12; empty tables work. Columns are picked
+by name; ``score`` and ``n_hits`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reckon.llm import common as C
 
@@ -103,8 +110,15 @@ class Matcher:
                     covered.append((end - size, end))
                 else:  # the longest entry at a word's start counts
                     hits[end - size] = max(hits.get(end - size, 0.0), weight)
-        if covered:
-            hits = {at: w for at, w in hits.items() if not any(a - 1 <= at < b for a, b in covered)}
+        if covered:  # one merge pass: the furthest end of the phrases that begin at or before a hit
+            covered.sort()
+            k, reach, left = 0, -1, {}
+            for at in sorted(hits):
+                while k < len(covered) and covered[k][0] - 1 <= at:
+                    reach, k = max(reach, covered[k][1]), k + 1
+                if at >= reach:
+                    left[at] = hits[at]
+            hits = left
         return sum(hits.values()) / math.sqrt(25 + len(found)), len(hits)
 
     def score(self, text: str | None) -> tuple[float, int]:
@@ -169,7 +183,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
     own = own.filter(F.crc32(F.col("d").cast("string")) % HELD_OUT != 0).withColumn("h", F.xxhash64("d"))
     ids = own.filter("y = 1").orderBy("h", "d").limit(sample).union(own.filter("y = 0").orderBy("h", "d").limit(sample)).select("d", "y")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("t"))
-    return [(r.t, r.y) for r in texts.join(F.broadcast(ids), "d").orderBy("d", "t").limit(4 * sample).collect()]  # ids: 2 * sample rows
+    rows = texts.join(F.broadcast(ids), "d").withColumn("h", F.xxhash64("d"))  # ids: 2 * sample rows at most
+    picked = [r for y in (1, 0) for r in rows.filter(F.col("y") == y).orderBy("h", "d", "t").limit(sample).collect()]
+    return [(r.t, r.y) for r in sorted(picked, key=lambda r: (r.d, r.t))]
 
 
 def held_out(doc_id: int) -> bool:
@@ -178,19 +194,17 @@ def held_out(doc_id: int) -> bool:
 
 def score(df: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """The rows of ``df`` with score (0 to 1) and n_hits."""
+    value, hits = C.unused(df.columns, "__score", "__hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
         for batch in batches:
             out = [matcher.score(t) for t in batch[text_column].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64())], names=[*batch.schema.names, "__score", "__hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64())], names=[*batch.schema.names, value, hits])
 
-    from pyspark.sql import types as T
-
-    names = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("__hits", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(value, T.DoubleType()), T.StructField(hits, T.LongType())])
     out = df.mapInArrow(run, schema)
-    return out.select(*[F.col(f"`{c}`") for c in names if c not in ("score", "n_hits")], F.col("__score").alias("score"), F.col("__hits").alias("n_hits"))
+    return out.select(*[F.col(f"`{c}`") for c in C.others(df, "score", "n_hits")], F.col(value).alias("score"), F.col(hits).alias("n_hits"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

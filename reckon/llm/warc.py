@@ -10,14 +10,14 @@ frame at a time. Bundles go to the shared folder under names that carry a unique
 the task that finished, so a lost or repeated task leaves no wrong record. The file system is whatever the folder's URI names.
 
 Defined results: null html is an empty payload; empty payloads (below ``least`` bytes) can be kept apart; of rows with equal
-payload and equal smallest id all are ``response``; a null id comes last; empty tables make no bundle.
+payload and equal smallest id all are ``response``; a null id comes last; empty tables make no bundle. A record longer than
+a frame makes a frame of its own; the seek table's fields have 32 bits, so a frame, and with it a record, is under 4 GiB.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -121,7 +121,10 @@ class Bundle:
 
 
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(folder))
+    """The file system and path of a URI. A bare path would be another folder on each machine, so it must name its scheme."""
+    if "://" not in folder and not folder.startswith("file:"):
+        raise ValueError(f"{folder} has no scheme: name the shared file system, as in hdfs:// or file://")
+    return fs.FileSystem.from_uri(folder)
 
 
 def write_bundles(df: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: int = 0, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:

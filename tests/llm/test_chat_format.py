@@ -61,6 +61,25 @@ def test_windows_hold_to_the_budget_and_keep_the_system_turn(spark):
     assert repeated > 0
 
 
+def test_no_window_is_over_the_budget_unless_a_turn_is(spark):
+    rows = hard_rows()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    n = lambda x: -(-len(x) // 4) + 4
+    systems = {c: n(x or "") for c, t, r, x in rows if r == "system"}
+    for budget, history in ((200, 60), (1024, 128)):
+        windows = K.format_windows(df, budget=budget, history=history)
+        parts = K.read_back(windows.withColumn("n_context", K.F.lit(0))).join(windows.select("conv_id", "window", "n_context"), ["conv_id", "window"])
+        full = 0
+        for w in parts.collect():
+            size, lead = [n(t.text) for t in w.turns], systems.get(w.conv_id, 0)
+            stride = max(1, budget - history - lead)
+            own = size[w.n_context :]
+            assert sum(size) <= budget or len(own) == 1 and (own[0] > stride or lead > budget - history)
+            assert sum(own) <= stride or len(own) == 1
+            full += sum(size) > budget / 2
+        assert full > 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert K.digests(K.read_back(K.format_windows(df))).count() == 0

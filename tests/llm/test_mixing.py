@@ -64,3 +64,40 @@ def test_query(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     hold(rows, M.query(spark, d).collect())
+
+
+def test_manifest_is_that_of_a_plain_queue(spark):
+    """Copies taken one by one in order of their finish time until the budget is full, by a heap over the sources."""
+    import heapq
+
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (1 + i * 7 % 23), f"s{i * i % 5}" if i % 4 else "hot") for i in range(600)] + [(700, None, "s1"), (701, "", None), (702, "z " * 40, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    place = dict(map(tuple, df.select("doc_id", F.xxhash64("doc_id", F.lit(7))).collect()))
+    queues, sizes = defaultdict(list), defaultdict(int)
+    for d, t, s in sorted(rows, key=lambda r: (place[r[0]], r[0])):
+        n = len(WORD.findall(t or ""))
+        sizes[s] += n
+        if n:
+            queues[s].append((sizes[s], n, d))
+    want, order = targets(sizes), sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    offers = {s: iter([((upto + e * sizes[s]) / want[s], rank, n, d) for e in range(2) for upto, n, d in queues[s]]) for rank, s in enumerate(order) if sizes[s]}
+    heap = [(next(o), s) for s, o in offers.items()]
+    heap = [(*first, s) for first, s in heap]
+    heapq.heapify(heap)
+    left, taken = 1.5 * sum(sizes.values()), defaultdict(int)
+    while heap:
+        _, _, n, d, s = heapq.heappop(heap)
+        if n > left:
+            break
+        left -= n
+        taken[d] += 1
+        if (more := next(offers[s], None)) is not None:
+            heapq.heappush(heap, (*more, s))
+    assert {r.doc_id: r.taken for r in M.mix(df).collect()} == {d: taken[d] * len(WORD.findall(t or "")) for d, t, _ in rows}
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 5, "x")], "doc_id long, text string, source string, source_size int, lang string")
+    assert M.mix(df, keep=("source_size", "lang")).columns == ["doc_id", "size", "source", "source_size", "target", "epochs", "taken", "lang"]

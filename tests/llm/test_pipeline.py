@@ -71,3 +71,38 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.columns[0] == "doc_id"
+
+
+ROWS = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, "one two three", "en", "a", 13), (3, "one two three", "en", "a", 13), (3, "quite another text " * 30, "en", None, 1), (None, "no id here " * 40, "de", "b", 2), (None, None, None, None, None), (9, "long " * 60_000, "xx", "b", 3)]
+CLASHES = ["n_words", "kept", "__hits", "__words", "__m", "__score", "n_bytes", "source_size", "taken", "__id", "size"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_and_clashing_columns(spark, name):
+    """Nulls anywhere, empty and very long texts, repeated rows, rows sharing an id, an empty table, extra columns."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    df = spark.createDataFrame([(*r, *["x"] * len(CLASHES)) for r in ROWS], schema)
+    out = stage(spark, df, "/root/testdata/sf0.001")
+    rows = out.collect()
+    if name == "mixing to target weights":
+        assert {r.doc_id for r in rows} <= {1, 2, 3, 9, None} and all(r.taken > 0 for r in rows)
+    else:
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    if name == "MinHash near-dedup":
+        assert len(rows) == len(ROWS)
+    if name == "benchmark decontamination":
+        assert len(rows) == len(ROWS)
+    if name == "suffix-array dedup":
+        assert len(rows) == len(ROWS) and all(r.text is not None for r in rows)
+    if name == "quality rules":
+        assert {r.doc_id for r in rows} <= {3, 9, None} and all(r.text and len(r.text.split()) >= 50 for r in rows)
+    assert stage(spark, df.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """A copy goes, another text under the same id stays."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "en", "a", 1), (5, text, "en", "a", 1), (5, " ".join(f"v{i}" for i in range(80)), "en", "a", 1)]
+    out = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), D)
+    assert sorted((r.doc_id, r.text[0]) for r in out.collect()) == [(1, "w"), (5, "v")]

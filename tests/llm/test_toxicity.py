@@ -52,3 +52,44 @@ def test_null_and_empty(spark):
     rows = X.score(df, X.Model({"bad": 3.0}, [], 2.0, -3.0)).collect()
     assert rows[0].score == rows[1].score < 0.5 < rows[2].score
     assert X.score(df.limit(0), X.Model()).count() == 0
+
+
+def naive(model, text):
+    """Every entry and phrase looked for at every word, exceptions by brute force."""
+    words = X.fold(text)
+    plain = X.spaced(words)
+    starts = [i for i, c in enumerate(plain[:-1]) if c == " "]
+    phrases = [(i, i + len(p) + 1) for i in starts for p in model.exceptions if plain[i:].startswith(f" {p} ")]
+    total, n = 0.0, 0
+    for i in starts:
+        found = [w for e, w in model.lexicon.items() if plain[i:].startswith(f" {e}")]
+        if found and not any(a <= i < b for a, b in phrases):
+            total, n = total + max(found), n + 1
+    return total / (25 + len(words)) ** 0.5, n
+
+
+def test_matcher_against_a_naive_one():
+    rng = __import__("random").Random(5)
+    vocabulary = ["trash", "trashy", "can", "moron", "m0r0n", "moronic", "the", "idiot!", "1diot", "vile", "house", "ＶＩＬＥ", "é", "$5"]
+    model = X.Model({"trash": 4.0, "trashy ": 5.0, "moron": 3.0, "idiot ": 6.0, "vile": 2.0}, ["trash can", "vile house", "can trash can", "the moron"], 1.0, 0.0)
+    matcher = X.Matcher(model)
+    for _ in range(400):
+        text = rng.choice([" ", ", ", "\n"]).join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30)))
+        got, want = matcher.density(text), naive(model, text)
+        assert abs(got[0] - want[0]) < 1e-12 and got[1] == want[1], text
+    many = "trash can " * 20_000
+    assert matcher.density(many)[1] == 0
+
+
+def test_scores_against_a_naive_matcher(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    model = X.learn(X.training_rows(docs, spark.read.parquet(f"{d}/labels.parquet")))
+    want = {r.doc_id: 1 / (1 + __import__("math").exp(-(model.slope * naive(model, r.text)[0] + model.offset))) for r in docs.collect()}
+    assert all(abs(r.score - want[r.doc_id]) < 1e-9 for r in X.query(spark, d).collect())
+
+
+def test_inner_names_may_be_there(spark):
+    df = spark.createDataFrame([(1, "bad", 5, 6, 7)], "doc_id long, text string, __score int, __hits int, Score int")
+    out = X.score(df, X.Model({"bad": 3.0}, [], 2.0, -3.0))
+    assert out.columns == ["doc_id", "text", "__score", "__hits", "score", "n_hits"] and tuple(out.first())[2:4] == (5, 6)

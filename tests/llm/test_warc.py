@@ -2,6 +2,7 @@ import base64
 import hashlib
 import os
 
+import pytest
 import zstandard
 
 from reckon.llm import common as C
@@ -27,7 +28,7 @@ ROWS = [(i, f"http://h{i}.com/é\r\nX: y" if i % 7 else None, f"<p>{i % 11}</p>\
 def test_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(*r, "clash", 1) for r in ROWS], "page_id long, url string, html string, sha string, first int")
     for least in (0, 1, 100):
-        folder = str(tmp_path / f"w{least}")
+        folder = f"file://{tmp_path}/w{least}"
         index = C.written(W.write_bundles(df, folder, least=least, bundle_bytes=2000))
         got = W.read_bundles(index, folder).collect()
         assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == brute(ROWS, least)
@@ -36,12 +37,12 @@ def test_round_trip(spark, tmp_path):
 
 
 def test_bundles_are_seekable_and_plain(spark, tmp_path):
-    folder = str(tmp_path / "w")
+    folder = f"file://{tmp_path}/w"
     index = C.written(W.write_bundles(spark.createDataFrame([(i, "u", f"{i} " * 90_000) for i in range(12)], "page_id long, url string, html string"), folder))
     total = 0
-    for name in os.listdir(folder):
-        with open(f"{folder}/{name}", "rb") as f:
-            frames = W.read_seek_table(f, os.path.getsize(f"{folder}/{name}"))
+    for name in os.listdir(tmp_path / "w"):
+        with open(tmp_path / "w" / name, "rb") as f:
+            frames = W.read_seek_table(f, os.path.getsize(tmp_path / "w" / name))
             f.seek(0)
             plain = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
         assert len(plain) == sum(x[2] for x in frames)
@@ -54,11 +55,16 @@ def test_bundles_are_seekable_and_plain(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
-    index = C.written(W.write_bundles(df, str(tmp_path / "w")))
-    assert W.read_bundles(index, str(tmp_path / "w")).count() == 0
+    index = C.written(W.write_bundles(df, f"file://{tmp_path}/w"))
+    assert W.read_bundles(index, f"file://{tmp_path}/w").count() == 0
 
 
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{d}/pages.parquet").collect()]
     assert sorted(map(tuple, W.query(spark, d).collect()), key=str) == brute(rows)
+
+
+def test_a_bare_path_is_refused(tmp_path):
+    with pytest.raises(ValueError, match="scheme"):
+        W.opened(str(tmp_path))
