@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from reckon.plans import grammars, more, outcomes, registry, rules  # noqa: F401
+from reckon.plans import checks, grammars, more, outcomes, registry, rules  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
@@ -48,6 +48,19 @@ BRANCHES = {
     "match_events": ("reason", {1, 2}),
     "unit_gate": ("status", {"fatal: conflicting targets", "fatal: several units and no target", "kept", "identity", "fatal: conflicting coefficients", "fatal: no coefficient", "converted"}),
 }
+BRANCHES |= {
+    "masked_rows": ("row_type", {"position", "system", "section", "cabinet", "empty", "other"}),
+    "supply_statuses": ("kind", {"empty", "excluded", "tag replaced", "unknown"}),
+    "unit_queues": ("kind", {"unit", "units", "remainder", "more tags than quantity"}),
+    "title_sums": ("verdict", {"equal", "equal with untagged", "lost"}),
+    "kit_matrix": ("summary", {"revision differs", "missing on disk", "missing with robot", "extra on disk", "no letter", "aligned"}),
+    "paired_files": ("status", {"extra", "none", "pair", "ambiguous"}),
+    "registry_issues": ("issue", {"repeated id", "unknown customer", "conflicting attributes", "customer without an order"}),
+    "checked_by_code": ("verdict", {"unknown code", "corrected", "differs", "equal"}),
+    "changed_keys": ("change", {"added", "removed", "changed"}),
+    "layout_violations": ("reason", {"no title", "skipped folder", "no gate", "no package"}),
+    "export_plan": ("action", {"add", "skip", "replace"}),
+}
 BRANCHES |= {"row_statuses": ("delivery", {"data problem", "open", "demand only", "supply only", "vendor only", "delivery only", "short", "over", "complete"})}
 
 
