@@ -65,7 +65,7 @@ def supply_statuses(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind"), tag(1).alias("old_tag"), tag(2).alias("new_tag"))
 
 
-_LOT = "SELECT o_orderkey AS id, o_custkey AS code, (floor(o_totalprice / 100) / 10)::DOUBLE AS lot, CASE WHEN o_orderkey % 3 = 0 THEN [] ELSE ['a' || (o_orderkey % 4)::VARCHAR, 'b' || (o_custkey % 5)::VARCHAR, 'c'] END AS tags FROM orders WHERE o_totalprice < 5000 OR o_orderkey % 50 = 0"
+_LOT = "SELECT o_orderkey AS id, o_custkey AS code, (floor(o_totalprice / 100) / 10)::DOUBLE AS lot, CASE WHEN o_orderkey % 3 = 0 THEN [] ELSE ['a' || (o_orderkey % 4)::VARCHAR, 'b' || (o_custkey % 5)::VARCHAR, 'c'] END AS tags FROM orders"
 
 
 @query(f"""
@@ -78,7 +78,7 @@ UNION ALL SELECT id, code, NULL, len(tags)::DOUBLE - floor(lot), 'more tags than
 def unit_queues(spark, d) -> DataFrame:
     """Quantities as unit items: the i-th tag to the i-th unit, further units as one counted row instead of single ones, the
     fraction as one untagged item; more tags than units is a finding."""
-    o = table(spark, d, "orders").filter("o_totalprice < 5000 or o_orderkey % 50 = 0")
+    o = table(spark, d, "orders")
     tags = F.when(F.col("o_orderkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("a"), (F.col("o_orderkey") % 4).cast("string")), F.concat(F.lit("b"), (F.col("o_custkey") % 5).cast("string")), F.lit("c")))
     x = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("code"), (F.floor(F.col("o_totalprice") / 100) / 10).alias("lot"), tags.alias("tags")).withColumns({"whole": F.floor("lot").cast("double"), "n": F.size("tags").cast("double")})
     item = lambda tag, qty, kind, when: F.when(when, F.struct(tag.alias("tag"), qty.cast("double").alias("qty"), F.lit(kind).alias("kind")))
@@ -133,8 +133,8 @@ def ban_list(spark, d) -> DataFrame:
 
 
 _KIT = """SELECT o_custkey % 400 AS kit, 'sheet' AS src, o_orderkey % 5 AS rev, o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 400 < 300
- UNION ALL SELECT o_custkey % 400, 'send', o_orderkey % 4, o_orderkey FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 400 BETWEEN 51 AND 349 UNION ALL SELECT o_custkey % 400, 'disk', o_orderkey % 5, o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 400 <> 7
- UNION ALL SELECT user_id % 400, 'robot', event_id % 5, event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT c_custkey % 400, 'mail', c_custkey % 5, c_custkey FROM customer WHERE c_custkey % 400 < 390 AND c_custkey % 7 = 0"""
+ UNION ALL SELECT o_custkey % 400, 'send', o_orderkey % 4, o_orderkey FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 400 BETWEEN 51 AND 349 UNION ALL SELECT o_custkey % 400, 'disk', o_orderkey % 5, o_orderkey FROM orders WHERE o_custkey % 400 <> 7
+ UNION ALL SELECT user_id % 400, 'robot', event_id % 5, event_id FROM events UNION ALL SELECT c_custkey % 400, 'mail', c_custkey % 5, c_custkey FROM customer WHERE c_custkey % 400 % 11 <> 0"""
 
 
 @query(f"""
@@ -151,8 +151,8 @@ def kit_matrix(spark, d) -> DataFrame:
     k = c("o_custkey") % 400
     parts = [
         of(o.filter((c("o_orderkey") % 3 == 0) & (k < 300)), "o_custkey", "sheet", c("o_orderkey") % 5, "o_orderkey"), of(o.filter((c("o_orderkey") % 5 == 0) & k.between(51, 349)), "o_custkey", "send", c("o_orderkey") % 4, "o_orderkey"),
-        of(o.filter((c("o_orderkey") % 2 == 0) & (k != 7)), "o_custkey", "disk", c("o_orderkey") % 5, "o_orderkey"), of(table(spark, d, "events").filter("event_id % 2 = 0"), "user_id", "robot", c("event_id") % 5, "event_id"),
-        of(table(spark, d, "customer").filter("c_custkey % 400 < 390 and c_custkey % 7 = 0"), "c_custkey", "mail", c("c_custkey") % 5, "c_custkey"),
+        of(o.filter(k != 7), "o_custkey", "disk", c("o_orderkey") % 5, "o_orderkey"), of(table(spark, d, "events"), "user_id", "robot", c("event_id") % 5, "event_id"),
+        of(table(spark, d, "customer").filter("c_custkey % 400 % 11 <> 0"), "c_custkey", "mail", c("c_custkey") % 5, "c_custkey"),
     ]
     newest = lambda s: F.max(F.when(c("src") == s, F.struct("rev", "id")))["rev"].alias(s)
     r = reduce(DataFrame.unionAll, parts).groupBy("kit").agg(*[newest(s) for s in ("sheet", "send", "disk", "robot", "mail")])
@@ -177,7 +177,8 @@ def kit_packages(spark, d) -> DataFrame:
     return p.unionByName(grey).join(last, "kit", "left")
 
 
-_FILES = "SELECT o_orderkey AS id, o_custkey AS doc, o_orderkey % 2 AS side FROM orders WHERE o_orderkey % 4 < 2 AND o_custkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 0 FROM orders WHERE o_custkey % 30 = 0 AND o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, -o_custkey, 1 FROM orders WHERE o_orderkey % 97 = 1"
+_DOC, _SIDE = "CASE WHEN o_orderkey % 97 = 1 THEN -o_custkey ELSE o_custkey END", "CASE WHEN o_orderkey % 97 = 1 THEN 1 WHEN o_custkey % 3 = 0 THEN 0 ELSE o_orderkey % 2 END"
+_FILES = f"SELECT o_orderkey AS id, {_DOC} AS doc, {_SIDE} AS side FROM orders"
 
 
 @query(f"""
@@ -187,18 +188,17 @@ SELECT doc, current, n AS n_counterparts, CASE WHEN n = 1 AND current IS NOT NUL
 def paired_files(spark, d) -> DataFrame:
     """Current files with none, one or many counterparts, and counterparts that nothing asks for: one aggregation of both."""
     o, c = table(spark, d, "orders"), F.col
-    f = o.filter("o_orderkey % 4 < 2 and o_custkey % 3 <> 0").select(c("o_orderkey").alias("id"), c("o_custkey").alias("doc"), (c("o_orderkey") % 2).alias("side"))
-    f = f.unionAll(o.filter("o_custkey % 30 = 0 and o_orderkey % 4 = 0").select("o_orderkey", "o_custkey", F.lit(0).cast("long"))).unionAll(o.filter("o_orderkey % 97 = 1").select("o_orderkey", -c("o_custkey"), F.lit(1).cast("long")))
+    f = o.select(c("o_orderkey").alias("id"), F.expr(_DOC).alias("doc"), F.expr(_SIDE).alias("side"))
     x = f.groupBy("doc").agg(F.max(F.when(c("side") == 0, c("id"))).alias("current"), F.count_if(c("side") == 1).alias("n_counterparts"), F.min(F.when(c("side") == 1, c("id"))).alias("one"))
     status = F.when(c("current").isNull(), "extra").when(c("n_counterparts") == 0, "none").when(c("n_counterparts") == 1, "pair").otherwise("ambiguous")
     return x.select("doc", "current", "n_counterparts", F.when(status == "pair", c("one")).alias("counterpart"), status.alias("status"))
 
 
 @query("""
-SELECT 'repeated id' AS issue, o_custkey::VARCHAR AS key, count(*) AS n FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 2 HAVING count(*) > 1
+SELECT 'repeated id' AS issue, concat(o_custkey, o_orderpriority) AS key, count(*) AS n FROM orders GROUP BY 2 HAVING count(*) > 3
 UNION ALL SELECT 'unknown customer', o_orderkey::VARCHAR, 1 FROM orders WHERE o_custkey + o_orderkey % 50 // 49 * 1000000 NOT IN (SELECT c_custkey FROM customer)
-UNION ALL SELECT 'conflicting attributes', o_custkey::VARCHAR, count(DISTINCT o_orderpriority) FROM orders WHERE o_orderkey % 13 = 0 GROUP BY 2 HAVING count(DISTINCT o_orderpriority) > 1
-UNION ALL SELECT 'customer without an order', c_custkey::VARCHAR, 1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)
+UNION ALL SELECT 'conflicting attributes', o_custkey::VARCHAR, count(DISTINCT o_orderpriority) FROM orders GROUP BY 2 HAVING count(DISTINCT o_orderpriority) > 4
+UNION ALL SELECT 'no order in work', c_custkey::VARCHAR, 1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
 """)
 def registry_issues(spark, d) -> DataFrame:
     """Referential and uniqueness rules of a registry as one list of issues."""
@@ -206,10 +206,10 @@ def registry_issues(spark, d) -> DataFrame:
     text = lambda x: F.col(x).cast("string").alias("key")
     one = F.lit(1).cast("long").alias("n")
     found = [
-        o.filter("o_orderkey % 9 = 0").groupBy(text("o_custkey")).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("repeated id").alias("issue"), "key", "n"),
+        o.groupBy(F.concat(c("o_custkey").cast("string"), "o_orderpriority").alias("key")).agg(F.count("*").alias("n")).filter("n > 3").select(F.lit("repeated id").alias("issue"), "key", "n"),
         o.withColumn("ref", c("o_custkey") + F.floor(c("o_orderkey") % 50 / 49) * 1000000).join(known, c("ref") == c("c_custkey"), "left_anti").select(F.lit("unknown customer"), text("o_orderkey"), one),
-        o.filter("o_orderkey % 13 = 0").groupBy(text("o_custkey")).agg(F.countDistinct("o_orderpriority").alias("n")).filter("n > 1").select(F.lit("conflicting attributes"), "key", "n"),
-        known.join(o.filter("o_orderkey % 3 = 0"), c("c_custkey") == c("o_custkey"), "left_anti").select(F.lit("customer without an order"), text("c_custkey"), one),
+        o.groupBy(text("o_custkey")).agg(F.countDistinct("o_orderpriority").alias("n")).filter("n > 4").select(F.lit("conflicting attributes"), "key", "n"),
+        known.join(o.filter("o_orderstatus = 'P'"), c("c_custkey") == c("o_custkey"), "left_anti").select(F.lit("no order in work"), text("c_custkey"), one),
     ]
     return reduce(DataFrame.unionAll, found)
 
@@ -291,14 +291,14 @@ def layout_violations(spark, d) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT o_custkey AS kit, o_orderkey AS doc, o_orderkey % 5 AS kind, sha256(concat(o_custkey, o_orderkey % 3)) AS print FROM orders WHERE o_orderkey % 2 = 0), t AS (SELECT o_custkey AS kit, o_orderkey % 5 AS kind, max(sha256(concat(o_custkey, o_orderkey % 2))) AS print FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)
+WITH x AS (SELECT o_custkey AS kit, o_orderkey AS doc, o_orderkey % 5 AS kind, sha256(concat(o_custkey, o_orderkey % 2)) AS print FROM orders WHERE o_orderkey % 3 <> 0), t AS (SELECT o_custkey AS kit, o_orderkey % 5 AS kind, max(sha256(concat(o_custkey, o_orderkey % 2))) AS print FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)
 SELECT kit, kind, doc, CASE WHEN t.print IS NULL THEN 'add' WHEN t.print = x.print THEN 'skip' ELSE 'replace' END AS action FROM x LEFT JOIN t USING (kit, kind)
 """)
 def export_plan(spark, d) -> DataFrame:
     """What an export adds, replaces or leaves alone, by fingerprints of what is there."""
     o, c = table(spark, d, "orders"), F.col
     print_ = lambda n: F.sha2(F.concat(c("o_custkey").cast("string"), (c("o_orderkey") % n).cast("string")), 256)
-    x = o.filter("o_orderkey % 2 = 0").select(c("o_custkey").alias("kit"), (c("o_orderkey") % 5).alias("kind"), c("o_orderkey").alias("doc"), print_(3).alias("own"))
+    x = o.filter("o_orderkey % 3 <> 0").select(c("o_custkey").alias("kit"), (c("o_orderkey") % 5).alias("kind"), c("o_orderkey").alias("doc"), print_(2).alias("own"))
     t = o.filter("o_orderkey % 3 = 0").groupBy(c("o_custkey").alias("kit"), (c("o_orderkey") % 5).alias("kind")).agg(F.max(print_(2)).alias("there"))
     return x.join(t, ["kit", "kind"], "left").select("kit", "kind", "doc", F.when(c("there").isNull(), "add").when(c("there") == c("own"), "skip").otherwise("replace").alias("action"))
 

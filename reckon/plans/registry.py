@@ -39,7 +39,7 @@ SELECT coalesce(l.l_partkey, r.l_partkey) AS l_partkey, l.q AS left_qty, r.q AS
 FROM l FULL JOIN r ON l.l_partkey = r.l_partkey
 """)
 def grouped_reconcile(spark, d) -> DataFrame:
-    """Demand against supply by code: sums, difference, status."""
+    """Demand (flag N) against supply (flag R) by code: sums, difference, status. Flag A, what is neither, takes no part."""
     x = _lines(spark, d)
     return reconcile.two_sides(x.filter("l_returnflag = 'N'"), x.filter("l_returnflag = 'R'"), ["l_partkey"], "qty")
 
@@ -138,7 +138,7 @@ WITH d AS (SELECT o_orderkey demand_id, o_custkey c, o_orderpriority p, o_orderd
 SELECT demand_id, supply_id, 'tag and code' AS pass FROM m1 UNION ALL SELECT demand_id, supply_id, 'code' FROM d2 JOIN s2 USING (c, r)
 """)
 def match_passes(spark, d) -> DataFrame:
-    """One-to-one match in two passes, in order of the date."""
+    """One-to-one match of open with finished orders in two passes, in order of the date; orders in work take no part."""
     demand, supply = _sides(spark, d)
     plan = [("tag and code", [("o_custkey", "o_custkey"), ("o_orderpriority", "o_orderpriority")]), ("code", [("o_custkey", "o_custkey")])]
     return match.passes(demand, supply, plan, ["o_orderdate", "demand_id"], ["o_orderdate", "supply_id"])
@@ -150,6 +150,7 @@ WITH d AS (SELECT o_custkey, o_orderkey demand_id, floor(o_totalprice / 1000)::B
 SELECT o_custkey, demand_id, supply_id, (least(d.e, s.e) - greatest(d.e - d.q, s.e - s.q))::BIGINT AS allocated FROM d JOIN s USING (o_custkey) WHERE greatest(d.e - d.q, s.e - s.q) < least(d.e, s.e)
 """)
 def allocate_fifo(spark, d) -> DataFrame:
+    """Open orders served by finished ones, first come, first served; orders in work take no part."""
     demand, supply = _sides(spark, d)
     return allocate.fifo(demand, supply, ["o_custkey"], ["o_orderdate", "demand_id"], ["o_orderdate", "supply_id"], "amount", "amount")
 

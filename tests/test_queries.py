@@ -55,7 +55,7 @@ BRANCHES |= {
     "title_sums": ("verdict", {"equal", "equal with untagged", "lost"}),
     "kit_matrix": ("summary", {"revision differs", "missing on disk", "missing with robot", "extra on disk", "no letter", "aligned"}),
     "paired_files": ("status", {"extra", "none", "pair", "ambiguous"}),
-    "registry_issues": ("issue", {"repeated id", "unknown customer", "conflicting attributes", "customer without an order"}),
+    "registry_issues": ("issue", {"repeated id", "unknown customer", "conflicting attributes", "no order in work"}),
     "checked_by_code": ("verdict", {"unknown code", "corrected", "differs", "equal"}),
     "changed_keys": ("change", {"added", "removed", "changed"}),
     "layout_violations": ("reason", {"no title", "skipped folder", "no gate", "no package"}),
