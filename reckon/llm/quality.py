@@ -1,16 +1,17 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-One pass over all documents sums, for each value of lang, a histogram of character classes and one of common words. A
-second pass compares each document's histograms with its language's by the Jensen-Shannon distance (0 to 1). A document goes
-if a base rule fails, or if it is long enough to be judged and lies too far from its language. The references are a few
-numbers for each language: up to ``LITERALS`` of them go into the plan, so the second pass needs no join and nothing is
-shuffled; more of them are joined.
+One pass over all documents works out the base measures, a histogram of character classes and one of common words, and
+stores them: 66 numbers for each document. The histograms' sums for each value of lang are the references. A document goes
+if a base rule fails, or if it is long enough to be judged and the Jensen-Shannon distance (0 to 1) of its histograms from
+its language's is too large. The references are a few numbers for each language: up to ``LITERALS`` of them go into the
+plan, so the second step reads only numbers, needs no join and shuffles nothing; more of them are joined.
 
 Defined results: null texts count as empty; documents under a guard's length are not judged by that distance. A language
 with fewer than ``LEAST_DOCUMENTS`` documents or ``LEAST_REFERENCE`` words has no reference; its documents have distances
 of 0 and go by the base rules alone, for another language's reference would reject clean text. A lang that is null or
 names no language (``NO_LANGUAGE``) enters no reference; such a document is held against the reference that is nearest by
-words. Empty tables work; repeated rows each get their row. Columns are picked by name.
+words. Empty tables work; repeated rows each get their row; very long texts are measured whole. Columns are picked by name;
+the measures' names replace columns of these names.
 """
 
 from __future__ import annotations
@@ -100,12 +101,6 @@ def distance(histogram: Column, reference: Column) -> Column:
     return F.coalesce(let(F.struct(total(histogram).alias("n"), total(reference).alias("m")), lambda x: F.when((x["n"] > 0) & (x["m"] > 0), of(x["n"], x["m"])).otherwise(0.0)), F.lit(0.0))
 
 
-def measured(df: DataFrame, keep: list[Column], measure: Column) -> DataFrame:
-    """``keep`` and the struct ``__m``. Generating it as the one row of an array keeps later filters above it: pushed below,
-    they would work everything out a second time."""
-    return df.select(*keep, F.explode_outer(F.array(measure)).alias("__m"))
-
-
 def histograms(text: Column) -> Column:
     return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words_of(t), lambda w: F.struct(class_histogram(t, word_chars(w)).alias("classes"), word_histogram(w).alias("common"))))
 
@@ -114,17 +109,13 @@ def word_chars(words: Column) -> Column:
     return F.length(F.array_join(words, "")).cast("long")
 
 
-def measures(text: Column, distances: Callable[[Column], Column]) -> Column:
-    """All measures of one text as a struct; every intermediate is a lambda's argument, so nothing is worked out twice.
-    ``distances``: from the histograms to a struct like that of :func:`against`."""
+def measures(text: Column) -> Column:
+    """All measures of one text as a struct; every intermediate is a lambda's argument, so nothing is worked out twice."""
 
     def all_of(t: Column, w: Column, n: Column) -> Column:
-        return let(
-            distances(F.struct(class_histogram(t, n).alias("classes"), word_histogram(w).alias("common"))),
-            lambda d: F.struct(
-                F.size(w).cast("long").alias("n_words"), n.alias("word_chars"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), repeated_lines(t).cast("long").alias("n_dup_lines"), repeated_words(w).cast("long").alias("n_repeat_words"),
-                d["classes"].alias("class_distance"), d["words"].alias("word_distance"),
-            ),
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), n.alias("word_chars"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), repeated_lines(t).cast("long").alias("n_dup_lines"), repeated_words(w).cast("long").alias("n_repeat_words"),
+            class_histogram(t, n).alias("classes"), word_histogram(w).alias("common"),
         )
 
     return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words_of(t), lambda w: let(word_chars(w), lambda n: all_of(t, w, n))))
@@ -136,9 +127,9 @@ def language(df: DataFrame, lang_column: str) -> Column:
     return F.when(~F.lower(F.trim(lang)).isin(*NO_LANGUAGE), lang)
 
 
-def references(df: DataFrame, text_column: str, lang_column: str) -> DataFrame:
+def references(df: DataFrame, lang: Column, histogram: Column) -> DataFrame:
     """(l, r): the histogram sums r.c and r.w of each language with enough text."""
-    rows = measured(df, [language(df, lang_column).alias("l")], histograms(F.col(f"`{text_column}`"))).filter("l is not null").select("l", "__m.classes", "__m.common")
+    rows = df.select(lang.alias("l"), histogram["classes"].alias("classes"), histogram["common"].alias("common")).filter("l is not null")
     sums = rows.groupBy("l").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("classes", F.lit(i))).cast("double") for i in range(5)]).alias("c"), F.array(*[F.sum(F.get("common", F.lit(i))).cast("double") for i in range(len(COMMON) + 1)]).alias("w"))
     covered = (F.col("n") >= LEAST_DOCUMENTS) & (F.aggregate("w", F.lit(0.0), lambda a, b: a + b) >= LEAST_REFERENCE)
     return sums.filter(covered).select("l", F.struct("c", "w").alias("r"))
@@ -149,48 +140,58 @@ def against(histogram: Column, reference: Column) -> Column:
     return F.struct(distance(histogram["common"], reference["w"]).alias("words"), distance(histogram["classes"], reference["c"]).alias("classes"))
 
 
-def by_literals(df: DataFrame, known: list, keep: list[Column], text: Column, lang: Column) -> DataFrame:
-    """Measures of all rows, with the references as literals of the plan."""
+def literals(known: list) -> Column:
+    """References as an array of the plan."""
     numbers = lambda x: f"array({','.join(f'{v!r}D' for v in x)})"
-    refs = F.expr(f"array({','.join(f'struct({numbers(x.r.c)} AS c, {numbers(x.r.w)} AS w)' for x in known)})")
-    own = F.element_at(F.map_from_arrays(F.array(*[F.lit(x.l) for x in known]), refs), lang)
+    return F.expr(f"array({','.join(f'struct({numbers(x.r.c)} AS c, {numbers(x.r.w)} AS w)' for x in known)})")
+
+
+def nearest(histogram: Column, known: list) -> Column:
+    """Both distances from the reference that is nearest by words."""
+    return let(histogram, lambda h: F.array_min(F.transform(literals(known), lambda r: against(h, r))))
 
-    def distances(histogram: Column) -> Column:
-        if not known:
-            return F.struct(F.lit(0.0).alias("words"), F.lit(0.0).alias("classes"))
-        nearest = lambda h: F.array_min(F.transform(refs, lambda r: against(h, r)))
-        return let(histogram, lambda h: F.when(lang.isNull(), nearest(h)).otherwise(let(own, lambda r: against(h, r))))
 
-    return measured(df, keep, measures(text, distances))
+def by_literals(df: DataFrame, known: list, histogram: Column, lang: Column, name: str) -> DataFrame:
+    """``df`` with the distances ``name``, all references being literals of the plan."""
+    if not known:
+        return df.withColumn(name, F.struct(F.lit(0.0).alias("words"), F.lit(0.0).alias("classes")))
+    own = F.element_at(F.map_from_arrays(F.array(*[F.lit(x.l) for x in known]), literals(known)), lang)
+    return df.withColumn(name, F.when(lang.isNull(), nearest(histogram, known)).otherwise(let(own, lambda r: against(histogram, r))))
 
 
-def by_joins(df: DataFrame, known: DataFrame, keep: list[Column], text: Column, lang: Column) -> DataFrame:
-    """The same for any number of references: a document's own one is joined, the nearest one is a minimum over all."""
+def by_joins(df: DataFrame, known: DataFrame, histogram: Column, lang: Column, name: str) -> DataFrame:
+    """The same for any number of references: a document's own one is joined; for those without a language the nearest one
+    is a minimum over all, ``LITERALS`` or so at a time."""
     known = C.written(known)
-    named = df.filter(lang.isNotNull()).withColumn("__l", lang).join(known.select(F.col("l").alias("__l"), F.col("r").alias("__r")), "__l", "left")
-    key = F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
-    nameless = df.filter(lang.isNull()).withColumn("__k", key)
-    texts = measured(nameless, [F.col("__k")], histograms(text)).groupBy("__k").agg(F.first("__m").alias("h"))
-    near = texts.crossJoin(known).groupBy("__k").agg(F.min(against(F.col("h"), F.col("r"))).alias("__near"))
-    out = measured(named, keep, measures(text, lambda h: let(h, lambda x: against(x, F.col("__r")))))
-    return out.union(measured(nameless.join(near, "__k", "left"), keep, measures(text, lambda h: F.col("__near"))))
-
-
-def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", corpus: DataFrame | None = None) -> DataFrame:
-    """The rows of ``df`` with the measures, the two distances, base_failed and kept. References come from ``corpus``
-    (default: ``df`` itself)."""
-    known = references(df if corpus is None else corpus, text_column, lang_column)
+    key, ref = C.unused(df.columns, "__key", "__ref")
+    named = df.filter(lang.isNotNull()).join(known.select(F.col("l").alias(key), F.col("r").alias(ref)), lang == F.col(key), "left")
+    named = named.withColumn(name, let(F.col(ref), lambda r: against(histogram, r))).drop(key, ref)
+    nameless, parts = df.filter(lang.isNull()).withColumn(name, F.lit(None).cast("struct<words:double,classes:double>")), -(-known.count() // LITERALS)
+    for k in range(parts):
+        rows = known.filter(F.pmod(F.xxhash64("l"), F.lit(parts)) == k).collect()  # about LITERALS
+        if rows:
+            nameless = nameless.withColumn(name, F.array_min(F.array_compact(F.array(F.col(name), nearest(histogram, rows)))))
+    return named.unionByName(nameless)
+
+
+def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", corpus: DataFrame | None = None, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns of ``df`` named in ``carry`` (default: all) with the measures, the two distances, base_failed and kept.
+    References come from ``corpus`` (default: ``df`` itself)."""
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+    names = [c for c in C.others(df, *added) if carry is None or c in carry]
+    lang_name, m_name, far_name = C.unused(df.columns, "__lang", "__m", "__far")
+    stored = C.written(df.select(*[F.col(f"`{c}`") for c in names], language(df, lang_column).alias(lang_name), measures(F.col(f"`{text_column}`")).alias(m_name)))
+    lang, m = F.col(lang_name), F.col(m_name)
+    known = references(stored, lang, m) if corpus is None else references(corpus, language(corpus, lang_column), histograms(F.col(f"`{text_column}`")))
     rows = known.limit(LITERALS + 1).collect()
-    names = df.columns
-    given = [F.col(f"`{c}`") for c in names], F.col(f"`{text_column}`"), language(df, lang_column)
-    out = by_literals(df, rows, *given) if len(rows) <= LITERALS else by_joins(df, known, *given)
-    m = F.col("__m")
+    out = by_literals(stored, rows, m, lang, far_name) if len(rows) <= LITERALS else by_joins(stored, known, m, lang, far_name)
+    far = F.col(far_name)
     failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    far = ((m["n_words"] >= GUARD_CLASSES) & (m["class_distance"] > FAR_CLASSES)) | ((m["n_words"] >= GUARD_WORDS) & (m["word_distance"] > FAR_WORDS))
-    added = {c: m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance")} | {"base_failed": failed, "kept": ~failed & ~far}
-    return out.select(*[F.col(f"`{c}`") for c in names if c not in added], *[c.alias(n) for n, c in added.items()])
+    off = ((m["n_words"] >= GUARD_CLASSES) & (far["classes"] > FAR_CLASSES)) | ((m["n_words"] >= GUARD_WORDS) & (far["words"] > FAR_WORDS))
+    values = [*[m[c] for c in added[:5]], far["classes"], far["words"], failed, ~failed & ~off]
+    return out.select(*[F.col(f"`{c}`") for c in names], *[c.alias(n) for n, c in zip(added, values, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every document of ``documents``."""
-    return judge(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang", "class_distance", "word_distance")
+    return judge(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), carry=("doc_id",)).drop("class_distance", "word_distance")
