@@ -36,3 +36,38 @@ def outcome(demand: DataFrame, supply: DataFrame, pairs: DataFrame) -> DataFrame
     left = demand.select("demand_id").join(pairs, "demand_id", "left").select("demand_id", "supply_id", F.coalesce("pass", F.lit("unmatched")).alias("pass"))
     right = supply.select("supply_id").join(pairs.select("supply_id"), "supply_id", "left_anti").select(F.lit(None).cast(demand.schema["demand_id"].dataType).alias("demand_id"), "supply_id", F.lit("supply only").alias("pass"))
     return left.union(right)
+
+
+def guarded(demand: DataFrame, supply: DataFrame, on: list[tuple[str, str]], demand_order: list[str], supply_order: list[str], quantity: str, forward: bool = True) -> DataFrame:
+    """(demand_id, supply_id): in order, each demand row takes the first supply row of its key that isn't larger than it; a
+    demand of 0, or an unknown one, takes any. ``forward``: the search goes on behind the last row taken, so what was passed
+    over is lost to later demand; otherwise it starts anew over what isn't taken.
+
+    What a row takes hangs on every row before it, so the two sides of a key are folded in order within one row: a key has
+    as many entries there as it has rows. A null key matches nothing."""
+    names = [f"k{i}" for i in range(len(on))]
+    side = lambda df, columns, order, id_, out: df.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], F.struct(*order, F.col(id_).alias("__id"), F.col(quantity).cast("double").alias("__q")).alias("x")).dropna(subset=names).groupBy(*names).agg(F.sort_array(F.collect_list("x")).alias(out))
+    both = side(demand, [a for a, _ in on], demand_order, "demand_id", "d").join(side(supply, [b for _, b in on], supply_order, "supply_id", "s"), names)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("taken"))
+
+    def step(state: Column, x: Column) -> Column:
+        fits = lambda k: (F.coalesce(x["__q"], F.lit(0.0)) == 0) | (F.get("s", k)["__q"] <= x["__q"])
+        free = (lambda k: k >= state["at"]) if forward else (lambda k: ~F.array_contains(state["taken"], k))
+        found = F.array_min(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda k: free(k) & F.coalesce(fits(k), F.lit(False))))
+        return F.struct(F.coalesce(found + 1, state["at"]).alias("at"), F.concat(state["taken"], F.array(F.coalesce(found, F.lit(-1)))).alias("taken"))
+
+    folded = both.select("d", "s", F.aggregate("d", start, step)["taken"].alias("taken"))
+    pairs = folded.select("s", F.explode(F.arrays_zip("d", "taken")).alias("z")).filter("z.taken >= 0")
+    return pairs.select(F.col("z.d.__id").alias("demand_id"), F.get("s", F.col("z.taken"))["__id"].alias("supply_id"))
+
+
+def consume(demand: DataFrame, supply: DataFrame, demand_order: list[str], supply_order: list[str], quantity: str, tag: str = "tag", code: str = "code", replacement: str = "new_code") -> DataFrame:
+    """(demand_id, supply_id, pass): the five passes of the consumable match. By tag with the code, the demand's replacement
+    and the supply's replacement; then by code, moving forward, and by replacement, each with the size guard. Every pass sees
+    only what is still free on both sides."""
+    tagged = [("tag and code", [(tag, tag), (code, code)]), ("tag and replacement", [(tag, tag), (replacement, code)]), ("tag and reverse replacement", [(tag, tag), (code, replacement)])]
+    found = passes(demand, supply, tagged, demand_order, supply_order)
+    for name, on, forward in (("code", [(code, code)], True), ("replacement", [(replacement, code)], False)):
+        free_d, free_s = demand.join(found, "demand_id", "left_anti"), supply.join(found, "supply_id", "left_anti")
+        found = found.union(guarded(free_d, free_s, on, demand_order, supply_order, quantity, forward).withColumn("pass", F.lit(name)))
+    return found

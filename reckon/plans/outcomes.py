@@ -193,3 +193,39 @@ def row_statuses(spark, d) -> DataFrame:
         position.merged_places(F.lit("S1"), c("place")).alias("places"), agree.alias("units"), position.same_unit_difference(c("qa"), c("qb"), c("unit_a"), c("unit_b")).alias("diff"), position.difference_status(c("qb") - c("qa")).alias("change"),
         position.delivery_status(c("qa"), c("delivered"), c("a"), c("b"), c("excluded"), F.coalesce(~agree, F.lit(False))).alias("delivery"),
     )
+
+
+_CODE, _NEW, _Q = "o_custkey % 700", "CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 700 + 1 END", "CASE WHEN o_orderkey % 20 = 0 THEN NULL WHEN o_orderkey % 20 = 1 THEN 0 ELSE floor(o_totalprice / 10000) END"
+
+
+def _pass(i: int, name: str, on: str, done: str) -> str:
+    """A ranked pass in SQL: ``on`` joins demand d and supply s."""
+    d, s = (", ".join(side) for side in zip(*[x.split("=") for x in on.split(" and ")], strict=True))
+    keys_ = [(a.strip(), b.strip()) for a, b in (x.split("=") for x in on.split(" and "))]
+    real = " AND ".join(f"{a} IS NOT NULL" for a, _ in keys_), " AND ".join(f"{b} IS NOT NULL" for _, b in keys_)
+    same = " AND ".join(f"x.{a} = y.{b}" for a, b in keys_)
+    return f""",
+ d{i} AS (SELECT *, row_number() OVER (PARTITION BY {d} ORDER BY t, demand_id) AS r FROM demand WHERE {real[0]} AND demand_id NOT IN (SELECT demand_id FROM {done})), s{i} AS (SELECT *, row_number() OVER (PARTITION BY {s} ORDER BY t, supply_id) AS r FROM supply WHERE {real[1]} AND supply_id NOT IN (SELECT supply_id FROM {done})),
+ m{i} AS (SELECT demand_id, supply_id, '{name}' AS pass FROM d{i} x JOIN s{i} y ON {same} AND x.r = y.r UNION ALL SELECT * FROM {done})"""
+
+
+@query(f"""
+WITH RECURSIVE demand AS (SELECT o_orderkey AS demand_id, {_CODE} AS code, {_NEW} AS new_code, {TAG} AS tag, o_orderdate AS t, ({_Q})::DOUBLE AS q FROM orders WHERE o_orderstatus = 'O'),
+ supply AS (SELECT o_orderkey AS supply_id, {_CODE} AS code, {_NEW} AS new_code, {TAG} AS tag, o_orderdate AS t, ({_Q})::DOUBLE AS q FROM orders WHERE o_orderstatus <> 'O'), m AS (SELECT NULL::BIGINT AS demand_id, NULL::BIGINT AS supply_id, '' AS pass WHERE FALSE)
+ {_pass(1, "tag and code", "tag=tag and code=code", "m")}{_pass(2, "tag and replacement", "tag=tag and new_code=code", "m1")}{_pass(3, "tag and reverse replacement", "tag=tag and code=new_code", "m2")},
+ d4 AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY t, demand_id) AS r FROM demand WHERE demand_id NOT IN (SELECT demand_id FROM m3)), s4 AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY t, supply_id) AS r FROM supply WHERE supply_id NOT IN (SELECT supply_id FROM m3)),
+ walk(code, r, place, demand_id, hit) AS (SELECT code, 0, 0, NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT code FROM d4)
+  UNION ALL SELECT w.code, w.r + 1, coalesce(n.k, w.place), d.demand_id, n.k FROM walk w JOIN d4 d ON d.code = w.code AND d.r = w.r + 1 LEFT JOIN LATERAL (SELECT min(s.r) AS k FROM s4 s WHERE s.code = w.code AND s.r > w.place AND (coalesce(d.q, 0) = 0 OR s.q <= d.q)) n ON TRUE),
+ m4 AS (SELECT w.demand_id, s.supply_id, 'code' AS pass FROM walk w JOIN s4 s ON s.code = w.code AND s.r = w.hit UNION ALL SELECT * FROM m3),
+ d5 AS (SELECT *, row_number() OVER (PARTITION BY new_code ORDER BY t, demand_id) AS r FROM demand WHERE new_code IS NOT NULL AND demand_id NOT IN (SELECT demand_id FROM m4)), s5 AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY t, supply_id) AS r FROM supply WHERE supply_id NOT IN (SELECT supply_id FROM m4)),
+ again(code, r, taken, demand_id, hit) AS (SELECT new_code, 0, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT new_code FROM d5)
+  UNION ALL SELECT w.code, w.r + 1, CASE WHEN n.k IS NULL THEN w.taken ELSE list_append(w.taken, n.k) END, d.demand_id, n.k FROM again w JOIN d5 d ON d.new_code = w.code AND d.r = w.r + 1
+   LEFT JOIN LATERAL (SELECT min(s.r) AS k FROM s5 s WHERE s.code = w.code AND NOT list_contains(w.taken, s.r) AND (coalesce(d.q, 0) = 0 OR s.q <= d.q)) n ON TRUE)
+SELECT w.demand_id, s.supply_id, 'replacement' AS pass FROM again w JOIN s5 s ON s.code = w.code AND s.r = w.hit UNION ALL SELECT * FROM m4
+""")
+def match_consumable(spark, d) -> DataFrame:
+    """All five passes of the one-to-one match: tags, replacements, and codes with the size guard."""
+    o = table(spark, d, "orders").select("o_orderkey", F.expr(_CODE).alias("code"), F.expr(_NEW).alias("new_code"), F.expr(TAG).alias("tag"), F.col("o_orderdate").alias("t"), F.expr(_Q).cast("double").alias("q"), "o_orderstatus")
+    demand = o.filter("o_orderstatus = 'O'").drop("o_orderstatus").withColumnRenamed("o_orderkey", "demand_id")
+    supply = o.filter("o_orderstatus <> 'O'").drop("o_orderstatus").withColumnRenamed("o_orderkey", "supply_id")
+    return match.consume(demand, supply, ["t", "demand_id"], ["t", "supply_id"], "q")

@@ -49,6 +49,7 @@ BRANCHES = {
     "unit_gate": ("status", {"fatal: conflicting targets", "fatal: several units and no target", "kept", "identity", "fatal: conflicting coefficients", "fatal: no coefficient", "converted"}),
 }
 BRANCHES |= {
+    "match_consumable": ("pass", {"tag and code", "tag and replacement", "tag and reverse replacement", "code", "replacement"}),
     "masked_rows": ("row_type", {"position", "system", "section", "cabinet", "empty", "other"}),
     "supply_statuses": ("kind", {"empty", "excluded", "tag replaced", "unknown"}),
     "unit_queues": ("kind", {"unit", "units", "remainder", "more tags than quantity"}),
