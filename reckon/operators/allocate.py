@@ -71,3 +71,16 @@ def whole_or_nothing(demand: DataFrame, pool: DataFrame, keys: list[str], order:
     step = lambda a, x: F.struct((a["left"] - F.when(fits(a, x), x["__need"]).otherwise(0)).cast("long").alias("left"), F.concat(a["taken"], F.array(F.when(fits(a, x), x["__need"]).otherwise(0).cast("long"))).alias("taken"))
     folded = rows.join(pool.select(*keys, available), keys, "left").withColumn(available, F.coalesce(available, F.lit(0))).withColumn("__t", F.aggregate("__rows", start, step)["taken"])
     return folded.select(*keys, F.explode(F.arrays_zip("__rows", "__t")).alias("z")).select(*keys, F.col("z.__rows.__id").alias("demand_id"), F.col("z.__rows.__need").alias("need"), F.col("z.__t").alias("taken"))
+
+
+def contract(demand: DataFrame, supply: DataFrame, keys: list[str], demand_order: list[str], supply_order: list, quantity: str) -> DataFrame:
+    """(keys, demand_id, supply_id, allocated, phase): first every demand that the key's whole supply can still fill, all or
+    nothing, in order; then what is left of the supply, bit by bit, for the others. Both phases take supply in one order."""
+    pool = supply.groupBy(*keys).agg(F.sum(quantity).alias("__pool"))
+    pre = whole_or_nothing(demand, pool, keys, demand_order, quantity, "__pool").select("demand_id", "taken")
+    both = demand.join(pre, "demand_id")
+    whole = fifo(both.filter("taken > 0"), supply, keys, demand_order, supply_order, "taken", quantity)
+    gone = both.groupBy(*keys).agg(F.sum("taken").alias("__gone"))
+    rest = spans(supply.filter(F.col(quantity) > 0), keys, supply_order, quantity).join(gone, keys).withColumn("__left", F.least(F.col(quantity), F.col("end") - F.col("__gone"))).filter("__left > 0").drop("begin", "end", "__gone")
+    part = fifo(both.filter("taken = 0"), rest, keys, demand_order, supply_order, quantity, "__left")
+    return whole.withColumn("phase", F.lit("whole")).unionByName(part.withColumn("phase", F.lit("partial")))

@@ -61,6 +61,23 @@ def allocate_whole_or_nothing(spark, d) -> DataFrame:
     return allocate.whole_or_nothing(demand, pool, ["c"], ["t", "demand_id"], "q", "p")
 
 
+@query(f"""
+WITH RECURSIVE {_BOTH}, need AS (SELECT c, demand_id, t, q, row_number() OVER (PARTITION BY c ORDER BY t, demand_id) AS r FROM demand), pool AS (SELECT c, sum(q)::BIGINT AS p FROM supply GROUP BY 1),
+ walk(c, demand_id, t, q, r, taken, rest) AS (
+  SELECT c, demand_id, t, q, r, CASE WHEN q > 0 AND q <= coalesce(p, 0) THEN q ELSE 0 END, coalesce(p, 0) - CASE WHEN q > 0 AND q <= coalesce(p, 0) THEN q ELSE 0 END FROM need LEFT JOIN pool USING (c) WHERE r = 1
+  UNION ALL SELECT n.c, n.demand_id, n.t, n.q, n.r, CASE WHEN n.q > 0 AND n.q <= w.rest THEN n.q ELSE 0 END, w.rest - CASE WHEN n.q > 0 AND n.q <= w.rest THEN n.q ELSE 0 END FROM walk w JOIN need n ON n.c = w.c AND n.r = w.r + 1),
+ gone AS (SELECT c, sum(taken)::BIGINT AS g FROM walk GROUP BY 1), s AS (SELECT *, sum(q) OVER (PARTITION BY c ORDER BY tag IS NULL, q, supply_id) AS e FROM supply WHERE q > 0),
+ d AS (SELECT c, demand_id, 'whole' AS phase, taken AS n, sum(taken) OVER (PARTITION BY c ORDER BY t, demand_id) AS e FROM walk WHERE taken > 0
+  UNION ALL SELECT c, demand_id, 'partial', q, g + sum(q) OVER (PARTITION BY c ORDER BY t, demand_id) FROM walk JOIN gone USING (c) WHERE taken = 0 AND q > 0)
+SELECT c, demand_id, supply_id, (least(d.e, s.e) - greatest(d.e - d.n, s.e - s.q))::BIGINT AS allocated, phase FROM d JOIN s USING (c) WHERE least(d.e, s.e) > greatest(d.e - d.n, s.e - s.q)
+""")
+def allocate_contract(spark, d) -> DataFrame:
+    """Contract allocation: whole rows first, then partial fill; tagged supply before other, small before large."""
+    demand, supply = _tagged(spark, d)
+    supply = supply.withColumn("bare", F.col("tag").isNull())
+    return allocate.contract(demand, supply, ["c"], ["t", "demand_id"], ["bare", "q", "supply_id"], "q")
+
+
 @query(f"""
 WITH {_BOTH}, need AS (SELECT c, sum(q)::BIGINT AS needed FROM demand WHERE tag IS NOT NULL GROUP BY 1),
  hit AS (SELECT c, sum(q)::BIGINT AS tagged FROM supply s WHERE EXISTS (SELECT 1 FROM demand d WHERE d.c = s.c AND d.tag = s.tag) GROUP BY 1), bare AS (SELECT c, sum(q)::BIGINT AS untagged FROM supply WHERE tag IS NULL GROUP BY 1)

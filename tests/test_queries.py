@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from reckon.plans import checks, grammars, more, outcomes, registry, rules  # noqa: F401
+from reckon.plans import checks, grammars, more, outcomes, registry, rules, sinks  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
@@ -50,6 +50,7 @@ BRANCHES = {
 }
 BRANCHES |= {
     "match_consumable": ("pass", {"tag and code", "tag and replacement", "tag and reverse replacement", "code", "replacement"}),
+    "allocate_contract": ("phase", {"whole", "partial"}),
     "masked_rows": ("row_type", {"position", "system", "section", "cabinet", "empty", "other"}),
     "supply_statuses": ("kind", {"empty", "excluded", "tag replaced", "unknown"}),
     "unit_queues": ("kind", {"unit", "units", "remainder", "more tags than quantity"}),
