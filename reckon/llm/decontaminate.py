@@ -139,8 +139,18 @@ def find(hashes: np.ndarray, offsets: np.ndarray, b: Benchmark) -> tuple[np.ndar
 
 def longest(place: np.ndarray, window: np.ndarray, rows: np.ndarray, b: Benchmark, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row the words of its longest verbatim match, the item, and the match's first word (within the shard).
-    Of equals, the first in the row and the smallest item."""
+    Of equals, the first in the row and the smallest item.
+
+    Whole short items, and windows without a hit on either side, are matches by themselves: one candidate each, however many
+    items have them. Only what joins to a longer match is put beside all its places in the items."""
     size, item, begin = np.zeros(n_rows, np.int64), np.full(n_rows, -1, np.int64), np.full(n_rows, -1, np.int64)
+    full = np.flatnonzero(b.reach[window] == b.window) if len(window) else window
+    joined = np.zeros(len(place), bool)
+    next_ = (np.diff(place[full]) == 1) & (np.diff(rows[full]) == 0)
+    joined[full[1:][next_]] = joined[full[:-1][next_]] = True
+    alone = ~joined
+    found = [(rows[alone], b.reach[window[alone]], place[alone], b.place_items[b.place_off[window[alone]]])]  # the least item stands first
+    place, window, rows = place[joined], window[joined], rows[joined]
     many = np.diff(b.place_off)[window]
     cuts = np.searchsorted(rows, np.arange(n_rows + 1))
     work = np.concatenate(([0], np.cumsum(many)))
@@ -152,19 +162,22 @@ def longest(place: np.ndarray, window: np.ndarray, rows: np.ndarray, b: Benchmar
             n = many[own]
             at = C.ranges(b.place_off[window[own]], n)
             there, here = b.places[at], np.repeat(place[own], n)
-            row, reach, what = np.repeat(rows[own], n), np.repeat(b.reach[window[own]], n), b.place_items[at]
+            row, what = np.repeat(rows[own], n), b.place_items[at]
             order = np.lexsort((here, here - there, what, row))
-            there, here, row, reach, what = (x[order] for x in (there, here, row, reach, what))
+            there, here, row, what = (x[order] for x in (there, here, row, what))
             edge = np.ones(len(here), bool)
             edge[1:] = (row[1:] != row[:-1]) | (what[1:] != what[:-1]) | (here[1:] - here[:-1] != 1) | (there[1:] - there[:-1] != 1)
             lead = np.flatnonzero(edge)
             final = np.append(lead[1:], len(here)) - 1
-            total = here[final] - here[lead] + reach[final]
+            total = here[final] - here[lead] + b.window
             best = np.lexsort((what[lead], here[lead], -total, row[lead]))
             head = best[np.unique(row[lead][best], return_index=True)[1]]
-            r = row[lead][head]
-            size[r], item[r], begin[r] = total[head], what[lead][head], here[lead][head]
+            found.append((row[lead][head], total[head], here[lead][head], what[lead][head]))
         i = j
+    row, total, here, what = (np.concatenate(x) for x in zip(*found, strict=True))
+    best = np.lexsort((what, here, -total, row))
+    head = best[np.unique(row[best], return_index=True)[1]]
+    size[row[head]], item[row[head]], begin[row[head]] = total[head], what[head], here[head]
     return size, item, begin
 
 

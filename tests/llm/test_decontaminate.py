@@ -67,3 +67,51 @@ def test_query(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     out = D.query(spark, d).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert sorted(map(tuple, out.collect()), key=str) == brute(docs, items)
+
+
+def test_many_items_with_one_window_that_a_document_repeats():
+    """k items met k times: one candidate for each place, not k for each."""
+    import time
+
+    import numpy as np
+
+    k = 3000
+    b = D.Benchmark([(f"{i:05d}", "one two three") for i in range(k)], 10)
+    data = ("one two three stop " * k).encode()
+    hashes, off = D.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    place, window = D.find(hashes, off, b)
+    order = np.lexsort((window, place))
+    place, window = place[order], window[order]
+    began = time.perf_counter()
+    size, item, begin = D.longest(place, window, np.zeros(len(place), np.int64), b, 1)
+    assert (size[0], b.items[item[0]], begin[0], len(place)) == (3, "00000", 0, k)
+    assert time.perf_counter() - began < 1
+
+
+def test_longest_match_against_brute_force():
+    import numpy as np
+
+    rng = random.Random(9)
+    v = ["a", "b", "c"]
+    items = [(f"{k:02d}", " ".join(rng.choice(v) for _ in range(rng.choice([2, 4, 6, 12])))) for k in range(12)]
+    b = D.Benchmark(items, 4)
+    for _ in range(60):
+        w = [rng.choice([*v, "z"]) for _ in range(rng.randint(0, 60))]
+        data = " ".join(w).encode()
+        hashes, off = D.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        place, window = D.find(hashes, off, b)
+        order = np.lexsort((window, place))
+        place, window = place[order], window[order]
+        size, item, begin = D.longest(place, window, np.zeros(len(place), np.int64), b, 1)
+        best = (0, 0, -1)
+        for name, t in items:
+            own = t.split()
+            least = min(4, len(own))
+            for i in range(len(w)):
+                for j in range(len(own)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(own) and w[i + n] == own[j + n]:
+                        n += 1
+                    if n >= least and (len(own) >= 4 or n == len(own)):
+                        best = max(best, (n, -i, -int(name) - 1))
+        assert (int(size[0]), int(begin[0]), int(item[0])) == ((best[0], -best[1], -best[2] - 1) if best[0] else (0, -1, -1)), (w, best)
