@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from reckon.plans import checks, grammars, layouts, more, outcomes, registry, rules, sinks  # noqa: F401
+from reckon.plans import checks, grammars, kits, layouts, more, outcomes, registry, rules, sinks  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
@@ -52,6 +52,10 @@ BRANCHES |= {
     "match_consumable": ("pass", {"tag and code", "tag and replacement", "tag and reverse replacement", "code", "replacement"}),
     "allocate_contract": ("phase", {"whole", "partial"}),
     "row_layouts": ("supply", {"position", "section", "cabinet", "system", "empty", "head", "other"}),
+    "kit_review_status": ("status", {"agreed", "review", "sent", "not uploaded"}),
+    "nearest_origin": ("origin", {"no date", "none", "catalog", "request"}),
+    "revision_tiers": ("tier", {0, 1, 2}),
+    "working_revisions": ("state", {"only on disk", "ahead", "not on disk", "issued"}),
     "masked_rows": ("row_type", {"position", "system", "section", "cabinet", "empty", "other"}),
     "supply_statuses": ("kind", {"empty", "excluded", "tag replaced", "unknown"}),
     "unit_queues": ("kind", {"unit", "units", "remainder", "more tags than quantity"}),
