@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from reckon.plans import checks, grammars, kits, layouts, more, outcomes, registry, rules, sinks  # noqa: F401
+from reckon.plans import checks, grammars, kits, layouts, more, outcomes, pages, registry, rules, sinks  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
