@@ -13,6 +13,10 @@ the text that its windows cover. Documents live in buckets by id. The steps, eac
 
 A passage that a third of all documents share crosses the network once for each bucket, not once for each document, and
 no pair of documents is ever formed. The text itself is exchanged once: the plan uses that exchange three times.
+
+There is a message for each bucket and shard that have something for each other, so at large sizes a message holds few
+anchors or spans. Messages cost a few bytes besides their content for that reason, and there are ``SPREAD`` times fewer
+shards than buckets; a shard works on its spans in chunks.
 """
 
 from __future__ import annotations
@@ -29,8 +33,11 @@ from reckon.llm import common as C
 U64 = np.uint64
 #: Bits of an anchor that are exchanged. Two anchors that agree in them by chance only cost a comparison.
 ANCHOR_BITS = 48
-#: Windows that a shard compares at once; one anchor's windows stay together.
-WINDOWS_AT_ONCE = 1 << 17
+#: Buckets of text for each shard: about a million anchors at the operators' bucket sizes.
+SPREAD = 8
+#: Windows that a shard compares at once. One anchor's windows stay together up to so many times as many; beyond that they
+#: are compared by the anchor's place in them.
+WINDOWS_AT_ONCE, HOT_CHUNKS = 1 << 17, 4
 #: (spans: bytes, span offsets, windows in each, anchor places, anchors, least documents, window length, seed) -> owner of each window
 Decide = Callable[..., np.ndarray]
 
@@ -78,7 +85,8 @@ def runs_of(values: np.ndarray, offsets: np.ndarray, s: Symbols):
     sizes = np.diff(np.append(starts, n))
     keep = whole[starts]
     starts, sizes = starts[keep], sizes[keep]
-    return starts, sizes, at[starts], anchors[at[starts]] >> U64(64 - ANCHOR_BITS)
+    # least hashes are small numbers; hashed again they spread evenly over the shards
+    return starts, sizes, at[starts], C.mix(anchors[at[starts]]) >> U64(64 - ANCHOR_BITS)
 
 
 def _ids(part: pa.Table) -> np.ndarray:
@@ -248,6 +256,22 @@ def _from(first: np.ndarray, row_first: np.ndarray) -> np.ndarray:
     return (first - row_first).astype(np.uint32)
 
 
+def single_windows(text: np.ndarray, offsets: np.ndarray, n: np.ndarray, place: np.ndarray, s: Symbols):
+    """The windows of spans of one anchor, cut out, by the anchor's place in them: equal windows have it at one place. Yields
+    spans, their window, the windows' text and its offsets, and the anchor's places."""
+    _, first, spans = s.read(text, offsets)
+    for at in range(s.length - s.seed + 1):
+        window = place - at
+        rows = np.flatnonzero((window >= 0) & (window < n))
+        if not len(rows):
+            continue
+        begin = first[:-1][rows] + window[rows]
+        end = begin + s.length
+        if spans is not None:
+            begin, end = spans[0][begin], spans[1][end - 1]
+        yield rows, window[rows], text[C.ranges(begin, end - begin)], np.concatenate(([0], np.cumsum(end - begin))), np.full(len(rows), at, np.int64)
+
+
 def decide_owners(part: pa.Table, s: Symbols, decide: Decide) -> pa.Table:
     """Step 4. For each distinct span of a shard, the least document that has each of its windows."""
     blobs = [C.unpack(b) for b in part["__blob"].to_pylist()]
@@ -279,7 +303,12 @@ def decide_owners(part: pa.Table, s: Symbols, decide: Decide) -> pa.Table:
         part_of = by[group[i] : group[j]]
         pick = one[part_of]
         off = np.concatenate(([0], np.cumsum(lengths[pick].astype(np.int64))))
-        owners[C.ranges(whole[part_of], n[pick])] = decide(text[C.ranges(offsets[pick], lengths[pick])], off, n[pick], place[pick], anchor[pick], own[pick], s)
+        pieces = text[C.ranges(offsets[pick], lengths[pick])]
+        if work[j] - work[i] <= HOT_CHUNKS * WINDOWS_AT_ONCE:
+            owners[C.ranges(whole[part_of], n[pick])] = decide(pieces, off, n[pick], place[pick], anchor[pick], own[pick], s)
+        else:
+            for rows, window, own_text, own_off, at in single_windows(pieces, off, n[pick], place[pick], s):
+                owners[whole[part_of[rows]] + window] = decide(own_text, own_off, np.ones(len(rows), np.int64), at, anchor[pick][rows], own[pick][rows], s)
         i = j
     at = whole
     # a span whose windows nobody else has and that one document has alone says nothing
@@ -329,9 +358,10 @@ def remove_repeats(df: DataFrame, s: Symbols, decide: Decide, finish: Callable,
         F.col(f"`{text_column}`").cast("string").alias("__text"),
         *[F.col(f"`{c}`").alias(f"__carry_{c}") for c in carry],
     )
-    named = docs.groupBy("__bucket").applyInArrow(lambda t: name_anchors(t, s, shards), MESSAGE)
+    meeting = max(1, min(shards, max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // SPREAD)))
+    named = docs.groupBy("__bucket").applyInArrow(lambda t: name_anchors(t, s, meeting), MESSAGE)
     shared = named.groupBy("__shard").applyInArrow(find_shared, MESSAGE)
-    spans = docs.groupBy("__bucket").cogroup(shared.groupBy("__bucket")).applyInArrow(lambda a, b: send_spans(a, b, s, shards), MESSAGE)
+    spans = docs.groupBy("__bucket").cogroup(shared.groupBy("__bucket")).applyInArrow(lambda a, b: send_spans(a, b, s, meeting), MESSAGE)
     owners = spans.groupBy("__shard").applyInArrow(lambda t: decide_owners(t, s, decide), MESSAGE)
 
     def last(part: pa.Table, found: pa.Table) -> pa.Table:
