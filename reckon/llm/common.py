@@ -35,8 +35,10 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
+    """A new folder below the shared one. It goes when the application ends, if nothing has removed it by then."""
+    path = f"{shared_base(spark)}/{uuid.uuid4().hex}"
+    until_end(spark, path)
+    return path
 
 
 #: Rows that one task writes of a table of a few numbers, of one with a kilobyte in each row, and of one with whole texts.
@@ -49,13 +51,34 @@ def sized(df: DataFrame, rows: int | None, each: int = NARROW) -> DataFrame:
     return df if rows is None else df.coalesce(max(1, -(-rows // each)))
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path of the JVM, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more."""
+    for p in paths:
+        path, files = _folder(spark, p)
+        files.delete(path, True)
+
+
+def until_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends, if nothing has removed it by then."""
+    path, files = _folder(spark, path)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+
+
 def _write(df: DataFrame, path: str, rows: int | None, each: int) -> DataFrame:
     sized(df, rows, each).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, rows: int | None = None, each: int = NARROW) -> DataFrame:
-    """Write a table to the shared folder and read it again: a compact, columnar cut of the lineage."""
+    """Write a table to the shared folder and read it again: a compact, columnar cut of the lineage. What a result reads
+    stays until the application ends; what only leads to a result belongs into a :class:`Scratch`."""
     return _write(df, shared_folder(df.sparkSession), rows, each)
 
 
@@ -70,8 +93,7 @@ class Scratch:
         return _write(df, f"{self.base}/{self.n}", rows, each)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.base)
 
 
 def text_bytes(df: DataFrame, *columns: str) -> int:

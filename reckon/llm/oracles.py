@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reckon.llm import chat_format, quality, url_filter
+from reckon.llm import chat_format, filter_audit, quality, source_audit, url_filter
 
 #: op7: windows of 13 words, the first document of each, and the words that a later one loses.
 SUBSTRING = r"""
@@ -123,4 +123,6 @@ ORACLE: dict[str, str] = {
     "op8_minhash_near_dedup": NEAR,
     "op9_url_filters": url_filter.ORACLE,
     "op10_chat_formatting": CHAT,
+    "op11_filter_interaction_audit": filter_audit.ORACLE,
+    "op12_source_divergence_audit": source_audit.ORACLE,
 }
