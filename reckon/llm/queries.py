@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reckon.llm import chat_format, decontaminate, filter_audit, mixing, near_dedup, oracles, quality, source_audit, substring_dedup, suffix_dedup, toxicity, url_filter, warc
+from reckon.llm import chat_format, decontaminate, filter_audit, html_extract, mixing, near_dedup, oracles, quality, source_audit, substring_dedup, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_formatting": chat_format.query,
     "op11_filter_interaction_audit": filter_audit.query,
     "op12_source_divergence_audit": source_audit.query,
+    "op13_html_extraction": html_extract.query,
 }
 #: DuckDB SQL for the same rows, where SQL can express them on whole tables; the others are tested against brute force.
 ORACLE = oracles.ORACLE
