@@ -87,14 +87,28 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, shared_folder(spark), 0
+        self.paths: dict[int, str] = {}
 
     def write(self, df: DataFrame, rows: int | None = None, each: int = NARROW) -> DataFrame:
         self.n += 1
-        return _write(df, f"{self.base}/{self.n}", rows, each)
+        path = f"{self.base}/{self.n}"
+        out = _write(df, path, rows, each)
+        self.paths[id(out)] = path
+        return out
+
+    def remove(self, table: DataFrame) -> None:
+        """One of the tables, by the DataFrame that :meth:`write` returned."""
+        remove(self.spark, self.paths.pop(id(table)))
 
     def drop(self) -> None:
         remove(self.spark, self.base)
 
+    def finished(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """A result that reads these tables, stored by itself; they go."""
+        out = written(df, rows)
+        self.drop()
+        return out
+
 
 def text_bytes(df: DataFrame, *columns: str) -> int:
     """Bytes of the text columns: one narrow aggregate, so that it holds behind any join or filter."""

@@ -237,7 +237,7 @@ def _pass(text_column: str, first: bool, broadcast, added: list[str]):
     return run
 
 
-def _found(df: DataFrame, benchmark: DataFrame, text_column: str, item_column: str, item_text_column: str, window: int, block_bytes: int) -> tuple[DataFrame, list[str]]:
+def _found(df: DataFrame, benchmark: DataFrame, text_column: str, item_column: str, item_text_column: str, window: int, block_bytes: int, scratch: C.Scratch | None = None) -> tuple[DataFrame, list[str]]:
     """The rows of ``df`` with the columns of ADDED, and the names that these have."""
     spark = df.sparkSession
     items = benchmark.select(F.coalesce(F.col(f"`{item_column}`").cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(f"`{item_text_column}`"), F.lit("")).alias("t"))
@@ -245,26 +245,30 @@ def _found(df: DataFrame, benchmark: DataFrame, text_column: str, item_column: s
     blocks = max(1, -(-size // block_bytes))
     added = C.unused(df.columns, *[f.name for f in ADDED])
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, f.dataType) for n, f in zip(added, ADDED, strict=True)]])
-    out = df
+    out, stored = df, None
+    scratch = scratch or (C.Scratch(spark) if blocks > 1 else None)
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()  # about block_bytes
         shared = spark.sparkContext.broadcast(Benchmark([(r.i, r.t) for r in rows], window))
         out = out.mapInArrow(_pass(text_column, k == 0, shared, added), schema)
         if k + 1 < blocks:
-            out = C.written(out)
+            out, before = scratch.write(out), stored
+            if before is not None:
+                scratch.remove(before)
+            stored = out
     return out, added
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, scratch: C.Scratch | None = None) -> DataFrame:
     """The rows of ``df`` with n_words, n_hit, items (ids, sorted as strings) and longest (struct: n_words, first_word, item_id)."""
-    out, (words, n_hit, _, items, best) = _found(df, benchmark, text_column, item_column, item_text_column, window, block_bytes)
+    out, (words, n_hit, _, items, best) = _found(df, benchmark, text_column, item_column, item_text_column, window, block_bytes, scratch)
     named = {"n_words": words, "n_hit": n_hit, "items": items, "longest": best}
     return out.select(*[F.col(f"`{c}`") for c in C.others(df, *named)], *[F.col(c).alias(n) for n, c in named.items()])
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, scratch: C.Scratch | None = None) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    out, (_, n_hit, *_) = _found(df, benchmark, text_column, item_column, item_text_column, window, block_bytes)
+    out, (_, n_hit, *_) = _found(df, benchmark, text_column, item_column, item_text_column, window, block_bytes, scratch)
     return out.filter(F.col(n_hit) == 0).select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -52,11 +52,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return ranked.select("source", "source_rank", "source_size", F.coalesce(F.least(F.col("stop"), F.col("water") * F.col("w")), F.col("stop")).alias("target"))
 
 
-def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, keep: tuple[str, ...] = (), seed: int = 7) -> DataFrame:
-    """The manifest: id, size, source, source_size, target, epochs and taken, and the columns named in ``keep``."""
+def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, keep: tuple[str, ...] = (), seed: int = 7, scratch: C.Scratch | None = None) -> DataFrame:
+    """The manifest: id, size, source, source_size, target, epochs and taken, and the columns named in ``keep``. It reads
+    tables of ``scratch``, which whoever gives one drops when the manifest is done with."""
+    scratch = scratch or C.Scratch(df.sparkSession)
     text = F.col(f"`{text_column}`")
     keep = tuple(c for c in keep if c.lower() not in ("doc_id", "size", "source", "source_size", "target", "epochs", "taken"))
-    light = C.written(
+    light = scratch.write(
         df.select(
             F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{source_column}`").alias("source"), F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.col(f"`{id_column}`"), F.lit(seed)).alias("place"), F.xxhash64(text).alias("tie"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep],
@@ -68,7 +70,7 @@ def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sou
     # a bucket is a range of the hash, so buckets follow its order
     placed = light.withColumn("bucket", (F.shiftright("place", 24) * F.lit(buckets) / F.lit(float(1 << 40))).cast("double"))
     placed = placed.withColumn("bucket", F.floor("bucket").cast("long")).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    queued = C.written(running_total(placed, ["source_rank"], "bucket", [F.col("place"), F.col("doc_id"), F.col("size"), F.col("tie")], "size", "upto").drop("bucket"))
+    queued = scratch.write(running_total(placed, ["source_rank"], "bucket", [F.col("place"), F.col("doc_id"), F.col("size"), F.col("tie")], "size", "upto").drop("bucket"))
     finish = lambda epoch: (F.col("upto") + F.col("source_size") * epoch) / F.col("target")
 
     copies = queued.filter("size > 0 and target > 0").select("source_rank", "size", F.explode(F.array(*[finish(e) for e in range(epochs)])).alias("time"))
@@ -91,4 +93,6 @@ def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sou
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: every document of ``documents``."""
-    return mix(C.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+    scratch = C.Scratch(spark)
+    out = mix(C.table(spark, sf_dir, "documents"), scratch=scratch)
+    return scratch.finished(out.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs"))

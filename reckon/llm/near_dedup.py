@@ -390,13 +390,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.union(labels.select("root", "root").distinct())
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, held: C.Scratch | None = None) -> DataFrame:
     """One row for each row of ``df``: doc_id, n_shingles, component_id, kept, and text_hash (xxhash64 of the text), which
-    tells rows apart that share an id."""
-    scratch = C.Scratch(df.sparkSession)
-    docs = C.written(signatures(df, id_column, text_column, shingle))
+    tells rows apart that share an id. It reads tables of ``held``, which whoever gives one drops when the rows are done with."""
+    scratch, held = C.Scratch(df.sparkSession), held or C.Scratch(df.sparkSession)
+    docs = held.write(signatures(df, id_column, text_column, shingle))
     known = docs.filter("n_shingles > 0 and doc_id is not null")
-    classes = C.written(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), docs.count(), C.WIDE)
+    classes = scratch.write(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), docs.count(), C.WIDE)
     info, n_classes = classes.select("rep", "n", "registers"), classes.count()
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -437,7 +437,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
             final = joined.union(merged)
 
     named = classes.select("f1", "f2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    named = C.written(named.select("f1", "f2", F.coalesce("root", "rep").alias("own")), n_classes)
+    named = held.write(named.select("f1", "f2", F.coalesce("root", "rep").alias("own")), n_classes)
     scratch.drop()
     out = docs.select("doc_id", "n_shingles", "f1", "f2", "text_hash").join(named, ["f1", "f2"], "left")
     by_id = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("own")).otherwise(F.col("doc_id"))
@@ -447,4 +447,5 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every document of ``documents``."""
-    return near_duplicates(C.table(spark, sf_dir, "documents")).drop("text_hash")
+    held = C.Scratch(spark)
+    return held.finished(near_duplicates(C.table(spark, sf_dir, "documents"), held=held).drop("text_hash"))

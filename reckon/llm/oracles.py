@@ -68,9 +68,9 @@ SELECT b.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BI
 FROM b LEFT JOIN pieces USING (doc_id)
 """
 
-#: op5: the base measures, and both distances from histograms summed by language.
+#: op5: the base measures, and both distances from histograms summed by language, the nearest one where there is none.
 QUALITY = rf"""
-WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH d AS (SELECT doc_id, CASE WHEN lower(trim(lang)) NOT IN {quality.NO_LANGUAGE} THEN lang END AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
  m AS (SELECT *, len(ws) AS n, length(array_to_string(ws, '')) AS c, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS symbols,
    length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS upper_, length(regexp_replace(t, '\P{{N}}', '', 'g')) AS digit_, length(regexp_replace(t, '[\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]', '', 'g')) AS mark_ FROM d),
  lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
@@ -81,16 +81,17 @@ WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coal
  counts AS (SELECT doc_id, CASE WHEN w IN (SELECT b FROM common) THEN w ELSE '' END AS b, count(*) AS v FROM (SELECT doc_id, lower(unnest(ws)) AS w FROM d) GROUP BY ALL),
  hist AS (SELECT 'words' AS kind, m.doc_id, m.lang, bins.b, coalesce(v, 0) AS v FROM m CROSS JOIN bins LEFT JOIN counts ON counts.doc_id = m.doc_id AND counts.b = bins.b
    UNION ALL SELECT 'classes', doc_id, lang, unnest(['lower', 'upper', 'digit', 'mark', 'space']), unnest([c - upper_ - digit_ - mark_, upper_, digit_, mark_, length(t) - c]) FROM m),
- own AS (SELECT kind, lang, b, sum(v) AS q FROM hist WHERE lang IN {quality.LANGUAGES} GROUP BY ALL),
- pooled AS (SELECT kind, b, sum(v) AS q FROM hist GROUP BY ALL),
- pairs AS (SELECT h.kind, h.doc_id, v, coalesce(own.q, pooled.q) AS q, sum(v) OVER w AS vs, sum(coalesce(own.q, pooled.q)) OVER w AS qs
-   FROM hist h LEFT JOIN own ON own.kind = h.kind AND own.lang = h.lang AND own.b = h.b JOIN pooled ON pooled.kind = h.kind AND pooled.b = h.b WINDOW w AS (PARTITION BY h.kind, h.doc_id)),
- terms AS (SELECT kind, doc_id, v / vs AS p, q / qs AS q FROM pairs WHERE vs > 0 AND qs > 0),
- far AS (SELECT doc_id, kind, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 0)) AS x FROM terms GROUP BY ALL),
- out AS (SELECT m.doc_id, m.n, c, symbols, coalesce(lines.n, 0) AS dup, coalesce(twice.n, 0) AS rep, coalesce(a.x, 0) AS classes, coalesce(b.x, 0) AS words
-   FROM m LEFT JOIN lines USING (doc_id) LEFT JOIN twice USING (doc_id) LEFT JOIN far a ON a.doc_id = m.doc_id AND a.kind = 'classes' LEFT JOIN far b ON b.doc_id = m.doc_id AND b.kind = 'words')
+ ref AS (SELECT kind, lang AS l, b, sum(v) AS q FROM hist WHERE lang IS NOT NULL GROUP BY ALL),
+ pairs AS (SELECT h.kind, h.doc_id, l, v, q, sum(v) OVER w AS vs, sum(q) OVER w AS qs FROM hist h JOIN ref r ON r.kind = h.kind AND r.b = h.b AND (h.lang IS NULL OR r.l = h.lang) WINDOW w AS (PARTITION BY h.kind, h.doc_id, l)),
+ terms AS (SELECT kind, doc_id, l, CASE WHEN vs > 0 AND qs > 0 THEN v / vs ELSE 0 END AS p, CASE WHEN vs > 0 AND qs > 0 THEN q / qs ELSE 0 END AS q FROM pairs),
+ each AS (SELECT doc_id, l, kind, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 0)) AS x FROM terms GROUP BY ALL),
+ both_ AS (SELECT doc_id, l, max(x) FILTER (kind = 'words') AS words, max(x) FILTER (kind = 'classes') AS classes FROM each GROUP BY ALL),
+ size_ AS (SELECT l, sum(q) AS refs FROM ref WHERE kind = 'words' GROUP BY l),
+ near AS (SELECT doc_id, words, classes, refs FROM both_ JOIN size_ USING (l) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words, classes) = 1),
+ out AS (SELECT m.doc_id, m.n, c, symbols, coalesce(lines.n, 0) AS dup, coalesce(twice.n, 0) AS rep, coalesce(near.classes, 0) AS classes, coalesce(near.words, 0) AS words, greatest(coalesce(refs, 0) - CASE WHEN m.lang IS NULL THEN 0 ELSE m.n END, 0) AS o
+   FROM m LEFT JOIN lines USING (doc_id) LEFT JOIN twice USING (doc_id) LEFT JOIN near USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, c::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, n < {quality.LEAST_WORDS} OR 100 * rep > 50 * n AS base_failed,
- NOT (n < {quality.LEAST_WORDS} OR 100 * rep > 50 * n OR (n >= {quality.GUARD_CLASSES} AND classes > {quality.FAR_CLASSES}) OR (n >= {quality.GUARD_WORDS} AND words > {quality.FAR_WORDS})) AS kept
+ NOT (n < {quality.LEAST_WORDS} OR 100 * rep > 50 * n OR (n >= {quality.GUARD_CLASSES} AND classes * o > {quality.FAR_CLASSES} * (o + {quality.DOUBT})) OR (n >= {quality.GUARD_WORDS} AND words * o > {quality.FAR_WORDS} * (o + {quality.DOUBT}))) AS kept
 FROM out
 """
 

@@ -6,11 +6,11 @@ if a base rule fails, or if it is long enough to be judged and the Jensen-Shanno
 its language's is too large. The references are a few numbers for each language: up to ``LITERALS`` of them go into the
 plan, so the second step reads only numbers, needs no join and shuffles nothing; more of them are joined.
 
-Defined results: null texts count as empty; documents under a guard's length are not judged by that distance. A language
-with fewer than ``LEAST_DOCUMENTS`` documents or ``LEAST_REFERENCE`` words has no reference; its documents have distances
-of 0 and go by the base rules alone, for another language's reference would reject clean text. A lang that is null or
-names no language (``NO_LANGUAGE``) enters no reference; such a document is held against the reference that is nearest by
-words. Empty tables work; repeated rows each get their row; very long texts are measured whole. Columns are picked by name;
+Defined results: null texts count as empty; documents under a guard's length are not judged by that distance. Every value
+of lang has a reference, however few documents it has. What a reference tells grows with the words that it has from other
+documents: the distance counts in full where they are many and less, without a step, where ``DOUBT`` words or fewer stand
+behind it, so a clean document in a language that hardly occurs isn't judged by a handful of others. A lang that is null or names no language (``NO_LANGUAGE``) enters
+no reference; such a document is held against the reference that is nearest by words. Empty tables work; repeated rows each get their row; very long texts are measured whole. Columns are picked by name;
 the measures' names replace columns of these names.
 """
 
@@ -23,12 +23,11 @@ from pyspark.sql import functions as F
 
 from reckon.llm import common as C
 
-#: The languages that the SQL of op5 knows; it pools all others, so its rows are the same only where lang has no other value.
-LANGUAGES = ("de", "en", "es", "fr")
 #: Besides null: blank, and the ISO 639 codes for undetermined, several, uncoded and no language.
 NO_LANGUAGE = ("", "mis", "mul", "und", "zxx")
-#: What a language needs to get a reference, and how many references are put into the plan as literals.
-LEAST_DOCUMENTS, LEAST_REFERENCE = 10, 5000
+#: Words of others at which a reference tells half.
+DOUBT = 2000
+#: How many references are put into the plan as literals; the rows are the same if more are joined.
 LITERALS = 256
 #: Frequent function words of German, English, Spanish and French; other languages' words count as others.
 COMMON = (
@@ -128,22 +127,21 @@ def language(df: DataFrame, lang_column: str) -> Column:
 
 
 def references(df: DataFrame, lang: Column, histogram: Column) -> DataFrame:
-    """(l, r): the histogram sums r.c and r.w of each language with enough text."""
+    """(l, r): the histogram sums r.c and r.w of each language."""
     rows = df.select(lang.alias("l"), histogram["classes"].alias("classes"), histogram["common"].alias("common")).filter("l is not null")
-    sums = rows.groupBy("l").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("classes", F.lit(i))).cast("double") for i in range(5)]).alias("c"), F.array(*[F.sum(F.get("common", F.lit(i))).cast("double") for i in range(len(COMMON) + 1)]).alias("w"))
-    covered = (F.col("n") >= LEAST_DOCUMENTS) & (F.aggregate("w", F.lit(0.0), lambda a, b: a + b) >= LEAST_REFERENCE)
-    return sums.filter(covered).select("l", F.struct("c", "w").alias("r"))
+    sums = rows.groupBy("l").agg(F.array(*[F.sum(F.get("classes", F.lit(i))).cast("double") for i in range(5)]).alias("c"), F.array(*[F.sum(F.get("common", F.lit(i))).cast("double") for i in range(len(COMMON) + 1)]).alias("w"))
+    return sums.select("l", F.struct("c", "w", F.aggregate("w", F.lit(0.0), lambda a, b: a + b).alias("n")).alias("r"))
 
 
 def against(histogram: Column, reference: Column) -> Column:
-    """Both distances of a text from one reference; 0 where that is null."""
-    return F.struct(distance(histogram["common"], reference["w"]).alias("words"), distance(histogram["classes"], reference["c"]).alias("classes"))
+    """Both distances of a text from one reference, and its words; 0 where that is null."""
+    return F.struct(distance(histogram["common"], reference["w"]).alias("words"), distance(histogram["classes"], reference["c"]).alias("classes"), F.coalesce(reference["n"], F.lit(0.0)).alias("n"))
 
 
 def literals(known: list) -> Column:
     """References as an array of the plan."""
     numbers = lambda x: f"array({','.join(f'{v!r}D' for v in x)})"
-    return F.expr(f"array({','.join(f'struct({numbers(x.r.c)} AS c, {numbers(x.r.w)} AS w)' for x in known)})")
+    return F.expr(f"array({','.join(f'struct({numbers(x.r.c)} AS c, {numbers(x.r.w)} AS w, {x.r.n!r}D AS n)' for x in known)})")
 
 
 def nearest(histogram: Column, known: list) -> Column:
@@ -154,19 +152,19 @@ def nearest(histogram: Column, known: list) -> Column:
 def by_literals(df: DataFrame, known: list, histogram: Column, lang: Column, name: str) -> DataFrame:
     """``df`` with the distances ``name``, all references being literals of the plan."""
     if not known:
-        return df.withColumn(name, F.struct(F.lit(0.0).alias("words"), F.lit(0.0).alias("classes")))
+        return df.withColumn(name, F.struct(F.lit(0.0).alias("words"), F.lit(0.0).alias("classes"), F.lit(0.0).alias("n")))
     own = F.element_at(F.map_from_arrays(F.array(*[F.lit(x.l) for x in known]), literals(known)), lang)
     return df.withColumn(name, F.when(lang.isNull(), nearest(histogram, known)).otherwise(let(own, lambda r: against(histogram, r))))
 
 
-def by_joins(df: DataFrame, known: DataFrame, histogram: Column, lang: Column, name: str) -> DataFrame:
+def by_joins(df: DataFrame, known: DataFrame, histogram: Column, lang: Column, name: str, scratch: C.Scratch) -> DataFrame:
     """The same for any number of references: a document's own one is joined; for those without a language the nearest one
     is a minimum over all, ``LITERALS`` or so at a time."""
-    known = C.written(known)
+    known = scratch.write(known)
     key, ref = C.unused(df.columns, "__key", "__ref")
     named = df.filter(lang.isNotNull()).join(known.select(F.col("l").alias(key), F.col("r").alias(ref)), lang == F.col(key), "left")
     named = named.withColumn(name, let(F.col(ref), lambda r: against(histogram, r))).drop(key, ref)
-    nameless, parts = df.filter(lang.isNull()).withColumn(name, F.lit(None).cast("struct<words:double,classes:double>")), -(-known.count() // LITERALS)
+    nameless, parts = df.filter(lang.isNull()).withColumn(name, F.lit(None).cast("struct<words:double,classes:double,n:double>")), -(-known.count() // LITERALS)
     for k in range(parts):
         rows = known.filter(F.pmod(F.xxhash64("l"), F.lit(parts)) == k).collect()  # about LITERALS
         if rows:
@@ -174,24 +172,30 @@ def by_joins(df: DataFrame, known: DataFrame, histogram: Column, lang: Column, n
     return named.unionByName(nameless)
 
 
-def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", corpus: DataFrame | None = None, carry: tuple[str, ...] | None = None) -> DataFrame:
+def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", corpus: DataFrame | None = None, carry: tuple[str, ...] | None = None, scratch: C.Scratch | None = None) -> DataFrame:
     """The columns of ``df`` named in ``carry`` (default: all) with the measures, the two distances, base_failed and kept.
-    References come from ``corpus`` (default: ``df`` itself)."""
+    References come from ``corpus`` (default: ``df`` itself). The result reads tables of ``scratch``, which whoever gives one
+    drops when it is done with."""
+    scratch = scratch or C.Scratch(df.sparkSession)
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
     names = [c for c in C.others(df, *added) if carry is None or c in carry]
     lang_name, m_name, far_name = C.unused(df.columns, "__lang", "__m", "__far")
-    stored = C.written(df.select(*[F.col(f"`{c}`") for c in names], language(df, lang_column).alias(lang_name), measures(F.col(f"`{text_column}`")).alias(m_name)))
+    stored = scratch.write(df.select(*[F.col(f"`{c}`") for c in names], language(df, lang_column).alias(lang_name), measures(F.col(f"`{text_column}`")).alias(m_name)))
     lang, m = F.col(lang_name), F.col(m_name)
     known = references(stored, lang, m) if corpus is None else references(corpus, language(corpus, lang_column), histograms(F.col(f"`{text_column}`")))
     rows = known.limit(LITERALS + 1).collect()
-    out = by_literals(stored, rows, m, lang, far_name) if len(rows) <= LITERALS else by_joins(stored, known, m, lang, far_name)
+    out = by_literals(stored, rows, m, lang, far_name) if len(rows) <= LITERALS else by_joins(stored, known, m, lang, far_name, scratch)
     far = F.col(far_name)
     failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    off = ((m["n_words"] >= GUARD_CLASSES) & (far["classes"] > FAR_CLASSES)) | ((m["n_words"] >= GUARD_WORDS) & (far["words"] > FAR_WORDS))
+    others_ = F.greatest(F.col(far_name)["n"] - F.when(lang.isNotNull() if corpus is None else F.lit(False), m["n_words"]).otherwise(0), F.lit(0.0))
+    beyond = lambda distance_, limit: distance_ * others_ > F.lit(limit) * (others_ + DOUBT)
+    off = ((m["n_words"] >= GUARD_CLASSES) & beyond(far["classes"], FAR_CLASSES)) | ((m["n_words"] >= GUARD_WORDS) & beyond(far["words"], FAR_WORDS))
     values = [*[m[c] for c in added[:5]], far["classes"], far["words"], failed, ~failed & ~off]
     return out.select(*[F.col(f"`{c}`") for c in names], *[c.alias(n) for n, c in zip(added, values, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every document of ``documents``."""
-    return judge(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), carry=("doc_id",)).drop("class_distance", "word_distance")
+    scratch = C.Scratch(spark)
+    out = judge(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), carry=("doc_id",), scratch=scratch)
+    return scratch.finished(out.drop("class_distance", "word_distance"))

@@ -7,12 +7,12 @@ normalised by length, give the score through a logistic curve.
 The lexicon is learnt: on at most ``SAMPLE`` labelled rows of each label (those with the least hash of the id; a bound of the
 model, not of the data) every word and every word beginning is weighed by its smoothed log odds of toxic texts. Entries that
 a longer or shorter one already explains are left out. Phrases of two words that hold an entry and occur in clean texts only
-become exceptions. Rows held out by the contract (crc32 of the id, modulo 5, is 0) take no part. Scoring is one pass over
-all documents without any exchange; the model is a few kilobytes, bounded by ``LEXICON`` and ``EXCEPTIONS``.
+(``LEAST_EXCEPTION`` of them at least) become exceptions. Rows held out by the contract (crc32 of the id, modulo 5, is 0) take no part. Scoring is one pass over
+all documents without any exchange.
 
-The model is bounded by parameters, not by the data: at most ``LEXICON`` entries (those with the most gain, the sum of the
-log odds over the toxic sample) and ``EXCEPTIONS`` phrases (the most frequent ones), entries of ``SHORTEST`` to ``LONGEST``
-letters or a whole word. At sf0.1 it learns far fewer than either bound.
+Every entry and phrase that reaches its floor is kept, of any length: the floors (texts that have it, share of the toxic
+sample, log odds) and the sample bound the model, nothing is cut off. Beginnings are counted letter by letter, and only those
+that enough toxic texts have are made longer. A model has some dozens of entries at sf0.1.
 
 Defined results: null and empty texts have no hits and get the score of a clean text; very long texts are read whole, in
 one pass; repeated rows get equal scores; several labels of an id count as the largest, several texts of an id are rows of their own;
@@ -39,9 +39,10 @@ from pyspark.sql import types as T
 from reckon.llm import common as C
 
 SAMPLE = 3000
-LEXICON, EXCEPTIONS = 400, 400
-SHORTEST, LONGEST = 3, 12
+SHORTEST = 3
+#: Floors of entries (toxic texts, their share, log odds) and of exceptions (clean texts).
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 6, 0.02, 2.5
+LEAST_EXCEPTION = 3
 HELD_OUT = 5
 #: Letters of other scripts, and digits and signs, by the Latin letters they are written for.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "χ": "x"}
@@ -126,22 +127,43 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.model.slope * density + self.model.offset)))), hits
 
 
+def frequent(texts: list[set[str]], least: int) -> Counter:
+    """Word beginnings, and whole words (ended by a blank), that at least ``least`` of the texts have. A beginning is made
+    longer only while enough texts have it."""
+    whole = Counter(f"{w} " for words in texts for w in words if len(w) >= SHORTEST)
+    out, size = Counter({w: c for w, c in whole.items() if c >= least}), SHORTEST
+    left = [{w for w in words if len(w) >= size} for words in texts]
+    while any(left):
+        count = Counter(b for words in left for b in {w[:size] for w in words})
+        count = {b: c for b, c in count.items() if c >= least}
+        out.update(count)
+        left = [{w for w in words if len(w) > size and w[:size] in count} for words in left]
+        size += 1
+    return out
+
+
+def known_in(words: set[str], entries: Counter) -> set[str]:
+    """The entries that a text has."""
+    out = {f"{w} " for w in words if f"{w} " in entries}
+    for w in words:
+        k = SHORTEST
+        while k <= len(w) and w[:k] in entries:  # what is no entry has no longer one
+            out.add(w[:k])
+            k += 1
+    return out
+
+
 def learn(rows: list[tuple[str, int]]) -> Model:
     """A model from (text, toxic) rows."""
     folded = [(fold(t), y) for t, y in rows]
     n = [sum(1 for _, y in folded if y == k) for k in (0, 1)]
     if not n[0] or not n[1]:
         return Model()
-    entries = lambda words: {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {f"{w} " for w in words if len(w) >= SHORTEST}
-    count = [Counter(), Counter()]
-    for words, y in folded:
-        if y == 1:
-            count[1].update(entries(set(words)))
     least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * n[1]))
-    count[1] = Counter({e: c for e, c in count[1].items() if c >= least})
+    count = [Counter(), frequent([set(words) for words, y in folded if y == 1], least)]
     for words, y in folded:  # clean texts only need counting for what toxic texts have
         if y == 0:
-            count[0].update(e for e in entries(set(words)) if e in count[1])
+            count[0].update(known_in(set(words), count[1]))
     odds = lambda c, k: (c + 0.5) / (n[k] + 1)
     gain = {}
     for entry, toxic in count[1].items():
@@ -149,15 +171,17 @@ def learn(rows: list[tuple[str, int]]) -> Model:
         if weight >= LEAST_ODDS:
             gain[entry] = (toxic * weight, weight)
     lexicon: dict[str, float] = {}
+    begun: set[str] = set()  # all beginnings of what is in
     for entry in sorted(gain, key=lambda e: (-gain[e][0], e.endswith(" "), -len(e), e)):  # of equals the longest
         # an entry whose beginning (or end) is in already tells nothing new
-        if len(lexicon) < LEXICON and not any(entry[:k] in lexicon for k in range(SHORTEST, len(entry))) and not any(known.startswith(entry.strip()) for known in lexicon):
+        if entry.strip() not in begun and not any(entry[:k] in lexicon for k in range(SHORTEST, len(entry))):
             lexicon[entry] = gain[entry][1]
+            begun.update(entry.strip()[:k] for k in range(SHORTEST, len(entry) + 1))
     starts = tuple(x for x in lexicon)
     phrases = [Counter(), Counter()]
     for words, y in folded:
         phrases[y].update({f"{a} {b}" for a, b in zip(words, words[1:]) if f"{a} ".startswith(starts) or f"{b} ".startswith(starts)})
-    exceptions = [p for p, c in sorted(phrases[0].items(), key=lambda x: (-x[1], x[0])) if c >= LEAST_TEXTS and not phrases[1][p]][:EXCEPTIONS]
+    exceptions = [p for p, c in sorted(phrases[0].items(), key=lambda x: (-x[1], x[0])) if c >= LEAST_EXCEPTION and not phrases[1][p]]
     model = Model(lexicon, exceptions)
     matcher = Matcher(model)
     x = np.array([matcher.density(t)[0] for t, _ in rows])

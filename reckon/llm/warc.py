@@ -127,12 +127,13 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def write_bundles(df: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: int = 0, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+def write_bundles(df: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: int = 0, bundle_bytes: int = BUNDLE_BYTES, scratch: C.Scratch | None = None) -> DataFrame:
     """Write the archives and return the index (one row a record). Running it writes; read the returned table only once,
     or store it first."""
     pages = df.select(F.col(f"`{id_column}`").cast("long").alias("page_id"), F.col(f"`{url_column}`").alias("url"), F.coalesce(F.col(f"`{html_column}`").cast("string"), F.lit("")).alias("html"))
     keyed = pages.withColumn("sha", F.sha1("html")).withColumn("own", F.octet_length("html") < least)
-    first = keyed.filter("not own").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # stored, so that both sides of the join are plain scans: a payload that very many pages have is split over tasks
+    first = (scratch or C.Scratch(df.sparkSession)).write(keyed.filter("not own").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     marked = keyed.join(first, "sha", "left").select("page_id", "url", "html", F.when(~F.col("own") & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +206,7 @@ def lookup(index: DataFrame, folder: str, page_ids: list[int]) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every row of ``pages``, written to archives and read back from them."""
-    folder = C.shared_folder(spark)
-    index = C.written(write_bundles(C.table(spark, sf_dir, "pages"), folder))
-    return read_bundles(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    scratch = C.Scratch(spark)
+    folder = f"{scratch.base}/bundles"
+    index = scratch.write(write_bundles(C.table(spark, sf_dir, "pages"), folder, scratch=scratch))
+    return scratch.finished(read_bundles(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))

@@ -124,4 +124,4 @@ def test_scratch_tables_are_removed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(N.C, "shared_base", lambda _: f"file://{tmp_path}")
     rows = rows_with_copies(2)
     out = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert len([p for p in tmp_path.iterdir() if p.is_dir()]) == 3 and out.count() == len(rows)
+    assert len([p for p in tmp_path.iterdir() if p.is_dir()]) == 1 and out.count() == len(rows)

@@ -93,3 +93,21 @@ def test_inner_names_may_be_there(spark):
     df = spark.createDataFrame([(1, "bad", 5, 6, 7)], "doc_id long, text string, __score int, __hits int, Score int")
     out = X.score(df, X.Model({"bad": 3.0}, [], 2.0, -3.0))
     assert out.columns == ["doc_id", "text", "__score", "__hits", "score", "n_hits"] and tuple(out.first())[2:4] == (5, 6)
+
+
+def test_frequent_beginnings_of_any_length():
+    texts = [{"abcdefghijklmnopqrstuvwxyz" * 40 + str(k % 2), f"rare{k}", "ab"} for k in range(8)]
+    found = X.frequent(texts, 4)
+    long = "abcdefghijklmnopqrstuvwxyz" * 40
+    assert found[long] == 8 and found[long + "0"] == 4 and found[long + "1 "] == 4 and found["rare"] == 8 and "rare1" not in found and "ab " not in found
+    assert all(found[b] == sum(any(w.startswith(b) for w in t) for t in texts) for b in found if not b.endswith(" "))
+    assert X.known_in({long + "0x", "rar"}, found) == {long[:k] for k in range(3, len(long) + 1)} | {long + "0", "rar"}
+
+
+def test_exceptions_are_learnt_and_act():
+    bad = [(f"you idiot number{k} are here", 1) for k in range(20)]
+    clean = [(f"the idiot savant plays w{k} well", 0) for k in range(4)] + [(f"nothing to see w{k} here", 0) for k in range(60)]
+    model = X.learn(bad + clean)
+    assert {"the idiot", "idiot savant"} <= set(model.exceptions)
+    matcher = X.Matcher(model)
+    assert matcher.density("the idiot savant plays")[1] == 0 and matcher.density("an idiot plays")[1] == 1

@@ -38,7 +38,7 @@ def test_round_trip(spark, tmp_path):
 
 def test_bundles_are_seekable_and_plain(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
-    index = C.written(W.write_bundles(spark.createDataFrame([(i, "u", f"{i} " * 90_000) for i in range(12)], "page_id long, url string, html string"), folder))
+    index = C.written(W.write_bundles(spark.createDataFrame([(i, "u", f"{i} " * 90_000) for i in range(12)], "page_id long, url string, html string").coalesce(1), folder))
     total = 0
     for name in os.listdir(tmp_path / "w"):
         with open(tmp_path / "w" / name, "rb") as f:
