@@ -16,10 +16,27 @@ from reckon.llm import common, decontaminate, mixing, near_dedup, quality, suffi
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Tables that the results of stages read; those of earlier stages go when the next one begins.
+_held: list[common.Scratch] = []
+
+
+def _scratch(docs: DataFrame) -> common.Scratch:
+    """Tables for one stage. What earlier stages stored goes, for their results have been written by now; only tables that
+    ``docs`` itself still reads stay."""
+    reads = docs.inputFiles() if _held else []
+    for held in _held[:]:
+        name = held.base.rsplit("/", 1)[1]
+        if not any(name in path for path in reads):
+            held.drop()
+            _held.remove(held)
+    _held.append(common.Scratch(docs.sparkSession))
+    return _held[-1]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go. Language references come from the stage's own input. A null or empty text has no
     words, so it goes; a null lang is held against the nearest reference; repeated rows stay or go together."""
-    return quality.judge(docs.select(COLUMNS)).filter("kept").select(COLUMNS)
+    return quality.judge(docs.select(COLUMNS), scratch=_scratch(docs)).filter("kept").select(COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +44,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     are like nothing and stay. Rows of one id with different texts are told apart by the text; equal rows stay or go
     together. Only ids and hashes of what goes are joined."""
     docs = docs.select(COLUMNS)
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id", "text_hash").distinct()
+    gone = near_dedup.near_duplicates(docs, held=_scratch(docs)).filter("not kept").select("doc_id", "text_hash").distinct()
     return docs.join(gone.withColumnRenamed("doc_id", "gone"), (F.col("doc_id") == F.col("gone")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti").select(COLUMNS)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go, in whole characters; so do documents of which nothing is left. A null text
     becomes an empty one and stays; rows of one id, and rows without one, which come last, don't cut each other."""
+    _scratch(docs)
     out = suffix_dedup.suffix_array_dedup(docs, keep=("lang", "source"), whole_characters=True)
     text = F.decode("kept", "UTF-8")
     out = out.filter((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
@@ -42,13 +60,13 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go. Null and empty texts have no window and stay."""
-    return decontaminate.decontaminate(docs.select(COLUMNS), common.table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs.select(COLUMNS), common.table(spark, sf_dir, "benchmark"), scratch=_scratch(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The manifest of what the mix takes; documents that it leaves out, or that have no words, are not in it. A null source
     is a source of its own, repeated rows each have their line."""
-    out = mixing.mix(docs.select(COLUMNS), keep=("lang", "n_chars"))
+    out = mixing.mix(docs.select(COLUMNS), keep=("lang", "n_chars"), scratch=_scratch(docs))
     return out.filter("taken > 0").select("doc_id", "lang", "source", "n_chars", "size", "source_size", "target", "epochs", "taken")
 
 
@@ -64,8 +82,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages on ``documents``, each written as Parquet to the shared folder and read again; a stage's input goes once
+    the next one is written."""
+    docs, outputs, before = common.table(spark, sf_dir, "documents"), common.Scratch(spark), None
     for _, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir))
+        docs, read = outputs.write(stage(spark, docs, sf_dir)), before
+        if read is not None:
+            outputs.remove(read)
+        before = docs
+    for held in _held:
+        held.drop()
+    _held.clear()
     return docs
