@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from reckon.operators.fold import folded
+from reckon.sources.work import Work
 
 
 def spans(df: DataFrame, keys: list[str], order: list, quantity: str) -> DataFrame:
@@ -42,13 +47,13 @@ def in_phases(demand: DataFrame, supply: DataFrame, phases: list[tuple[str, list
 
     A phase is a name, the columns that must agree, and a condition on the supply. In the phases named in ``reserve`` a
     supply whose tag an unfilled demand of the same first key still asks for is passed over."""
+    work = Work(demand.sparkSession)
     found: list[DataFrame] = []
+    demand, supply = demand.withColumn("__left", F.col(quantity)), supply.withColumn("__left", F.col(quantity))
     for name, keys, condition in phases:
-        d, s = demand.withColumn("__left", F.col(quantity)), supply.withColumn("__left", F.col(quantity))
-        if found:
-            done = reduce(DataFrame.unionByName, found)
-            d, s = left_over(d.drop("__left"), done, "demand_id", quantity, "__left"), left_over(s.drop("__left"), done, "supply_id", quantity, "__left")
-        d, s = d.filter("__left > 0"), s.filter("__left > 0")
+        if found:  # what the phase before left over; earlier phases are in its input already
+            demand, supply = (work.store(left_over(side.withColumnRenamed("__left", "__had"), found[-1], id_, "__had", "__left").drop("__had")) for side, id_ in ((demand, "demand_id"), (supply, "supply_id")))
+        d, s = demand.filter("__left > 0"), supply.filter("__left > 0")
         if condition is not None:
             s = s.filter(condition)
         if name in reserve:
@@ -57,30 +62,43 @@ def in_phases(demand: DataFrame, supply: DataFrame, phases: list[tuple[str, list
         for k in keys:
             d, s = d.filter(F.col(k).isNotNull()), s.filter(F.col(k).isNotNull())
         got = fifo(d, s, keys, demand_order, supply_order, "__left", "__left")
-        found.append(got.select("demand_id", "supply_id", "allocated", F.lit(name).alias("phase")))
-    return reduce(DataFrame.unionByName, found)
+        found.append(work.store(got.select("demand_id", "supply_id", "allocated", F.lit(name).alias("phase"))))
+    return work.finished(reduce(DataFrame.unionByName, found))
+
+
+def _all_or_none() -> Callable[[dict], list[tuple]]:
+    left = None
+
+    def step(row: dict) -> list[tuple]:
+        nonlocal left
+        left = int(row["pool"] or 0) if left is None else left
+        need = row["need"]
+        taken = need if need is not None and 0 < need <= left else 0
+        left -= taken
+        return [(*(row[k] for k in row if k.startswith("k")), row["demand_id"], need, taken)]
+
+    return step
 
 
 def whole_or_nothing(demand: DataFrame, pool: DataFrame, keys: list[str], order: list[str], quantity: str, available: str) -> DataFrame:
     """Demand with ``taken``: a row takes all it needs from its key's pool or nothing, and one that doesn't fit doesn't block
-    a later, smaller one. What is left hangs on every row before, so a key's needs are folded in order within one row: a key
-    has as many numbers there as it has demand rows."""
-    rows = demand.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(quantity).alias("__need"), F.col("demand_id").alias("__id")))).alias("__rows"))
-    start = F.struct(F.col(available).cast("long").alias("left"), F.array().cast("array<long>").alias("taken"))
-    fits = lambda a, x: (x["__need"] > 0) & (x["__need"] <= a["left"])
-    step = lambda a, x: F.struct((a["left"] - F.when(fits(a, x), x["__need"]).otherwise(0)).cast("long").alias("left"), F.concat(a["taken"], F.array(F.when(fits(a, x), x["__need"]).otherwise(0).cast("long"))).alias("taken"))
-    folded = rows.join(pool.select(*keys, available), keys, "left").withColumn(available, F.coalesce(available, F.lit(0))).withColumn("__t", F.aggregate("__rows", start, step)["taken"])
-    return folded.select(*keys, F.explode(F.arrays_zip("__rows", "__t")).alias("z")).select(*keys, F.col("z.__rows.__id").alias("demand_id"), F.col("z.__rows.__need").alias("need"), F.col("z.__t").alias("taken"))
+    a later, smaller one. What is left hangs on every row before, so a key is folded in order, row by row."""
+    names, ranks = [f"k{i}" for i in range(len(keys))], [f"o{i}" for i in range(len(order))]
+    rows = demand.select(*keys, *[F.col(c).alias(n) for c, n in zip(order, ranks, strict=True)], "demand_id", F.col(quantity).cast("long").alias("need"))
+    rows = rows.join(pool.select(*keys, F.col(available).cast("long").alias("pool")), keys, "left").select(*[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], *ranks, "demand_id", "need", "pool")
+    schema = StructType([*[StructField(n, demand.schema[c].dataType) for c, n in zip(keys, names, strict=True)], demand.schema["demand_id"], StructField("need", LongType()), StructField("taken", LongType())])
+    return folded(rows, names, ranks, _all_or_none, schema).toDF(*keys, "demand_id", "need", "taken")
 
 
 def contract(demand: DataFrame, supply: DataFrame, keys: list[str], demand_order: list[str], supply_order: list, quantity: str) -> DataFrame:
     """(keys, demand_id, supply_id, allocated, phase): first every demand that the key's whole supply can still fill, all or
     nothing, in order; then what is left of the supply, bit by bit, for the others. Both phases take supply in one order."""
     pool = supply.groupBy(*keys).agg(F.sum(quantity).alias("__pool"))
-    pre = whole_or_nothing(demand, pool, keys, demand_order, quantity, "__pool").select("demand_id", "taken")
+    work = Work(demand.sparkSession)
+    pre = work.store(whole_or_nothing(demand, pool, keys, demand_order, quantity, "__pool").select("demand_id", "taken"))
     both = demand.join(pre, "demand_id")
     whole = fifo(both.filter("taken > 0"), supply, keys, demand_order, supply_order, "taken", quantity)
     gone = both.groupBy(*keys).agg(F.sum("taken").alias("__gone"))
     rest = spans(supply.filter(F.col(quantity) > 0), keys, supply_order, quantity).join(gone, keys).withColumn("__left", F.least(F.col(quantity), F.col("end") - F.col("__gone"))).filter("__left > 0").drop("begin", "end", "__gone")
     part = fifo(both.filter("taken = 0"), rest, keys, demand_order, supply_order, quantity, "__left")
-    return whole.withColumn("phase", F.lit("whole")).unionByName(part.withColumn("phase", F.lit("partial")))
+    return work.finished(whole.withColumn("phase", F.lit("whole")).unionByName(part.withColumn("phase", F.lit("partial"))))

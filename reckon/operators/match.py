@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from reckon.operators.fold import Shelf, folded
+from reckon.sources.work import Work
+
+#: Larger than any size.
+HUGE = 1.7e308
 
 
 def ranked_pass(demand: DataFrame, supply: DataFrame, on: list[tuple[str, str]], demand_order: list, supply_order: list) -> DataFrame:
@@ -17,18 +25,21 @@ def ranked_pass(demand: DataFrame, supply: DataFrame, on: list[tuple[str, str]],
     return d.join(s, [*[f"k{i}" for i in range(len(on))], "r"]).select("demand_id", "supply_id")
 
 
-def passes(demand: DataFrame, supply: DataFrame, plan: list[tuple[str, list[tuple[str, str]]]], demand_order: list, supply_order: list) -> DataFrame:
-    """Several passes in turn; each sees only what is still free on both sides. Adds the pass's name."""
-    found: list[DataFrame] = []
+def _free(side: DataFrame, done: DataFrame | None, id_: str) -> DataFrame:
+    return side if done is None else side.join(done.select(id_), id_, "left_anti")
+
+
+def passes(demand: DataFrame, supply: DataFrame, plan: list[tuple[str, list[tuple[str, str]]]], demand_order: list, supply_order: list, work: Work | None = None, done: DataFrame | None = None) -> DataFrame:
+    """Several passes in turn; each sees only what is still free on both sides. Adds the pass's name. The pairs of a pass are
+    stored, so that none is worked out again by those behind it."""
+    own = work or Work(demand.sparkSession)
     for name, on in plan:
-        free_d, free_s = demand, supply
-        if found:
-            done = reduce(DataFrame.union, [f.select("demand_id", "supply_id") for f in found])
-            free_d, free_s = demand.join(done, "demand_id", "left_anti"), supply.join(done, "supply_id", "left_anti")
         keys_d, keys_s = ([F.col(k).isNotNull() for k in ks] for ks in zip(*on))
+        free_d, free_s = _free(demand, done, "demand_id"), _free(supply, done, "supply_id")
         pairs = ranked_pass(free_d.filter(reduce(Column.__and__, keys_d)), free_s.filter(reduce(Column.__and__, keys_s)), on, demand_order, supply_order)
-        found.append(pairs.withColumn("pass", F.lit(name)))
-    return reduce(DataFrame.union, found)
+        pairs = own.store(pairs.withColumn("pass", F.lit(name)))
+        done = pairs if done is None else done.union(pairs)
+    return done if work else own.finished(done)
 
 
 def outcome(demand: DataFrame, supply: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -38,27 +49,50 @@ def outcome(demand: DataFrame, supply: DataFrame, pairs: DataFrame) -> DataFrame
     return left.union(right)
 
 
+def _first_within(forward: bool) -> Callable[[], Callable[[dict], list[tuple]]]:
+    """The fold of :func:`guarded`: the supply of a key comes first, then its demand."""
+
+    def start() -> Callable[[dict], list[tuple]]:
+        ids, sizes, shelf, at = [], [], None, 0
+
+        def step(row: dict) -> list[tuple]:
+            nonlocal shelf, at
+            if row["side"] == 0:
+                ids.append(row["supply_id"])
+                sizes.append(row["size"])
+                return []
+            if shelf is None:  # a supply of unknown size fits an open demand only
+                shelf = Shelf([HUGE if s is None else s for s in sizes])
+            place = shelf.first(row["size"] or HUGE, at)
+            if place < 0:
+                return []
+            shelf.take(place)
+            at = place + 1 if forward else 0
+            return [(row["demand_id"], ids[place])]
+
+        return step
+
+    return start
+
+
 def guarded(demand: DataFrame, supply: DataFrame, on: list[tuple[str, str]], demand_order: list[str], supply_order: list[str], quantity: str, forward: bool = True) -> DataFrame:
     """(demand_id, supply_id): in order, each demand row takes the first supply row of its key that isn't larger than it; a
     demand of 0, or an unknown one, takes any. ``forward``: the search goes on behind the last row taken, so what was passed
     over is lost to later demand; otherwise it starts anew over what isn't taken.
 
-    What a row takes hangs on every row before it, so the two sides of a key are folded in order within one row: a key has
-    as many entries there as it has rows. A null key matches nothing."""
+    What a row takes hangs on every row before it, so a key is folded in order, its demand as it comes over a tree of minima
+    of its supply: each step takes the logarithm of the key's rows. A null key matches nothing."""
     names = [f"k{i}" for i in range(len(on))]
-    side = lambda df, columns, order, id_, out: df.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], F.struct(*order, F.col(id_).alias("__id"), F.col(quantity).cast("double").alias("__q")).alias("x")).dropna(subset=names).groupBy(*names).agg(F.sort_array(F.collect_list("x")).alias(out))
-    both = side(demand, [a for a, _ in on], demand_order, "demand_id", "d").join(side(supply, [b for _, b in on], supply_order, "supply_id", "s"), names)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("taken"))
+    order = [f"o{i}" for i in range(max(len(demand_order), len(supply_order)))]
+    ids = {"demand_id": demand.schema["demand_id"].dataType, "supply_id": supply.schema["supply_id"].dataType}
 
-    def step(state: Column, x: Column) -> Column:
-        fits = lambda k: (F.coalesce(x["__q"], F.lit(0.0)) == 0) | (F.get("s", k)["__q"] <= x["__q"])
-        free = (lambda k: k >= state["at"]) if forward else (lambda k: ~F.array_contains(state["taken"], k))
-        found = F.array_min(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda k: free(k) & F.coalesce(fits(k), F.lit(False))))
-        return F.struct(F.coalesce(found + 1, state["at"]).alias("at"), F.concat(state["taken"], F.array(F.coalesce(found, F.lit(-1)))).alias("taken"))
+    def side(df: DataFrame, number: int, columns: list[str], by: list[str], id_: str) -> DataFrame:
+        ranks = [F.col(c) for c in by] + [F.lit(None)] * (len(order) - len(by))
+        own = [F.col(n) if n == id_ else F.lit(None).cast(kind).alias(n) for n, kind in ids.items()]
+        return df.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], F.lit(number).alias("side"), *[r.alias(n) for r, n in zip(ranks, order, strict=True)], *own, F.col(quantity).cast("double").alias("size")).dropna(subset=names)
 
-    folded = both.select("d", "s", F.aggregate("d", start, step)["taken"].alias("taken"))
-    pairs = folded.select("s", F.explode(F.arrays_zip("d", "taken")).alias("z")).filter("z.taken >= 0")
-    return pairs.select(F.col("z.d.__id").alias("demand_id"), F.get("s", F.col("z.taken"))["__id"].alias("supply_id"))
+    rows = side(supply, 0, [b for _, b in on], supply_order, "supply_id").union(side(demand, 1, [a for a, _ in on], demand_order, "demand_id"))
+    return folded(rows, names, ["side", *order], _first_within(forward), StructType([StructField(n, k) for n, k in ids.items()]))
 
 
 def consume(demand: DataFrame, supply: DataFrame, demand_order: list[str], supply_order: list[str], quantity: str, tag: str = "tag", code: str = "code", replacement: str = "new_code") -> DataFrame:
@@ -66,8 +100,10 @@ def consume(demand: DataFrame, supply: DataFrame, demand_order: list[str], suppl
     and the supply's replacement; then by code, moving forward, and by replacement, each with the size guard. Every pass sees
     only what is still free on both sides."""
     tagged = [("tag and code", [(tag, tag), (code, code)]), ("tag and replacement", [(tag, tag), (replacement, code)]), ("tag and reverse replacement", [(tag, tag), (code, replacement)])]
-    found = passes(demand, supply, tagged, demand_order, supply_order)
+    work = Work(demand.sparkSession)
+    demand, supply = work.store(demand), work.store(supply)
+    found = passes(demand, supply, tagged, demand_order, supply_order, work)
     for name, on, forward in (("code", [(code, code)], True), ("replacement", [(replacement, code)], False)):
-        free_d, free_s = demand.join(found, "demand_id", "left_anti"), supply.join(found, "supply_id", "left_anti")
-        found = found.union(guarded(free_d, free_s, on, demand_order, supply_order, quantity, forward).withColumn("pass", F.lit(name)))
-    return found
+        free_d, free_s = _free(demand, found, "demand_id"), _free(supply, found, "supply_id")
+        found = found.union(work.store(guarded(free_d, free_s, on, demand_order, supply_order, quantity, forward).withColumn("pass", F.lit(name))))
+    return work.finished(found)

@@ -7,13 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a local master may do without that setting."""
-    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
-    if not base and master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{uuid.uuid4().hex}"
+from reckon.sources.work import work_folder  # noqa: F401
 
 
 def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
