@@ -18,7 +18,8 @@ HANDED = 10_000
 
 
 def folded(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[], Callable[[dict], list[tuple]]], schema: StructType) -> DataFrame:
-    """``step()`` makes a new state for each key, a function from a row to output rows; it sees the key's rows in order."""
+    """``step()`` makes a new state for each key, a function from a row to output rows; it sees the key's rows in order. If it
+    has a method ``end``, that gives the key's last output rows."""
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,17 +28,23 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[]
             columns = [batch[k].to_pylist() for k in keys]
             for key, row in zip(zip(*columns), batch.to_pylist(), strict=True):
                 if state is None or key != at:
+                    out += _ended(state)
                     at, state = key, step()
                 out += state(row)
                 if len(out) >= HANDED:
                     yield _batch(out, target)
                     out = []
+        out += _ended(state)
         if out:
             yield _batch(out, target)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def _ended(state) -> list[tuple]:
+    return state.end() if hasattr(state, "end") else []
+
+
 def _batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target, strict=True)], schema=target)
 

@@ -83,15 +83,15 @@ def guarded(demand: DataFrame, supply: DataFrame, on: list[tuple[str, str]], dem
     What a row takes hangs on every row before it, so a key is folded in order, its demand as it comes over a tree of minima
     of its supply: each step takes the logarithm of the key's rows. A null key matches nothing."""
     names = [f"k{i}" for i in range(len(on))]
-    order = [f"o{i}" for i in range(max(len(demand_order), len(supply_order)))]
+    order = [f"o{i}" for i in range(len(supply_order) + len(demand_order))]
     ids = {"demand_id": demand.schema["demand_id"].dataType, "supply_id": supply.schema["supply_id"].dataType}
 
-    def side(df: DataFrame, number: int, columns: list[str], by: list[str], id_: str) -> DataFrame:
-        ranks = [F.col(c) for c in by] + [F.lit(None)] * (len(order) - len(by))
+    def side(df: DataFrame, number: int, columns: list[str], id_: str) -> DataFrame:
+        ranks = [F.col(c) if mine else F.lit(None) for mine, c in [*((number == 0, c) for c in supply_order), *((number == 1, c) for c in demand_order)]]
         own = [F.col(n) if n == id_ else F.lit(None).cast(kind).alias(n) for n, kind in ids.items()]
         return df.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], F.lit(number).alias("side"), *[r.alias(n) for r, n in zip(ranks, order, strict=True)], *own, F.col(quantity).cast("double").alias("size")).dropna(subset=names)
 
-    rows = side(supply, 0, [b for _, b in on], supply_order, "supply_id").union(side(demand, 1, [a for a, _ in on], demand_order, "demand_id"))
+    rows = side(supply, 0, [b for _, b in on], "supply_id").union(side(demand, 1, [a for a, _ in on], "demand_id"))
     return folded(rows, names, ["side", *order], _first_within(forward), StructType([StructField(n, k) for n, k in ids.items()]))
 
 
