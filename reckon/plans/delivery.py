@@ -17,9 +17,9 @@ def sides(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Demand of the global phases, rows of the two blocks, and units: lines of a supplier's month and part size."""
     line = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
     base = line.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat_ws("/", F.col("l_suppkey").cast("string"), F.year("l_shipdate").cast("string")).alias("title"), (F.col("p_size") % 5).cast("string").alias("code"), F.col("l_returnflag").alias("actual"),
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), F.concat_ws("/", F.col("l_suppkey").cast("string"), F.year("l_shipdate").cast("string")).alias("title"), (F.col("p_size") % 5).cast("string").alias("code"), F.col("l_returnflag").alias("actual"),
         F.when(F.col("l_discount") > 0.02, F.concat(F.lit("T"), F.col("l_linenumber").cast("string"))).alias("tag"), F.concat(F.lit("T"), (F.col("l_linenumber") + 1).cast("string")).alias("tag2"), F.col("l_quantity").cast("long").alias("quantity"), "l_linestatus", "l_tax",
-    ).dropDuplicates(["id"])
+    )
     tags = F.when(F.col("tag").isNull(), F.array().cast("array<string>")).when(F.col("l_tax") > 0.04, F.array("tag", "tag2")).otherwise(F.array("tag"))
     open_ = base.filter("l_linestatus = 'O'")
     demand = open_.filter("l_tax < 0.025").select(F.col("id").alias("demand_id"), *KEYS, "actual", "tag", "quantity")

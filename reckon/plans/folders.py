@@ -66,7 +66,7 @@ def document_bundles(spark, d) -> DataFrame:
 def subset_terms(spark, d) -> DataFrame:
     """The first lines of a supplier's month whose quantities make up two fifths of it. ``tests/test_folders.py`` holds the
     rows against a plain recursion, which SQL can't express."""
-    x = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("term_id"), F.col("l_suppkey").alias("s"), F.date_format("l_shipdate", "yyyyMM").alias("m"), F.col("l_quantity").cast("long").alias("value"))
+    x = table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("term_id"), F.col("l_suppkey").alias("s"), F.date_format("l_shipdate", "yyyyMM").alias("m"), F.col("l_quantity").cast("long").alias("value"))
     targets = x.groupBy("s", "m").agg(F.floor(F.sum("value") * 2 / 5).cast("long").alias("target"))
     return subset.first_subsets(x, targets, ["s", "m"], ["term_id"])
 

@@ -16,11 +16,11 @@ def sides(spark, d) -> dict[str, DataFrame]:
     line = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size"), "l_partkey")
     digits = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     base = line.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat_ws("/", F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMM")).alias("title"),
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), F.concat_ws("/", F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMM")).alias("title"),
         F.concat(F.substring("p_type", 1, 1), (digits % 4).cast("string")).alias("code"), F.concat(F.lit("T"), (F.col("p_size") % 3).cast("string")).alias("tag"), F.concat(F.lit("T"), (F.col("l_linenumber") % 3).cast("string")).alias("tag2"),
         F.when(F.col("l_discount") < 0.03, F.array().cast("array<string>")).when(F.col("l_discount") < 0.08, F.array(F.col("l_returnflag"))).otherwise(F.array(F.lit("A"), F.lit("R"))).alias("cabinets"),
         F.when(F.col("l_tax") > 0.06, F.col("l_quantity")).when(F.col("l_tax") > 0.01, F.lit(0.0)).alias("size"), "l_linestatus", "l_returnflag", "l_quantity", "l_tax", "l_discount",
-    ).dropDuplicates(["id"])
+    )
     open_, filled = base.filter("l_linestatus = 'O'"), base.filter("l_linestatus = 'F'")
     has = F.col("l_quantity") < 25
     demand = open_.select(

@@ -48,7 +48,7 @@ def test_work_of_a_subset_sum():
 
 def test_subset_query(spark):
     d = "/root/testdata/sf0.001"
-    rows = table(spark, d, "lineitem").selectExpr("l_suppkey s", "date_format(l_shipdate, 'yyyyMM') m", "l_orderkey * 10 + l_linenumber id", "cast(l_quantity as long) v").collect()
+    rows = table(spark, d, "lineitem").selectExpr("l_suppkey s", "date_format(l_shipdate, 'yyyyMM') m", "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) id", "cast(l_quantity as long) v").collect()
     groups = {}
     for r in sorted(rows, key=lambda r: r.id):
         groups.setdefault((r.s, r.m), []).append((r.id, r.v))
