@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reckon.functions.keys import let
+
 #: Dashes that stand for the hyphen.
 DASHES = "‐‑‒–—―⁃−﹘﹣－"
 #: A document name: contract, title and system, discipline, sheet, revision tail. The contract's letters are a parameter.
@@ -64,8 +66,7 @@ def _java(pattern: str) -> str:
 
 def part(text: Column, pattern: str, group: int) -> Column:
     """A group of the first match; null where it matched nothing."""
-    found = F.regexp_extract(text, _java(pattern), group)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, _java(pattern), group), F.lit(""))
 
 
 def has(text: Column, pattern: str) -> Column:
@@ -78,15 +79,14 @@ def dashes(c: Column) -> Column:
 
 def document(name: Column, contract: str = "[A-Z]{4}", loose: bool = False) -> Column:
     """Parts of the first document name in a text; a loose one may lack the number and have a plain extension."""
-    pattern, x = (LOOSE if loose else STRICT) % contract, dashes(name)
-    tail = part(x, pattern, 6 if loose else 5)
-    return F.when(x.rlike(pattern), F.struct(part(x, pattern, 1).alias("contract"), part(x, pattern, 2).alias("title_system"), part(x, pattern, 3).alias("discipline"), part(x, pattern, 4).alias("sheet"), (part(x, pattern, 5) if loose else F.lit(None).cast("string")).alias("extension"), tail.alias("tail")))
+    pattern = (LOOSE if loose else STRICT) % contract
+    own = lambda x: F.struct(part(x, pattern, 1).alias("contract"), part(x, pattern, 2).alias("title_system"), part(x, pattern, 3).alias("discipline"), part(x, pattern, 4).alias("sheet"), (part(x, pattern, 5) if loose else F.lit(None).cast("string")).alias("extension"), part(x, pattern, 6 if loose else 5).alias("tail"))
+    return let(dashes(name), lambda x: F.when(x.rlike(pattern), own(x)))
 
 
 def revision_tail(tail: Column) -> Column:
     """Revision, appendix, language and file type of a tail like ``_01-AN02_RU.doc``."""
-    x = dashes(tail)
-    return F.struct(*[part(x, TAIL_PARTS, i).alias(n) for i, n in enumerate(("revision", "appendix", "language", "file_type"), 1)])
+    return let(dashes(tail), lambda x: F.struct(*[part(x, TAIL_PARTS, i).alias(n) for i, n in enumerate(("revision", "appendix", "language", "file_type"), 1)]))
 
 
 def folder(name: Column, under_gate: bool = False) -> Column:
@@ -108,12 +108,14 @@ def folder(name: Column, under_gate: bool = False) -> Column:
 def sheet_revision(cell: Column) -> Column:
     """(revision, appendix) of a cell: digits to two places, a single letter in upper case."""
     raw = F.regexp_replace(F.regexp_replace(F.trim(dashes(F.coalesce(cell, F.lit("")))), "АН", "AN"), "ан", "AN")
-    raw = F.trim(F.regexp_replace(raw, _java(REVISION_PREFIX), ""))
-    found = part(raw, REVISION_BODY, 1)
-    number = found.try_cast("int")
-    digits = F.when(number == 0, "0").when(number.isNotNull(), F.lpad(number.cast("string"), 2, "0")).otherwise(found)
-    letter = F.when(raw.rlike("^[A-Za-z]$"), F.upper(raw))
-    return F.struct(F.when(found.isNotNull(), digits).otherwise(letter).alias("revision"), F.when(found.isNotNull(), part(raw, REVISION_BODY, 2)).alias("appendix"))
+
+    def of(raw: Column, found: Column) -> Column:
+        number = found.try_cast("int")
+        digits = F.when(number == 0, "0").when(number.isNotNull(), F.lpad(number.cast("string"), 2, "0")).otherwise(found)
+        letter = F.when(raw.rlike("^[A-Za-z]$"), F.upper(raw))
+        return F.struct(F.when(found.isNotNull(), digits).otherwise(letter).alias("revision"), F.when(found.isNotNull(), part(raw, REVISION_BODY, 2)).alias("appendix"))
+
+    return let(F.trim(F.regexp_replace(raw, _java(REVISION_PREFIX), "")), lambda raw: let(part(raw, REVISION_BODY, 1), lambda found: of(raw, found)))
 
 
 def revision_text(revision: Column, appendix: Column) -> Column:
@@ -129,17 +131,19 @@ def stage(text: Column) -> Column:
 
 def history_line(line: Column) -> Column:
     """Date, stage, revision, transmittals and the trailing file-revision mark of a line of history."""
-    raw = F.trim(F.coalesce(line, F.lit("")))
-    date = part(raw, DATED, 1)
-    rest = F.when(date.isNotNull(), F.trim(F.regexp_extract(raw, DATED, 2))).otherwise(raw)
-    rest = F.regexp_replace(F.regexp_replace(dashes(rest), "АН", "AN"), "ан", "AN")
-    core = F.rtrim(F.regexp_replace(rest, _java(SUFFIX), ""))
-    own = sheet_revision(part(core, REVISION_IN_TEXT, 1))
-    file = sheet_revision(part(rest, SUFFIX, 2))
-    return F.struct(
-        date.alias("date"), stage(core).alias("stage"), own["revision"].alias("revision"), own["appendix"].alias("appendix"), F.array_distinct(F.regexp_extract_all(core, F.lit(_java(TRANSMITTAL)), F.lit(0))).alias("transmittals"),
-        file["revision"].alias("file_revision"), part(rest, SUFFIX, 1).isNotNull().alias("file_absent"), (part(rest, SUFFIX, 3).isNotNull() | part(rest, SUFFIX, 4).isNotNull()).alias("automatic"),
-    )
+
+    def parts(date: Column, rest: Column, core: Column, own: Column, file: Column) -> Column:
+        return F.struct(
+            date.alias("date"), stage(core).alias("stage"), own["revision"].alias("revision"), own["appendix"].alias("appendix"), F.array_distinct(F.regexp_extract_all(core, F.lit(_java(TRANSMITTAL)), F.lit(0))).alias("transmittals"),
+            file["revision"].alias("file_revision"), part(rest, SUFFIX, 1).isNotNull().alias("file_absent"), (part(rest, SUFFIX, 3).isNotNull() | part(rest, SUFFIX, 4).isNotNull()).alias("automatic"),
+        )
+
+    def dated(raw: Column, date: Column) -> Column:
+        rest = F.when(date.isNotNull(), F.trim(F.regexp_extract(raw, DATED, 2))).otherwise(raw)
+        rest = F.regexp_replace(F.regexp_replace(dashes(rest), "АН", "AN"), "ан", "AN")
+        return let(rest, lambda rest: let(F.rtrim(F.regexp_replace(rest, _java(SUFFIX), "")), lambda core: let(sheet_revision(part(core, REVISION_IN_TEXT, 1)), lambda own: let(sheet_revision(part(rest, SUFFIX, 2)), lambda file: parts(date, rest, core, own, file)))))
+
+    return let(F.trim(F.coalesce(line, F.lit(""))), lambda raw: let(part(raw, DATED, 1), lambda date: dated(raw, date)))
 
 
 def mark(cell: Column) -> Column:

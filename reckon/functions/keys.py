@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` worked out once: a lambda's argument is never expanded into its body."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
 def code(c: Column) -> Column:
     """Join key: no white space, upper case; blank is null."""
     out = F.upper(F.regexp_replace(c, r"[\s\u00a0]+", ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reckon.functions.keys import let
 from reckon.sources.work import Work
 
 #: The letters that a contract's number begins with.
@@ -20,11 +21,11 @@ def label_key(label: Column, prefix: str = PREFIX) -> Column:
 def variants(label: Column, prefix: str = PREFIX) -> Column:
     """The aliases of a label, first the label's own key: without zeros before its number, without letters behind it, without
     a tail that begins with ``_`` and no digit, and these together. A numbered part (``_24``) stays."""
-    key = label_key(label, prefix)
     zeros = lambda x: F.regexp_replace(x, f"(?iu)^({prefix})0+([0-9].*)$", "$1$2")
     letters = lambda x: F.regexp_replace(x, f"(?iu)^({prefix}[0-9]+(?:_[0-9]+)?)[A-ZА-ЯЁ]+$", "$1")
     tail = lambda x: F.regexp_replace(x, f"(?iu)^({prefix}[0-9]+)(?:_[^0-9].*|_+)$", "$1")
-    return F.when(key.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(key, zeros(key), letters(key), letters(zeros(key)), tail(key), tail(zeros(key)))))
+    all_ = lambda key, bare: F.array_distinct(F.array(key, bare, letters(key), letters(bare), tail(key), tail(bare)))
+    return let(label_key(label, prefix), lambda key: F.when(key.isNull(), F.array().cast("array<string>")).otherwise(let(zeros(key), lambda bare: all_(key, bare))))
 
 
 def alias_index(entries: DataFrame, prefix: str = PREFIX) -> DataFrame:

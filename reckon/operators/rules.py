@@ -16,7 +16,7 @@ def equal_all(*columns: Column) -> Column:
 def document_checks(contract: str = "[A-Z]{4}") -> dict[int, Column]:
     """Failure of each check, by its code. A null predicate is no failure."""
     c = F.col
-    name = G.dashes(c("file_name"))
+    name = c("__name")  # of findings(): the file name with plain dashes, worked out once
     drawn, checked = F.try_to_date("date_drawn", "d.M.yyyy"), F.try_to_date("date_checked", "d.M.yyyy")
     return {
         1000: F.size(F.regexp_extract_all(name, F.lit(G.STRICT % contract), F.lit(0))) != 1,  # the name's grammar
@@ -44,7 +44,8 @@ def document_checks(contract: str = "[A-Z]{4}") -> dict[int, Column]:
 
 def findings(df: DataFrame, checks: dict[int, Column], keys: list[str], gate: int | None = None, enabled: set[int] | None = None) -> DataFrame:
     """(keys, rule): a row for each failed check that is enabled. If the gate fails, the others aren't judged."""
+    df = df.withColumn("__name", G.dashes(F.col("file_name")))
     on = {k: F.coalesce(p, F.lit(False)) for k, p in checks.items() if enabled is None or k in enabled}
     stop = on.get(gate, F.lit(False))
-    hits = F.array_compact(F.array(*[F.when(p if k == gate else p & ~stop, F.lit(k)) for k, p in on.items()]))
+    hits = F.when(stop, F.array(F.lit(gate))).otherwise(F.array_compact(F.array(*[F.when(p, F.lit(k)) for k, p in on.items() if k != gate])))
     return df.select(*keys, F.explode(hits).alias("rule"))
