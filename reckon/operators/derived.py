@@ -15,12 +15,20 @@ def bucket(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
-def dirty_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Keys whose rows differ as multisets: compared by counts and sums of row hashes, so no key's rows are gathered."""
+def key_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, change): keys that are ``added``, ``removed``, or whose rows are ``changed`` as a multiset: compared by counts and
+    sums of row hashes, so no key's rows are gathered."""
     names = sorted(old.columns)
-    side = lambda df, sign: df.select(key, F.lit(sign).alias("n"), *[(F.lit(sign) * F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in names]).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)])
-    sums = side(old, -1).union(side(new, 1)).groupBy(key).agg(F.sum("n").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
-    return sums.filter("n <> 0 or h1 <> 0 or h2 <> 0").select(key)
+    row = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in names]
+    side = lambda df, was, now: df.select(key, F.lit(was).alias("was"), F.lit(now).alias("now"), *[((now - was) * F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)])
+    sums = side(old, 1, 0).union(side(new, 0, 1)).groupBy(key).agg(*[F.sum(c).alias(c) for c in ("was", "now", "h1", "h2")])
+    change = F.when(F.col("was") == 0, "added").when(F.col("now") == 0, "removed").otherwise("changed")
+    return sums.filter("was <> now or h1 <> 0 or h2 <> 0").select(key, change.alias("change"))
+
+
+def dirty_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Keys whose rows differ between two states."""
+    return key_changes(old, new, key).select(key)
 
 
 def build(derive: Callable[[DataFrame | None], DataFrame], path: str, key: str, buckets: int) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+from reckon.operators import derived
 from reckon.plans.registry import query
 from reckon.sources.tables import table
 
@@ -117,19 +118,19 @@ def aligned_sources(spark, d) -> DataFrame:
 
 
 @query("""
-WITH demand AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_returnflag = 'N' AND l_partkey % 5 < 4), vendor AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 4 = 0),
- rep AS (SELECT p_partkey AS code, lead(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS new FROM part), tagged AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)
+WITH demand AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_returnflag = 'N'), vendor AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.08),
+ rep AS (SELECT p_partkey AS code, lead(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS new FROM part), tagged AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 AND l_discount > 0.05)
 SELECT code FROM demand WHERE code NOT IN (SELECT code FROM vendor) AND code NOT IN (SELECT new FROM rep WHERE code IN (SELECT code FROM vendor) AND new IS NOT NULL) AND code NOT IN (SELECT code FROM tagged)
 """)
 def ban_list(spark, d) -> DataFrame:
     """Demand codes that neither vendors, nor the replacements of their codes, nor tagged supply know."""
     x = table(spark, d, "lineitem")
     codes = lambda w: x.filter(w).select(F.col("l_partkey").alias("code")).distinct()
-    vendor = codes("l_returnflag = 'R' and l_partkey % 4 = 0")
+    vendor = codes("l_returnflag = 'R' and l_discount > 0.08")
     rep = table(spark, d, "part").select(F.col("p_partkey").alias("code"), F.lead("p_partkey").over(W.partitionBy("p_brand", "p_type").orderBy("p_partkey")).alias("new"))
     replaced = rep.join(vendor, "code", "left_semi").filter("new is not null").select(F.col("new").alias("code"))
-    known = vendor.union(replaced).union(codes("l_returnflag = 'A' and l_linenumber = 1"))
-    return codes("l_returnflag = 'N' and l_partkey % 5 < 4").join(known, "code", "left_anti")
+    known = vendor.union(replaced).union(codes("l_returnflag = 'A' and l_linenumber = 1 and l_discount > 0.05"))
+    return codes("l_returnflag = 'N'").join(known, "code", "left_anti")
 
 
 _KIT = """SELECT o_custkey % 400 AS kit, 'sheet' AS src, o_orderkey % 5 AS rev, o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 400 < 300
@@ -230,16 +231,15 @@ def checked_by_code(spark, d) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT o_custkey AS kit, sha256(string_agg(o_orderstatus, '|' ORDER BY o_orderstatus, o_orderkey)) AS p FROM orders WHERE o_orderkey % 4 <> 0 AND o_custkey % 17 <> 1 GROUP BY 1), a AS (SELECT o_custkey AS kit, sha256(string_agg(o_orderstatus, '|' ORDER BY o_orderstatus, o_orderkey)) AS p FROM orders WHERE (o_orderkey % 4 <> 0 OR o_custkey % 10 = 0) AND o_custkey % 19 <> 2 GROUP BY 1)
+WITH b AS (SELECT o_custkey AS kit, sha256(string_agg(o_orderstatus, '|' ORDER BY o_orderstatus, o_orderkey)) AS p FROM orders WHERE o_custkey % 17 <> 1 AND NOT (o_custkey % 10 = 0 AND o_orderkey % 4 = 0) GROUP BY 1), a AS (SELECT o_custkey AS kit, sha256(string_agg(o_orderstatus, '|' ORDER BY o_orderstatus, o_orderkey)) AS p FROM orders WHERE NOT (o_custkey % 19 = 2 AND o_custkey % 17 <> 1 AND o_custkey % 10 <> 0) GROUP BY 1)
 SELECT coalesce(a.kit, b.kit) AS kit, CASE WHEN b.kit IS NULL THEN 'added' WHEN a.kit IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.kit = b.kit WHERE a.p IS DISTINCT FROM b.p
 """)
 def changed_keys(spark, d) -> DataFrame:
-    """Keys whose fingerprint differs between two snapshots."""
-    o = table(spark, d, "orders")
-    snapshot = lambda w: o.filter(w).groupBy(F.col("o_custkey").alias("kit")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("o_orderstatus")), "|"), 256).alias("p"))
-    b, a = snapshot("o_orderkey % 4 <> 0 and o_custkey % 17 <> 1").toDF("was", "q"), snapshot("(o_orderkey % 4 <> 0 or o_custkey % 10 = 0) and o_custkey % 19 <> 2")
-    x = a.join(b, F.col("kit") == F.col("was"), "full").filter(~F.col("p").eqNullSafe(F.col("q")))
-    return x.select(F.coalesce("kit", "was").alias("kit"), F.when(F.col("was").isNull(), "added").when(F.col("kit").isNull(), "removed").otherwise("changed").alias("change"))
+    """Keys whose rows differ between two snapshots; every order is in one of them."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("kit"), "o_orderstatus", "o_orderkey")
+    before = o.filter("kit % 17 <> 1 and not (kit % 10 = 0 and o_orderkey % 4 = 0)").drop("o_orderkey")
+    after = o.filter("not (kit % 19 = 2 and kit % 17 <> 1 and kit % 10 <> 0)").drop("o_orderkey")
+    return derived.key_changes(before, after, "kit")
 
 
 @query("""
@@ -285,9 +285,9 @@ def layout_violations(spark, d) -> DataFrame:
     p = table(spark, d, "pages").select("page_id", F.expr(_PATH).alias("path"))
     reason = F.coalesce(*[F.when(F.col("path").rlike(q), F.lit(n)) for n, q in _REASONS])
     ranked = p.select("page_id", reason.alias("reason")).filter("reason is not null")
-    top = ranked.groupBy("reason", (F.xxhash64("page_id") % 64).alias("salt")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("page_id")), 1, 3).alias("s"))
-    out = top.groupBy("reason").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("s"))), 1, 3).alias("s"))
-    return out.select("reason", "n", F.array_join(F.col("s").cast("array<string>"), ",").alias("samples"))
+    first = ranked.withColumn("place", F.row_number().over(W.partitionBy("reason").orderBy("page_id"))).filter("place <= 3")  # each task keeps three
+    samples = first.groupBy("reason").agg(F.array_join(F.sort_array(F.collect_list("page_id")).cast("array<string>"), ",").alias("samples"))
+    return ranked.groupBy("reason").agg(F.count("*").alias("n")).join(samples, "reason")
 
 
 @query("""

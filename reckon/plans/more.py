@@ -130,13 +130,13 @@ def status_matrix(spark, d) -> DataFrame:
 
 
 @query("""
-WITH old AS (SELECT l_partkey AS code, sum(l_quantity)::BIGINT AS q, min(l_suppkey) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), new AS (SELECT l_partkey + 1 AS code, sum(l_quantity)::BIGINT AS q, min(l_suppkey) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+WITH old AS (SELECT l_partkey AS code, sum(l_quantity)::BIGINT AS q, min(l_suppkey) AS s FROM lineitem GROUP BY 1), new AS (SELECT l_partkey + 1 AS code, sum(l_quantity)::BIGINT AS q, min(l_suppkey) AS s FROM lineitem GROUP BY 1),
  a AS (SELECT q, s, min(code) AS c FROM old GROUP BY 1, 2 HAVING count(*) = 1), b AS (SELECT q, s, min(code) AS c FROM new GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT a.c AS old_code, b.c AS new_code FROM a JOIN b USING (q, s) WHERE a.c <> b.c
 """)
 def renamed_codes(spark, d) -> DataFrame:
     """Rows equal but for the code, with a single partner on either side."""
-    base = _lines(spark, d).filter("l_returnflag = 'A'").groupBy("l_partkey").agg(F.sum("qty").alias("q"), F.min("l_suppkey").alias("s"))
+    base = _lines(spark, d).groupBy("l_partkey").agg(F.sum("qty").alias("q"), F.min("l_suppkey").alias("s"))
     single = lambda c, n: base.groupBy("q", "s").agg(F.min(c).alias(n), F.count("*").alias("n")).filter("n = 1").drop("n")
     return single(F.col("l_partkey"), "old_code").join(single(F.col("l_partkey") + 1, "new_code"), ["q", "s"]).filter("old_code <> new_code").select("old_code", "new_code")
 
