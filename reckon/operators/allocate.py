@@ -42,17 +42,17 @@ def left_over(df: DataFrame, pairs: DataFrame, id_column: str, quantity: str, na
     return df.join(took, id_column, "left").withColumn(name, F.col(quantity) - F.coalesce("__took", F.lit(0))).drop("__took")
 
 
-def in_phases(demand: DataFrame, supply: DataFrame, phases: list[tuple[str, list[str], Column | None]], demand_order: list, supply_order: list, quantity: str, tag: str = "tag", reserve: tuple[str, ...] = ()) -> DataFrame:
+def in_phases(demand: DataFrame, supply: DataFrame, phases: list[tuple[str, list[str], Column | None]], demand_order: list, supply_order: list, quantity: str, tag: str = "tag", reserve: tuple[str, ...] = (), work: Work | None = None) -> DataFrame:
     """(demand_id, supply_id, allocated, phase): phases are global, each sees what all rows left over in the ones before.
 
     A phase is a name, the columns that must agree, and a condition on the supply. In the phases named in ``reserve`` a
     supply whose tag an unfilled demand of the same first key still asks for is passed over."""
-    work = Work(demand.sparkSession)
+    own = work or Work(demand.sparkSession)
     found: list[DataFrame] = []
     demand, supply = demand.withColumn("__left", F.col(quantity)), supply.withColumn("__left", F.col(quantity))
     for name, keys, condition in phases:
         if found:  # what the phase before left over; earlier phases are in its input already
-            demand, supply = (work.store(left_over(side.withColumnRenamed("__left", "__had"), found[-1], id_, "__had", "__left").drop("__had")) for side, id_ in ((demand, "demand_id"), (supply, "supply_id")))
+            demand, supply = (own.store(left_over(side.withColumnRenamed("__left", "__had"), found[-1], id_, "__had", "__left").drop("__had")) for side, id_ in ((demand, "demand_id"), (supply, "supply_id")))
         d, s = demand.filter("__left > 0"), supply.filter("__left > 0")
         if condition is not None:
             s = s.filter(condition)
@@ -62,8 +62,9 @@ def in_phases(demand: DataFrame, supply: DataFrame, phases: list[tuple[str, list
         for k in keys:
             d, s = d.filter(F.col(k).isNotNull()), s.filter(F.col(k).isNotNull())
         got = fifo(d, s, keys, demand_order, supply_order, "__left", "__left")
-        found.append(work.store(got.select("demand_id", "supply_id", "allocated", F.lit(name).alias("phase"))))
-    return work.finished(reduce(DataFrame.unionByName, found))
+        found.append(own.store(got.select("demand_id", "supply_id", "allocated", F.lit(name).alias("phase"))))
+    out = reduce(DataFrame.unionByName, found)
+    return out if work else own.finished(out)
 
 
 def _all_or_none() -> Callable[[dict], list[tuple]]:

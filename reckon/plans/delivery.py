@@ -31,7 +31,7 @@ def rest_of(demand: DataFrame, units: DataFrame, work: Work) -> tuple[DataFrame,
     """The pairs of the global phases, within a supplier, and the units with what these leave over."""
     own = [*KEYS, "actual"]
     phases = [("tag", [*own, "tag"], None), ("untagged", own, F.col("tag").isNull()), ("any", own, None)]
-    pairs = work.store(allocate.in_phases(demand, units, phases, ["demand_id"], ["supply_id"], "quantity", reserve=("any",)))
+    pairs = allocate.in_phases(demand, units, phases, ["demand_id"], ["supply_id"], "quantity", reserve=("any",), work=work)
     rest = allocate.left_over(units, pairs, "supply_id", "quantity", "rest")
     return pairs, work.store(rest.select(F.col("supply_id").alias("unit_id"), *KEYS, "actual", "tag", F.col("rest").cast("double").alias("quantity")).filter("quantity > 0"))
 

@@ -7,13 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a local master may do without that setting. It goes when the
-    application ends, if nothing has removed it by then."""
+def _base(spark: SparkSession) -> str:
     base, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
     if not base and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{uuid.uuid4().hex}"
+    return (base or "file:///tmp/checkpoints").rstrip("/")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; only a local master may do without that setting. It goes when the
+    application ends, if nothing has removed it by then."""
+    path = f"{_base(spark)}/{uuid.uuid4().hex}"
     place, files = _place(spark, path)
     files.mkdirs(place)
     files.deleteOnExit(place)
