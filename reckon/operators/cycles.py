@@ -8,6 +8,8 @@ running maximum carries the last event to each send.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,3 +95,47 @@ def match_cycles(sends: DataFrame, events: DataFrame, packages: DataFrame) -> Da
     x = x.join(last_codes(x, events).withColumnRenamed("code", "by_revision"), "send_id", "left").join(packages_of(packages), ["kit", "revision"], "left")
     reason = F.when(F.col("legalized"), "legalized").when(F.col("by_n"), "number").when(F.col("by_r"), "revision").when(F.col("by_d"), "date").when(F.col("package_id").isNotNull(), "revision").otherwise("")
     return work.finished(x.select("send_id", "kit", "revision", reason.alias("reason"), "package_id", F.col("accepted.event_id").alias("accepted_by"), F.coalesce("by_number.event_id", "by_date.event_id", "by_revision.event_id").alias("code_event")))
+
+
+def last_code_of(kits: DataFrame, events: DataFrame) -> DataFrame:
+    """(kit, stage, day, event_id): the last code of each kit's official revision; for a kit without one, of the events that
+    name none. ``kits``: kit, official."""
+    codes = events.filter(F.col("stage").isin(*CODES)).select("kit", F.coalesce("revision", F.lit("")).alias("official"), F.struct("seq", "stage", "day", "event_id").alias("code"))
+    last = codes.groupBy("kit", "official").agg(F.max("code").alias("code"))
+    return kits.select("kit", F.coalesce("official", F.lit("")).alias("official")).join(last, ["kit", "official"]).select("kit", "code.stage", "code.day", "code.event_id")
+
+
+def code_origins(codes: DataFrame, sends: DataFrame, packages: DataFrame, rank: Callable[[Column], Column]) -> DataFrame:
+    """(kit, origin): whether a kit's code came from the ``customer`` or from the reviewer (``pi``), or is ``unknown``.
+
+    ``codes``: kit, stage, day, revision, one row a kit; ``sends``: kit, send_id, sent, revision; ``packages``: kit, source,
+    grey, revision, modified. ``rank`` makes revisions comparable. Code A is the customer's. Else what was sent after the code
+    decides (by dates where both are known, else what follows the kit's last official send, ``last``, a struct of sent and
+    send_id): a higher revision says customer; the first of these sends with the code's own revision says pi; a higher issued
+    package that is newer than the code, or undated, says customer. Each kit has one code, so nothing multiplies."""
+    work_rank = lambda c: rank(F.coalesce(c, F.lit("")))
+    code = codes.select("kit", F.col("stage").alias("c_stage"), F.col("day").alias("c_day"), F.col("revision").alias("c_revision"), work_rank(F.col("revision")).alias("c_rank"), "last")
+    begin = F.lit("0001-01-01").cast("date")
+    at = F.struct(F.coalesce("sent", begin).alias("sent"), F.col("send_id").alias("send_id"))
+    after = F.when(F.col("c_day").isNotNull() & F.col("sent").isNotNull(), F.col("sent") > F.col("c_day")).when(F.col("last").isNotNull(), at > F.col("last")).otherwise(False)
+    later = sends.join(code, "kit").filter(after).groupBy("kit").agg(F.max(work_rank(F.col("revision")) > F.col("c_rank")).alias("higher"), F.min(F.struct(at.alias("at"), F.col("revision").alias("revision")))["revision"].alias("first"))
+    newer = F.col("c_day").isNull() | F.col("modified").isNull() | (F.col("modified") > F.col("c_day").cast("timestamp"))
+    issued = packages.filter((F.col("source") == "rd") & ~F.col("grey")).join(code, "kit").filter((work_rank(F.col("revision")) > F.col("c_rank")) & newer).select("kit").distinct().withColumn("package", F.lit(True))
+    x = code.join(later, "kit", "left").join(issued, "kit", "left")
+    same = F.col("first") == F.col("c_revision")
+    return x.select("kit", F.when(F.col("c_stage") == CODES[0], "customer").when(F.col("higher"), "customer").when(same, "pi").when(F.col("package"), "customer").otherwise("unknown").alias("origin"))
+
+
+def pick_packages(kits: DataFrame, packages: DataFrame) -> DataFrame:
+    """(kit, wanted, package_id): the issued package of a revision. ``kits``: kit, wanted, official; ``packages``: package_id,
+    kit, source, grey, revision, material_revision, sequence, skipped.
+
+    Without a wanted revision the newest one (highest sequence, then id); of the official revision the newest whose material
+    has it, else whose name has it, else the newest of all; of any other revision only one whose name has it. Grey, skipped
+    and foreign packages never count. One aggregation, no package meets another."""
+    eligible = packages.filter((F.col("source") == "rd") & ~F.col("grey") & ~F.col("skipped")).select("kit", "package_id", "revision", "material_revision", F.coalesce("sequence", F.lit(-1)).alias("n"))
+    x = kits.join(eligible, "kit")
+    named, material = F.coalesce(F.col("revision") == F.col("wanted"), F.lit(False)), F.coalesce(F.col("material_revision") == F.col("wanted"), F.lit(False))
+    tier = F.when(F.col("wanted").isNull(), 0).when(F.col("wanted").eqNullSafe(F.col("official")), F.when(material, 2).when(named, 1).otherwise(0)).when(named, 0)
+    best = x.withColumn("tier", tier).filter("tier is not null").groupBy("kit", "wanted").agg(F.max(F.struct("tier", "n", "package_id"))["package_id"].alias("package_id"))
+    return best

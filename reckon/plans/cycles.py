@@ -57,3 +57,46 @@ FROM s LEFT JOIN t USING (send_id) LEFT JOIN r USING (send_id) LEFT JOIN k ON k.
 def send_cycles(spark, d) -> DataFrame:
     """Every send with its reason, package, acceptance and code."""
     return cycles.match_cycles(*sides(spark, d))
+
+
+_KITS = """
+ l AS (SELECT kit, arg_max(revision, (coalesce(sent, DATE '0001-01-01'), send_id)) AS official, max((coalesce(sent, DATE '0001-01-01'), send_id)) AS last FROM s WHERE revision IS NOT NULL AND send_id % 3 = 0 GROUP BY 1),
+ c AS (SELECT l.kit, l.official, l.last, arg_max(stage, seq) AS stage, arg_max(coalesce(day, DATE '0001-01-01'), seq) AS d, max(seq) AS event_id FROM l JOIN e ON e.kit = l.kit AND coalesce(e.revision, '') = l.official WHERE stage LIKE 'code%' GROUP BY ALL),
+ k AS (SELECT kit, official, last, stage, CASE WHEN d > DATE '0001-01-01' THEN d END AS day FROM c)"""
+
+
+def _kits(sends: DataFrame) -> DataFrame:
+    """A kit's official revision, and its last send, of the sends that count as official."""
+    at = F.struct(F.coalesce("sent", F.lit("0001-01-01").cast("date")).alias("sent"), "send_id")
+    last = sends.filter("revision is not null and send_id % 3 = 0").groupBy("kit").agg(F.max(F.struct(at.alias("at"), "revision")).alias("x"))
+    return last.select("kit", F.col("x.revision").alias("official"), F.col("x.at").alias("last"))
+
+
+@query(f"""
+WITH {_SIDES}, {_KITS}, t AS (SELECT k.kit, bool_or(s.revision > k.official) AS higher, arg_min(coalesce(s.revision, '-'), (coalesce(s.sent, DATE '0001-01-01'), s.send_id)) AS first_
+   FROM k JOIN s ON s.kit = k.kit WHERE CASE WHEN k.day IS NOT NULL AND s.sent IS NOT NULL THEN s.sent > k.day ELSE (coalesce(s.sent, DATE '0001-01-01'), s.send_id) > k.last END GROUP BY 1),
+ g AS (SELECT DISTINCT k.kit FROM k JOIN p ON p.kit = k.kit WHERE source = 'rd' AND NOT grey AND coalesce(p.revision, '') > k.official AND (k.day IS NULL OR package_id % 4 = 0 OR DATE '2024-01-01' + (package_id % 30)::INT > k.day))
+SELECT k.kit, CASE WHEN stage = 'code_a' OR higher THEN 'customer' WHEN first_ = official THEN 'pi' WHEN g.kit IS NOT NULL THEN 'customer' ELSE 'unknown' END AS origin FROM k LEFT JOIN t USING (kit) LEFT JOIN g ON g.kit = k.kit
+""")
+def code_origin(spark, d) -> DataFrame:
+    """Whose code the last one on each kit's official revision is. Revisions are numbers here, so their text ranks them."""
+    sends, events, packages = sides(spark, d)
+    kits = _kits(sends)
+    codes = cycles.last_code_of(kits, events).join(kits.withColumnRenamed("official", "revision"), "kit")
+    modified = F.when(F.col("package_id") % 4 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("package_id") % 30).cast("int")).cast("timestamp"))
+    return cycles.code_origins(codes, sends, packages.withColumn("modified", modified), lambda c: c)
+
+
+@query(f"""
+WITH {_SIDES}, {_KITS}, w AS (SELECT kit, official, NULL AS wanted FROM l UNION ALL SELECT kit, official, official FROM l UNION ALL SELECT kit, official, '02' FROM l WHERE official <> '02'),
+ x AS (SELECT w.kit, wanted, official, package_id, coalesce(sequence, -1) AS n, coalesce(revision = wanted, FALSE) AS named, coalesce(CASE WHEN package_id % 3 = 0 THEN concat('0', package_id % 4) END = wanted, FALSE) AS material FROM w JOIN p ON p.kit = w.kit WHERE source = 'rd' AND NOT grey AND package_id % 7 <> 0),
+ y AS (SELECT *, CASE WHEN wanted IS NULL THEN 0 WHEN wanted = official THEN CASE WHEN material THEN 2 WHEN named THEN 1 ELSE 0 END WHEN named THEN 0 END AS tier FROM x)
+SELECT kit, wanted, arg_max(package_id, (tier, n, package_id)) AS package_id FROM y WHERE tier IS NOT NULL GROUP BY ALL
+""")
+def picked_packages(spark, d) -> DataFrame:
+    """The issued package of no revision in particular, of each kit's official one, and of an older one."""
+    sends, _, packages = sides(spark, d)
+    kits = _kits(sends).select("kit", "official")
+    wanted = kits.withColumn("wanted", F.lit(None).cast("string")).union(kits.withColumn("wanted", F.col("official"))).union(kits.filter("official <> '02'").withColumn("wanted", F.lit("02")))
+    material = F.when(F.col("package_id") % 3 == 0, F.concat(F.lit("0"), (F.col("package_id") % 4).cast("string")))
+    return cycles.pick_packages(wanted, packages.withColumns({"material_revision": material, "skipped": F.col("package_id") % 7 == 0}))
