@@ -11,6 +11,7 @@ from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -218,3 +219,18 @@ def vendor_match(demand: DataFrame, vendors: DataFrame, spare: DataFrame, loose:
     pairs = found.join(filled, "demand_id", "left").select("demand_id", "vendor_id", "pass", "loose_id", F.lit(None).cast(spare.schema["spare_id"].dataType).alias("spare_id"))
     kept = reserved.select(F.lit(None).cast(demand.schema["demand_id"].dataType).alias("demand_id"), "vendor_id", "pass", F.lit(None).cast(loose.schema["loose_id"].dataType).alias("loose_id"), "spare_id")
     return work.finished(pairs.union(kept))
+
+
+def added_rows(pairs: DataFrame, demand: DataFrame, vendors: DataFrame, spare: DataFrame, append: bool = False) -> DataFrame:
+    """(title, after, turn, kind, spare_id, vendor_id): the rows that spare supply and vendors without demand add, each behind
+    the last demand row of its title (``after``), supply before vendors, in the order of their ids (``turn`` from 1).
+
+    ``pairs``: the result of :func:`vendor_match`. Spare supply keeps the vendor that is reserved for it. Titles without demand
+    add nothing, unless ``append``: then their rows come at the end, with a null ``after``. Rows without a title add nothing."""
+    kept = pairs.filter("spare_id is not null").select("spare_id", "vendor_id")
+    supply = spare.join(kept, "spare_id", "left").select("title", F.when(F.col("vendor_id").isNull(), "supply").otherwise("supply and vendor").alias("kind"), "spare_id", "vendor_id", F.lit(0).alias("block"), F.col("spare_id").alias("id"))
+    lone = vendors.join(pairs.select("vendor_id"), "vendor_id", "left_anti").select("title", F.lit("vendor"), F.lit(None).cast(spare.schema["spare_id"].dataType), "vendor_id", F.lit(1), F.col("vendor_id"))
+    anchors = demand.groupBy("title").agg(F.max("demand_id").alias("after"))
+    rows = supply.union(lone).filter("title is not null").join(anchors, "title", "left" if append else "inner")
+    turn = F.row_number().over(W.partitionBy("title").orderBy("block", "id"))
+    return rows.select("title", "after", turn.alias("turn"), "kind", "spare_id", "vendor_id")

@@ -43,3 +43,12 @@ def vendor_match(spark, d) -> DataFrame:
 
 
 QUERIES["vendor_match"] = vendor_match
+
+
+def vendor_added(spark, d) -> DataFrame:
+    """Rows that spare supply and vendors without demand add behind the last demand row of their title."""
+    own = sides(spark, d)
+    return vendor.added_rows(vendor.vendor_match(**own), own["demand"], own["vendors"], own["spare"])
+
+
+QUERIES["vendor_added"] = vendor_added

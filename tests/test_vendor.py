@@ -123,6 +123,30 @@ def test_random_tables(spark):
     assert len({r[2] for r in got} | {"loose" for r in got if r[3] is not None}) == 11
 
 
+def plain_added(pairs, demand, vendors, spare, append):
+    reserved, used = {p[4]: p[1] for p in pairs if p[4] is not None}, {p[1] for p in pairs}
+    out = []
+    for title in sorted({r["title"] for r in (*vendors, *spare) if r["title"]}):
+        own = [d["demand_id"] for d in demand if d["title"] == title]
+        if own or append:
+            new = [("supply and vendor" if s["spare_id"] in reserved else "supply", s["spare_id"], reserved.get(s["spare_id"])) for s in sorted(spare, key=lambda r: r["spare_id"]) if s["title"] == title]
+            new += [("vendor", None, v["vendor_id"]) for v in sorted(vendors, key=lambda r: r["vendor_id"]) if v["title"] == title and v["vendor_id"] not in used]
+            out += [(title, max(own, default=None), k + 1, *r) for k, r in enumerate(new)]
+    return out
+
+
+def test_added_rows(spark):
+    tables = random_tables(5)
+    tables["vendors"].append(dict(vendor_id=900, title="alone", tag=None, code="c0", cabinets=[], size=None))
+    pairs = plain(**tables)
+    own = frames(spark, tables)
+    stored = spark.createDataFrame(pairs, "demand_id long, vendor_id long, pass string, loose_id long, spare_id long")
+    for append in (False, True):
+        got = V.added_rows(stored, own["demand"], own["vendors"], own["spare"], append)
+        want = plain_added(pairs, tables["demand"], tables["vendors"], tables["spare"], append)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len({r[3] for r in want}) == 3
+
+
 def test_empty(spark):
     none = {k: [] for k in SCHEMAS}
     assert V.vendor_match(**frames(spark, none)).collect() == []
