@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from reckon.plans import checks, contracts, cycles, delivery, derived, folders, grammars, headers, kits, layouts, letters, more, outcomes, pages, placement, registry, rules, sinks, vendor  # noqa: F401
+from reckon.plans import checks, contracts, cycles, delivery, derived, folders, grammars, headers, journal, kits, layouts, letters, more, outcomes, pages, placement, registry, rules, sinks, vendor  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
@@ -80,6 +80,7 @@ BRANCHES |= {
     "unit_matrix_versions": ("status", {"", "collision", "no target", "needs a coefficient"}),
     "contour_members": ("member", {True, False}),
     "code_origin": ("origin", {"customer", "pi", "unknown"}),
+    "mail_replies": ("error", {"", "several kits", "no kit of the transmittal", "no transmittal"}),
     "mail_letters": ("error", {"", "several kits", "no documents", "not a letter of these kinds"}),
 }
 BRANCHES |= {"row_statuses": ("delivery", {"data problem", "open", "demand only", "supply only", "vendor only", "delivery only", "short", "over", "complete"})}
