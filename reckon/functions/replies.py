@@ -72,6 +72,11 @@ def kits_of(found: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda d: F.struct(d["title"], d["mark"])))
 
 
+def _revision(found: Column) -> Column:
+    """That of the first OD document, else the first that any document has; empty if there is none."""
+    return F.coalesce(F.get(F.filter(found, lambda d: d["od"]), F.lit(0))["revision"], F.get(F.filter(found, lambda d: d["revision"] != ""), F.lit(0))["revision"], F.lit(""))
+
+
 def said(top: Column, incoming: Column) -> Column:
     """The stage that an answer reports; null if it reports none."""
     low = F.lower(top)
@@ -86,7 +91,7 @@ def _from_table(found: Column, body: Column, contract: str) -> Column:
         of = lambda d: F.get(F.filter(table, lambda x: F.lower(x["name"]) == F.lower(d["name"])), F.lit(0))["revision"]
         return F.transform(found, lambda d: d.withField("revision", F.coalesce(of(d), F.lit(""))))
 
-    return F.when(F.exists(found, lambda d: d["revision"] != ""), found).otherwise(let(L._first_of_each(L._documents(body, L.SENT, contract, False)), fill))
+    return F.when((F.size(found) == 0) | F.exists(found, lambda d: d["revision"] != ""), found).otherwise(let(L._first_of_each(L._documents(body, L.SENT, contract, False)), fill))
 
 
 def reply(subject: Column, body: Column, contract: str = "[A-Z]{4}") -> Column:
@@ -102,14 +107,17 @@ def reply(subject: Column, body: Column, contract: str = "[A-Z]{4}") -> Column:
         kits = kits_of(found)
         own = F.get(kits, F.lit(0))
         title, mark = F.coalesce(own["title"], told["title"]), F.coalesce(own["mark"], told["mark"])
-        named = F.coalesce(F.get(F.filter(found, lambda d: d["od"]), F.lit(0))["revision"], F.get(F.filter(found, lambda d: d["revision"] != ""), F.lit(0))["revision"], F.lit(""))
-        revision = F.when(named != "", named).when((title == told["title"]) & (mark == told["mark"]), told["revision"])
+        named, one = _revision(found), F.size(kits) <= 1
+        revision = F.when(named != "", named).when(one & (title == told["title"]) & (mark == told["mark"]), told["revision"])
         error = F.when(F.size(kits) > 1, SEVERAL).when(title.isNull(), UNKNOWN).when(~G.is_mark(mark), NO_KIT).otherwise("")
-        one = F.size(kits) <= 1
         return F.struct(
             send.alias("transmittal"), incoming.alias("incoming"), stage.alias("stage"), F.when(one, title).alias("title"), F.when(one, mark).alias("mark"), F.nullif(revision, F.lit("")).alias("revision"), F.size(found).alias("documents"), error.alias("error"),
         )
 
+    def told(found: Column, b: Column) -> Column:
+        """Prose is read where documents leave the kit or its revision open."""
+        return F.when(_revision(found) == "", prose(b, contract))
+
     def of(s: Column, b: Column) -> Column:
         top = F.regexp_replace(F.get(F.split(b, QUOTED, 2), F.lit(0)), r"^\s+|\s+$", "")
         send = F.regexp_extract(s, L.TRANSMITTAL, 0)
@@ -118,7 +126,7 @@ def reply(subject: Column, body: Column, contract: str = "[A-Z]{4}") -> Column:
             incoming = F.get(F.filter(_matches(top, L.TRANSMITTAL), lambda t: F.lower(t) != F.lower(send)), F.lit(0))
             thread = let(documents(b, contract), lambda d: F.when(F.size(kits_of(d)) == 1, d).otherwise(F.slice(d, 1, 0)))
             found = let(documents(top, contract), lambda d: F.when(F.size(d) > 0, d).otherwise(thread))
-            return let(incoming, lambda i: let(found, lambda d: let(_from_table(d, b, contract), lambda d: let(prose(b, contract), lambda p: settled(d, p, F.nullif(send, F.lit("")), i, said(top, i))))))
+            return let(incoming, lambda i: let(found, lambda d: let(_from_table(d, b, contract), lambda d: let(told(d, b), lambda p: settled(d, p, F.nullif(send, F.lit("")), i, said(top, i))))))
 
         return let(top, lambda t: let(send, lambda x: answered(t, x)))
 

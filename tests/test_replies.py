@@ -16,6 +16,7 @@ CASES = {
     "several kits": (("RE: x", "Документация принята ABCD.287-2879-SOT.OD-0001 ABCD.287-2880-SOT.OD-0001", None), (None, None, None, None, None, None, 2, "text", "several kits")),
     "thread of several kits": (("RE: s-TRM-1", "Документы приняты\nFrom: x\nABCD.287-2879-SOT.OD-0001 ABCD.287-2880-SOT.OD-0001", None), ("s-TRM-1", None, "incoming_passed", "7002", "SOT", None, 0, "transmittal", "")),
     "prose": (("RE: x", "Документы загружены по титулу 6816 марка\nKSB рев.0", None), (None, None, "sr_upload", "6816", "KSB", "0", 0, "text", "")),
+    "prose for a bare OD document": (("RE: x", "ABCD.287-6816-KSB.OD-0001 ABCD.287-6816-KSB.MTO-0002_05 титул 6816 марка KSB рев. 03", None), (None, None, None, "6816", "KSB", "03", 2, "text", "")),
     "prose by name": (("RE: x", "спасибо\nFrom: y\nтитулу ABCD.287-6816-KSB _0, титула 6816 марка ksb рев. 0", None), (None, None, None, "6816", "KSB", "0", 1, "text", "")),
     "prose, two revisions": (("RE: x", "титул 6816 марка KSB рев.0 титул 6816 марка KSB рев.1", None), (None, None, None, "6816", "KSB", None, 0, "text", "")),
     "prose, two kits": (("RE: x", "титул 6816 марка KSB рев.0 титул 6817 марка KSB рев.0", None), (None, None, None, None, None, None, 0, None, "no transmittal")),
