@@ -34,6 +34,11 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that are over; it does so when the driver collects its garbage."""
+    spark._jvm.System.gc()
+
+
 class Work:
     """Stored tables of one job. Those of a step that is over can go by :meth:`forget`, all of them by :meth:`drop`."""
 
