@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reckon.operators import vendor
 from reckon.plans.registry import QUERIES
 from reckon.sources.tables import table
+from reckon.sources.work import release
 
 
 def sides(spark, d) -> dict[str, DataFrame]:
@@ -51,7 +52,9 @@ QUERIES["vendor_match"] = vendor_match
 def vendor_added(spark, d) -> DataFrame:
     """Rows that spare supply and vendors without demand add behind the last demand row of their title."""
     own = sides(spark, d)
-    return vendor.added_rows(vendor.vendor_match(**own), own["demand"], own["vendors"], own["spare"])
+    pairs = vendor.vendor_match(**own)
+    release(spark)
+    return vendor.added_rows(pairs, own["demand"], own["vendors"], own["spare"])
 
 
 QUERIES["vendor_added"] = vendor_added

@@ -11,7 +11,7 @@ from .test_vendor import frames, plain, plain_added
 D = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["vendor_match"])
+@pytest.mark.parametrize("name", ["vendor_match", "vendor_added"])
 def test_query_stores_little(spark, monkeypatch, name):
     """Passes that were each stored and dealt out anew took over 50 stored tables."""
     tables = {k: [r.asDict() for r in df.collect()] for k, df in plans.sides(spark, D).items()}
