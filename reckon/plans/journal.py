@@ -17,7 +17,7 @@ def answers(spark, d) -> DataFrame:
     """A reply for each order: the reviewed documents in its answer, the others in the quoted letter, prose in dear ones."""
     table(spark, d, "lineitem").createOrReplaceTempView("letter_lines")
     one = spark.sql(letters._ONE.format(lines=letters._LINES.format(text="STRING").replace("FROM lineitem", "FROM letter_lines"))).withColumn("p", F.split("x", r"\|"))
-    number, name, revision, code = F.col("n").cast("string"), F.get("p", F.lit(0)), F.get("p", F.lit(1)), F.get("p", F.lit(2))
+    number, name, revision, code = F.col("n").cast("string"), letters.written(F.get("p", F.lit(0))), F.get("p", F.lit(1)), F.get("p", F.lit(2))
     above = F.when(code == "A", F.concat(name, F.lit("_"), revision, F.lit("_RU.pdf")))
     below = F.when(code == "", F.concat(number, F.lit(" "), name, F.lit(" "), revision, F.lit(" title")))
     texts = one.groupBy("id").agg(*[F.array_join(F.array_compact(F.array_sort(F.collect_list(F.struct("n", t.alias("t"))))["t"]), "\n").alias(a) for a, t in (("above", above), ("below", below))])  # a letter's lines: seven at most

@@ -8,7 +8,7 @@ from reckon.plans import journal, letters, registry  # noqa: F401
 S = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["mail_letters"])
+@pytest.mark.parametrize("name", ["mail_letters", "mail_replies"])
 def test_five_digits(spark, tmp_path, name):
     """Nine orders of all three statuses: a line of part 40, whose title is 9999 + 1, and none to two of title 9999."""
     con = duckdb.connect()
